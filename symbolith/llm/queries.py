@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, quality, toxicity, url_filter
+from . import exact_dedup, mixing, quality, suffix_dedup, toxicity, url_filter
 from .common import table
 
 URL_RULES = [
@@ -28,6 +28,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(rows["_id"].alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, action string")
     return url_filter.judge(table(spark, sf_dir, "pages"), rules)
@@ -44,7 +48,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality, op2_mixing, op4_url_filter, op7_exact_dedup, op8_toxicity)
+    f.__name__: f for f in (op1_quality, op2_mixing, op3_suffix_dedup, op4_url_filter, op7_exact_dedup, op8_toxicity)
 }
 
 ORACLE: dict[str, str] = {
