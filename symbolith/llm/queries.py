@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, quality, suffix_dedup, toxicity, url_filter
+from . import exact_dedup, jaccard_join, mixing, quality, suffix_dedup, toxicity, url_filter
 from .common import table
 
 URL_RULES = [
@@ -47,8 +47,12 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.components(table(spark, sf_dir, "documents"), shingle=3, num=90, den=100)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality, op2_mixing, op3_suffix_dedup, op4_url_filter, op7_exact_dedup, op8_toxicity)
+    f.__name__: f for f in (op1_quality, op2_mixing, op3_suffix_dedup, op4_url_filter, op7_exact_dedup, op8_toxicity, op9_jaccard_join)
 }
 
 ORACLE: dict[str, str] = {
