@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, jaccard_join, mixing, quality, suffix_dedup, toxicity, url_filter
+from . import decontaminate, exact_dedup, jaccard_join, mixing, quality, suffix_dedup, toxicity, url_filter
 from .common import table
 
 URL_RULES = [
@@ -51,8 +51,12 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.components(table(spark, sf_dir, "documents"), shingle=3, num=90, den=100)
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality, op2_mixing, op3_suffix_dedup, op4_url_filter, op7_exact_dedup, op8_toxicity, op9_jaccard_join)
+    f.__name__: f for f in (op1_quality, op2_mixing, op3_suffix_dedup, op4_url_filter, op7_exact_dedup, op8_toxicity, op9_jaccard_join, op10_decontaminate)
 }
 
 ORACLE: dict[str, str] = {

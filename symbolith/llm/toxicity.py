@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BYTE, _LOWER, _powers, mix64, pieces, string_buffer, word_spans
+from .common import _BYTE, _LOWER, _MARK, _powers, mix64, pieces, string_buffer, word_spans
 from .sampling import fold, labelled_sample
 
 LEXICON = 4000
@@ -51,8 +51,6 @@ _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
-_MARK = np.zeros(256, bool)
-_MARK[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 
 NAMES = (
     "strong_rate", "strong_hits", "strong_kinds", "weak_rate", "weak_hits", "stem_rate", "stem_hits", "near_you", "hidden_hits",
