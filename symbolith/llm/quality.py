@@ -170,3 +170,19 @@ def classify(documents: DataFrame, model: dict, folds: int = FOLDS, held_out: in
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), out.alias("held_out"), "text")
     rows = rows.mapInArrow(_scorer(shared), "doc_id long, held_out boolean, score double")
     return rows.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def keep(documents: DataFrame, model: dict, threshold: float = KEEP_AT, text_col: str = "text") -> DataFrame:
+    """The rows of ``documents``, all columns, whose text scores at least ``threshold``."""
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+    at = documents.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for b in batches:
+            buf, off = string_buffer(b.column(at))
+            got = [score(m, buf[off[i] : off[j]], off[i : j + 1] - off[i]) for i, j in pieces(off, PIECE)]
+            if got:
+                yield b.filter(pa.array(np.concatenate(got) >= threshold))
+
+    return documents.mapInArrow(run, documents.schema)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, jaccard_join, line_dedup, mixing, quality, suffix_dedup, toxicity, url_filter
+from . import decontaminate, exact_dedup, jaccard_join, line_dedup, mixing, quality, suffix_dedup, token_counts, toxicity, url_filter
 from .common import table
 
 URL_RULES = [
@@ -37,6 +37,10 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), rules)
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.counts(table(spark, sf_dir, "documents"), token_counts.load(spark))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(table(spark, sf_dir, "documents"))
 
@@ -60,7 +64,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality, op2_mixing, op3_suffix_dedup, op4_url_filter, op6_line_dedup, op7_exact_dedup, op8_toxicity, op9_jaccard_join, op10_decontaminate)
+    f.__name__: f for f in (op1_quality, op2_mixing, op3_suffix_dedup, op4_url_filter, op5_token_counts, op6_line_dedup, op7_exact_dedup, op8_toxicity, op9_jaccard_join, op10_decontaminate)
 }
 
 ORACLE: dict[str, str] = {
