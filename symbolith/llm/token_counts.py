@@ -60,13 +60,14 @@ _built: dict[int, Callable[[bytes], int]] = {}
 
 def counter(shared) -> Callable[[bytes], int]:
     """Number of tokens of some UTF-8 bytes; built once in each worker."""
-    if shared.id not in _built:
+    key = id(shared.value)  # one object a worker
+    if key not in _built:
         import tiktoken
 
         pattern, ranks = shared.value
         encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        _built[shared.id] = lambda data: len(encoding.encode_ordinary(data.decode()))
-    return _built[shared.id]
+        _built[key] = lambda data: len(encoding.encode_ordinary(data.decode()))
+    return _built[key]
 
 
 def safe_cuts(data: bytes, step: int) -> list[int]:
