@@ -1,10 +1,9 @@
-"""All named queries and their DuckDB oracles."""
+"""All named queries and their DuckDB oracles, gathered from the plan modules."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import analytics, condensing, extraction, references, symbols
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+MODULES = (symbols, extraction, references, condensing, analytics)
+QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
+ORACLE = {name: sql for m in MODULES for name, sql in m.ORACLE.items()}
