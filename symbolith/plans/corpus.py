@@ -1,0 +1,16 @@
+"""A small labelled corpus: twelve languages, all functions and types of each text."""
+
+CORPUS = (
+    ("javascript", "shop.js", "export function total(items) {\n  return items.length;\n}\nconst pick = (x) => x;\nclass Cart {\n  add(x) { return x; }\n}\n", ("total", "pick", "Cart", "add")),
+    ("typescript", "shop.ts", "export interface Item { id: number }\ntype Name = string;\nexport class Store {\n  load<T>(x: T): void {}\n}\nfunction open(p: string): number { return 2; }\n", ("Item", "Name", "Store", "load", "open")),
+    ("python", "shop.py", "def price(a):\n    return a\n\nclass Basket:\n    def put(self, x):\n        return x\n", ("price", "Basket", "put")),
+    ("go", "shop.go", "package shop\n\nfunc Sum(a int) int { return a }\n\ntype Order struct {\n}\n\nfunc (o Order) Ship() {}\n", ("Sum", "Order", "Ship")),
+    ("rust", "shop.rs", "pub fn weigh() {}\nstruct Parcel;\npub enum Size { S }\ntrait Move {}\nimpl Parcel {\n    pub fn send(&self) {}\n}\n", ("weigh", "Parcel", "Size", "Move", "send")),
+    ("java", "Shop.java", "public class Shop {\n  public void sell(int n) {}\n  private String label() { return null; }\n}\ninterface Priced {}\n", ("Shop", "sell", "label", "Priced")),
+    ("csharp", "Shop.cs", "public class Till {\n  public async Task Open() {}\n  internal int Count() { return 1; }\n}\nenum Coin { Cent }\n", ("Till", "Open", "Count", "Coin")),
+    ("ruby", "shop.rb", "module Shop\n  class Shelf\n    def fill(x)\n    end\n    def self.empty?\n    end\n  end\nend\n", ("Shop", "Shelf", "fill", "empty?")),
+    ("php", "shop.php", "<?php\nfunction wrap($x) {}\nclass Box {}\ninterface Closed {}\ntrait Taped {}\n", ("wrap", "Box", "Closed", "Taped")),
+    ("kotlin", "shop.kt", "fun weigh(x: Int) {}\nclass Scale {}\nobject Registry {}\ninterface Unit {}\n", ("weigh", "Scale", "Registry", "Unit")),
+    ("swift", "shop.swift", "func scan(_ x: Int) -> Int { return x }\nstruct Code {}\nprotocol Readable {}\nenum State {}\n", ("scan", "Code", "Readable", "State")),
+    ("c", "shop.c", "struct Bin { int n; };\nint drop(int a) {\n  return a;\n}\nvoid clear(void) {}\n", ("Bin", "drop", "clear")),
+)
