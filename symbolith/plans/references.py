@@ -1,4 +1,109 @@
-from .base import Catalog
+"""Reference checks over ``pages`` as files with links, and over a small inline project."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from symbolith.functions import text as T
+from symbolith.operators import extract, references, registry
+from symbolith.operators.report import routes_by_file
+
+from .base import Catalog, table
 
 _c = Catalog()
 QUERIES, ORACLE = _c.queries, _c.oracle
+
+PROJECT = [
+    ("apps/web/main.js", "import { load, save as keep } from './store';\nimport Panel from './panel.js';\nimport './missing-style';\nconst { helper } = require('../util');\n"
+     "function start(cb) {\n  load(); keep(); helper(); chargeCart(1); renderPag(2); cb(); ghostCall();\n  fetch('/api/users/12'); fetch('/api/nothing');\n}\n"),
+    ("apps/web/store.js", "export function load() {}\nfunction save() {}\nexport const size = 1;\n"),
+    ("apps/web/panel.js", "export default class Panel { draw() {} }\nexport * from './store';\n"),
+    ("apps/util/index.js", "module.exports = { helper: 1, other };\n"),
+    ("packages/pay/cart.js", "export function chargeCart(n) { return n; }\nrouter.get('/api/users/:id', x);\nrouter.post('/api/users', y);\napp.use('/api/opaque', z);\n"),
+    ("lib/page.js", "export function renderPage(n) { return n; }\nconst s = load2('x');\nimport { load2 } from './none';\n"),
+]
+
+
+def project(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(PROJECT, "path string, content string")
+
+
+def hrefs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("href"))
+
+
+def url_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "://[^/?#]*([^?#]*)", 1).alias("path"))
+
+
+PATHS = "paths AS (SELECT page_id, regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS path FROM pages), hrefs AS (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS href FROM pages)"
+
+
+@_c.query(f"WITH {PATHS} SELECT DISTINCT page_id, href FROM hrefs WHERE href NOT IN (SELECT path FROM paths)")
+def link_targets_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hrefs(spark, sf_dir).distinct().join(url_paths(spark, sf_dir).select(F.col("path").alias("href")).distinct(), "href", "left_anti").select("page_id", "href")
+
+
+ROUTES = rf"""{PATHS}, lits AS (SELECT DISTINCT '/api' || href AS literal FROM hrefs UNION SELECT DISTINCT '/api' || path FROM paths UNION SELECT '/api/fr/77777' UNION SELECT '/api/open/x/y'),
+routes AS (SELECT DISTINCT 'GET' AS method, '/api' || CASE WHEN page_id % 3 = 0 THEN regexp_replace(path, '/[0-9]+$', '/:id') ELSE path END AS path FROM paths WHERE page_id % 2 = 0
+  UNION SELECT 'MOUNT', '/api/open' UNION SELECT 'MOUNT', '/api/en'),
+p AS (SELECT path FROM routes WHERE method <> 'MOUNT'), m0 AS (SELECT path FROM routes r WHERE method = 'MOUNT' AND NOT EXISTS (SELECT 1 FROM p WHERE p.path = r.path OR starts_with(p.path, r.path || '/'))),
+l AS (SELECT literal, regexp_replace(literal, '/$', '') AS a FROM lits),
+w AS (SELECT *, array_to_string(list_transform(string_split(a, '/'), lambda s: CASE WHEN regexp_full_match(s, '[0-9]+') THEN '*' ELSE s END), '/') AS w FROM l)"""
+
+
+@_c.query(f"""WITH {ROUTES} SELECT literal FROM w WHERE a NOT IN (SELECT path FROM p) AND w NOT IN (SELECT regexp_replace(path, '/:[A-Za-z_][A-Za-z0-9_]*', '/*', 'g') FROM p)
+ AND NOT EXISTS (SELECT 1 FROM p WHERE starts_with(p.path, a || '/')) AND NOT EXISTS (SELECT 1 FROM m0 WHERE a = m0.path OR starts_with(a, m0.path || '/'))""")
+def route_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = url_paths(spark, sf_dir)
+    known = F.when(F.col("page_id") % 3 == 0, F.regexp_replace("path", r"/[0-9]+\z", "/:id")).otherwise(F.col("path"))
+    routes = paths.where("page_id % 2 = 0").select(F.lit("GET").alias("method"), F.concat(F.lit("/api"), known).alias("path")).distinct()
+    routes = routes.unionByName(spark.createDataFrame([("MOUNT", "/api/open"), ("MOUNT", "/api/en")], "method string, path string"))
+    api = lambda c: F.concat(F.lit("/api"), c).alias("literal")
+    literals = hrefs(spark, sf_dir).select(api(F.col("href"))).unionByName(paths.select(api(F.col("path"))))
+    literals = literals.unionByName(spark.createDataFrame([("/api/fr/77777",), ("/api/open/x/y",)], "literal string")).distinct()
+    return references.bad_routes(literals, routes)
+
+
+@_c.query("SELECT * FROM (VALUES ('apps/web/main.js', './missing-style'), ('lib/page.js', './none')) AS t(path, import_path)")
+def import_paths_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = project(spark)
+    return references.missing_imports(references.import_paths(files), files.select("path"))
+
+
+@_c.query("SELECT * FROM (VALUES ('apps/web/main.js', 'save', './store')) AS t(path, name, import_path)")
+def imports_not_exported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = project(spark)
+    sites = references.named_imports(files)
+    modules = references.resolved(references.import_paths(files), files.select("path"))
+    return references.not_exported(sites, modules, references.module_exports(files))
+
+
+@_c.query("""SELECT * FROM (VALUES ('apps/web/main.js', 'chargeCart', 'namespace', 'packages/pay'), ('apps/web/main.js', 'renderPag', 'typo', 'renderPage'),
+ ('apps/web/main.js', 'ghostCall', 'unknown', NULL)) AS t(path, name, finding, detail)""")
+def reference_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = project(spark).withColumn("lang", extract.language(F.col("path")))
+    reg = registry.lookup(registry.registry(extract.definitions(files)))
+    reg = reg.select("name", "namespace", F.concat_ws("|", F.col("cat_rank"), "file", F.lpad(F.col("line").cast("string"), 9, "0")).alias("ord"))
+    none = spark.createDataFrame([], "name string")
+    return references.name_report(files, reg, none, none)
+
+
+@_c.query("SELECT * FROM (VALUES ('packages/pay/cart.js', 2, 'GET,POST', CAST(NULL AS VARCHAR))) AS t(file, routes, methods, mount)")
+def routes_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = project(spark).withColumn("lang", extract.language(F.col("path")))
+    return routes_by_file(extract.routes(extract.source_lines(files)))
+
+
+@_c.query("SELECT * FROM (VALUES ('apps/web/main.js', '/api/nothing')) AS t(path, literal)")
+def project_routes_bad(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = project(spark).withColumn("lang", extract.language(F.col("path")))
+    return references.bad_routes(references.route_literals(files), extract.routes(extract.source_lines(files)).select("method", "path"))
+
+
+@_c.query(r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?s)/\*.*?\*/', '', 'g'), '(?m)//.*$', '', 'g'), '(?s)`(?:[^`\\]|\\.)*`', '""', 'g'),
+  '(?s)"(?:[^"\\]|\\.)*"', '""', 'g'), '(?s)''(?:[^''\\]|\\.)*''', '''''', 'g') AS code FROM documents""")
+def strip_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", T.strip_comments_and_strings(F.col("text")).alias("code"))
