@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from symbolith.functions import text as T
+from symbolith.session import materialize
 
 from .registry import ESTABLISHED
 
@@ -74,6 +75,7 @@ def verdicts(queries: DataFrame, known: DataFrame, blocked: bool = True) -> Data
 
     ``queries`` has ``q``; its other columns are kept and repeats are kept.
     """
+    known = materialize(known)  # read by the exact join, the anti join and the fuzzy join
     distinct = queries.select("q").distinct()
     hits = distinct.join(known, distinct["q"] == known["name"]).select(
         "q",
@@ -118,6 +120,7 @@ def typos(queries: DataFrame, known: DataFrame, blocked: bool = True) -> DataFra
 
     ``known`` has (name, ord); equal similarities go to the smaller ord.
     """
+    known = materialize(known)
     length = F.char_length("q")
     k = F.least(length, F.floor((length + 3) * 15 / 100)).cast("int")
     q = queries.select("q").distinct().withColumns({"qkey": F.col("q"), "k": k})

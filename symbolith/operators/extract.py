@@ -39,22 +39,26 @@ def source_lines(files: DataFrame) -> DataFrame:
 def by_rules(lines: DataFrame, nested: bool = True, fallback: bool = False) -> DataFrame:
     """Definitions by line rules; ``nested`` also sees inner ones of Go and Rust.
 
-    One flat CASE finds the first rule that matches, another takes its name.
+    The first rule that matches a line gives its symbol. The cascade is long, so it runs inside a
+    higher-order function, which Spark evaluates without generating code for every branch.
     """
     rules = RULES | (NESTED if nested else {}) | ({"javascript": JS_FALLBACK, "typescript": JS_FALLBACK} if fallback else {})
-    flat = [(lang, r) for lang, own in rules.items() for r in own]
-    text, at, name = F.col("text"), None, None
-    for k, (lang, r) in enumerate(flat):
-        hit = (F.col("lang") == lang) & text.rlike(r.pattern)
-        if r.refuse:
-            hit = hit & ~F.regexp_extract(text, r.pattern, 1).isin(*r.refuse)
-        at = F.when(hit, k) if at is None else at.when(hit, k)
-        got = F.regexp_extract(text, r.pattern, 1)
-        name = F.when(F.col("rule") == k, got) if name is None else name.when(F.col("rule") == k, got)
-    comment = (F.col("lang") == "bash") & text.rlike(r"^\s*#")
-    rows = lines.where(F.col("lang").isin(*rules) & ~comment).withColumn("rule", at).where("rule is not null")
-    category = F.array(*[F.lit(r.category) for _, r in flat])[F.col("rule")]
-    return rows.select(category.alias("category"), name.alias("name"), "file", "line", F.lit(0).alias("pass"))
+
+    def cascade(x: Column) -> Column:
+        lang, text, out = x["lang"], x["text"], None
+        for name, own in rules.items():
+            for r in own:
+                got = F.regexp_extract(text, r.pattern, 1)
+                hit = (lang == name) & text.rlike(r.pattern)
+                hit = hit & ~got.isin(*r.refuse) if r.refuse else hit
+                value = F.struct(F.lit(r.category).alias("category"), got.alias("name"))
+                out = F.when(hit, value) if out is None else out.when(hit, value)
+        return out
+
+    comment = (F.col("lang") == "bash") & F.col("text").rlike(r"^\s*#")
+    found = F.transform(F.array(F.struct("lang", "text")), cascade)
+    rows = lines.where(F.col("lang").isin(*rules) & ~comment).select("file", "line", F.inline(F.filter(found, lambda f: f.isNotNull())))
+    return rows.select("category", "name", "file", "line", F.lit(0).alias("pass"))
 
 
 def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from symbolith.functions import text as T
 from symbolith.operators import check, registry
+from symbolith.session import materialize
 
 from .base import Catalog, table
 
@@ -118,7 +119,7 @@ def unknown_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_c.query(f"WITH {DEFS} SELECT q, name, distance, k, confidence_pct FROM fuzzy")
 def fuzzy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = known_names(spark, sf_dir)
+    known = materialize(known_names(spark, sf_dir))
     rest = asked(spark, sf_dir).select("q").distinct().join(known.select(F.col("name").alias("q")), "q", "left_anti")
     return check.fuzzy(rest, known)
 
@@ -134,7 +135,7 @@ def check_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT q, arg_min(name, (CAST(distance AS DOUBLE) / longer, name)) AS name, arg_min(distance, (CAST(distance AS DOUBLE) / longer, name)) AS distance,
   CAST(floor((1 - min(CAST(distance AS DOUBLE) / longer)) * 100 + 0.5) AS INT) AS similarity_pct FROM sim GROUP BY q""")
 def typo_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = known_names(spark, sf_dir)
+    known = materialize(known_names(spark, sf_dir))
     rest = asked(spark, sf_dir).select("q").distinct().join(known.select(F.col("name").alias("q")), "q", "left_anti")
     return check.typos(rest, known.select("name", F.col("name").alias("ord")))
 
