@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symbolith.llm import decontaminate, exact_dedup, jaccard_join, mixing, quality
-from symbolith.llm.common import ensure_checkpoint_dir, table
+from symbolith.llm.common import ensure_checkpoint_dir, fresh, table
 
 ORACLE_SQL = None
 
@@ -34,7 +34,8 @@ def dissimilar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Documents without an id can't be told apart and stay.
     """
     gone = jaccard_join.components(docs, shingle=5, num=80, den=100).where("doc_id <> component_id")
-    return docs.join(gone.select(F.col("doc_id").alias("_gone")).distinct(), F.col("doc_id") == F.col("_gone"), "left_anti")
+    (own,) = fresh(docs, "_gone")
+    return docs.join(gone.select(F.col("doc_id").alias(own)).distinct(), F.col("doc_id") == F.col(own), "left_anti")
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

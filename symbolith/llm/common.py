@@ -46,6 +46,17 @@ def text_of(col: str) -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until no column of ``df`` has them."""
+    used = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in used:
+            n += "_"
+        out.append(n)
+    return out
+
+
 # --- Arrow kernels -----------------------------------------------------------
 
 

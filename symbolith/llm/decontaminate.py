@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _MARK, mix64, pieces, string_buffer, text_of, word_hashes, word_spans
+from .common import _MARK, fresh, mix64, pieces, string_buffer, text_of, word_hashes, word_spans
 
 THRESHOLD = 0.5  # share of an item's own BM25 score
 QUESTION, ANSWER = 0.6, 0.6  # shares of trigrams and of words
@@ -288,5 +288,6 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` in which no test item was found."""
-    gone = contaminated(docs, items, id_col=id_col, **options).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("_gone")), "left_anti")
+    (own,) = fresh(docs, "_gone")
+    gone = contaminated(docs, items, id_col=id_col, **options).select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col(own)), "left_anti")

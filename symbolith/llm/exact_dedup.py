@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import fresh, text_of
 
 VERDICT = ("keep_id", "group_size", "kept", "text_sha256")
 
@@ -47,18 +47,18 @@ def classes(df: DataFrame, text_col: str, id_col: str, keep: str) -> DataFrame:
 def annotate(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", keep: str = "smallest") -> DataFrame:
     """Each row of ``df`` with keep_id, group_size, kept and text_sha256."""
     text = text_of(text_col)
-    rows = df.drop(*[c for c in VERDICT if c not in (text_col, id_col)]).withColumns(
-        {"_h": content_hash(text), "_sha": F.sha2(text, 256)}
-    )
-    many = classes(df, text_col, id_col, keep).where("_n > 1")
-    out = rows.join(many, ["_h", "_sha"], "left").withColumns(
+    rows = df.drop(*[c for c in VERDICT if c not in (text_col, id_col)])
+    h, sha, n, kept = fresh(rows, "_h", "_sha", "_n", "_keep")
+    rows = rows.withColumns({h: content_hash(text), sha: F.sha2(text, 256)})
+    many = classes(df, text_col, id_col, keep).where("_n > 1").withColumnsRenamed({"_h": h, "_sha": sha, "_n": n, "_keep": kept})
+    out = rows.join(many, [h, sha], "left").withColumns(
         {
-            "keep_id": F.coalesce("_keep", F.col(id_col)),
-            "group_size": F.coalesce("_n", F.lit(1).cast("long")),
-            "text_sha256": F.col("_sha"),
+            "keep_id": F.coalesce(kept, F.col(id_col)),
+            "group_size": F.coalesce(n, F.lit(1).cast("long")),
+            "text_sha256": F.col(sha),
         }
     )
-    return out.withColumn("kept", F.col("keep_id").eqNullSafe(F.col(id_col))).drop("_h", "_sha", "_n", "_keep")
+    return out.withColumn("kept", F.col("keep_id").eqNullSafe(F.col(id_col))).drop(h, sha, n, kept)
 
 
 def drop_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", keep: str = "smallest") -> DataFrame:
@@ -68,5 +68,6 @@ def drop_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
     which are usually few.
     """
     gone = annotate(df.select(id_col, text_col), text_col, id_col, keep).where("not kept")
-    gone = gone.select(F.col(id_col).alias("_gone"), content_hash(text_of(text_col)).alias("_h")).distinct()
-    return df.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")) & (content_hash(text_of(text_col)) == F.col("_h")), "left_anti")
+    own, h = fresh(df, "_gone", "_h")
+    gone = gone.select(F.col(id_col).alias(own), content_hash(text_of(text_col)).alias(h)).distinct()
+    return df.join(gone, F.col(id_col).eqNullSafe(F.col(own)) & (content_hash(text_of(text_col)) == F.col(h)), "left_anti")

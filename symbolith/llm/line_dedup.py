@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_of
+from .common import fresh, materialize, text_of
 
 NEAR_FROM = 16
 
@@ -133,8 +133,9 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **op
 
 def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` without the removed lines; a null text stays null."""
-    gone = removed_lines(docs, id_col, text_col, **options).distinct().groupBy("id").agg(F.collect_set("line_no").alias("_gone"))
-    out = docs.join(gone.withColumnRenamed("id", "_id"), F.col(id_col).eqNullSafe(F.col("_id")), "left")
-    kept = F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains("_gone", i))
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    return out.withColumn(text_col, text).drop("_id", "_gone")
+    own, lines = fresh(docs, "_own", "_gone")
+    gone = removed_lines(docs, id_col, text_col, **options).distinct().groupBy(F.col("id").alias(own)).agg(F.collect_set("line_no").alias(lines))
+    out = docs.join(gone, F.col(id_col).eqNullSafe(F.col(own)), "left")
+    kept = F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains(lines, i))
+    text = F.when(F.col(lines).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
+    return out.withColumn(text_col, text).drop(own, lines)

@@ -28,7 +28,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize, text_of
+from .common import WORD, fresh, materialize, text_of
 
 MAX_SOURCES = 1_000_000
 BITS = 12
@@ -145,7 +145,8 @@ def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", **opt
 
     Rows without words are in no epoch that counts and are left out.
     """
-    takes = plan(df, id_col=id_col, source_col=source_col, **options).where("taken > 0").select(F.col("_id").alias("_take"), "_epochs")
-    takes = takes.groupBy("_take").agg(F.max("_epochs").alias("_epochs"))
-    out = df.join(takes, F.col(id_col).eqNullSafe(F.col("_take")))
-    return out.withColumn("epoch", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_epochs")))).drop("_take", "_epochs")
+    own, n = fresh(df, "_take", "_epochs")
+    takes = plan(df, id_col=id_col, source_col=source_col, **options).where("taken > 0")
+    takes = takes.groupBy(F.col("_id").alias(own)).agg(F.max("_epochs").alias(n))
+    out = df.drop("epoch").join(takes, F.col(id_col).eqNullSafe(F.col(own)))
+    return out.withColumn("epoch", F.explode(F.sequence(F.lit(1).cast("long"), F.col(n)))).drop(own, n)
