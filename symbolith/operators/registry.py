@@ -31,24 +31,19 @@ def locations(files: DataFrame, limit: int = MAX_LOCATIONS) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
 
 
-def registry(defs: DataFrame, limit: int = MAX_LOCATIONS) -> DataFrame:
-    """(category, name, file, line, usages, namespace, locations); locations only with several files."""
-    files = per_file(defs)
-    total = files.groupBy("category", "name").agg(
+def entries(defs: DataFrame) -> DataFrame:
+    """(category, name, file, line, pass, usages, namespace, files) of each name: all but its other places."""
+    rows = per_file(defs).groupBy("category", "name").agg(
         F.sum("usages").alias("usages"), F.count("*").alias("files"), F.min(F.struct("file", "first.line", "first.pass")).alias("f")
     )
-    several = locations(files, limit).groupBy("category", "name").agg(F.sort_array(F.collect_list(F.struct("file", "line"))).alias("all"))
-    out = total.join(several, ["category", "name"])
-    return out.select(
-        "category",
-        "name",
-        F.col("f.file").alias("file"),
-        F.col("f.line").alias("line"),
-        "usages",
-        T.namespace(F.col("f.file")).alias("namespace"),
-        F.when(F.col("files") > 1, F.col("all")).alias("locations"),
-        F.col("f.pass").alias("pass"),
-    )
+    return rows.select("category", "name", "f.file", "f.line", "f.pass", "usages", T.namespace(F.col("f.file")).alias("namespace"), "files")
+
+
+def registry(defs: DataFrame, limit: int = MAX_LOCATIONS) -> DataFrame:
+    """Entries with their locations, which only names in several files have."""
+    several = locations(per_file(defs), limit).groupBy("category", "name").agg(F.sort_array(F.collect_list(F.struct("file", "line"))).alias("all"))
+    out = entries(defs).join(several, ["category", "name"])
+    return out.withColumn("locations", F.when(F.col("files") > 1, F.col("all"))).drop("all", "files")
 
 
 def first_wins(rows: DataFrame, key: str, *order: str) -> DataFrame:

@@ -85,7 +85,7 @@ def imports_not_exported(spark: SparkSession, sf_dir: str) -> DataFrame:
  ('apps/web/main.js', 'ghostCall', 'unknown', NULL)) AS t(path, name, finding, detail)""")
 def reference_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = project(spark).withColumn("lang", extract.language(F.col("path")))
-    reg = registry.lookup(registry.registry(extract.definitions(files)))
+    reg = registry.lookup(registry.entries(extract.definitions(files)))
     reg = reg.select("name", "namespace", F.concat_ws("|", F.col("cat_rank"), "file", F.lpad(F.col("line").cast("string"), 9, "0")).alias("ord"))
     none = spark.createDataFrame([], "name string")
     return references.name_report(files, reg, none, none)

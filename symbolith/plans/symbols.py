@@ -38,7 +38,7 @@ def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def known_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return registry.lookup(registry.registry(definitions(spark, sf_dir)))
+    return registry.lookup(registry.entries(definitions(spark, sf_dir)))
 
 
 DEFS = f"""
@@ -72,10 +72,7 @@ checked AS (SELECT item_id, pos, asked.q,
 
 @_c.query(f"WITH {DEFS} SELECT category, name, f[1] AS file, f[2][1] AS line, usages, split_part(f[1], '/', 1) AS namespace, files FROM reg")
 def symbol_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    defs = definitions(spark, sf_dir)
-    reg = registry.registry(defs)
-    files = registry.per_file(defs).groupBy("category", "name").agg(F.count("*").alias("files"))
-    return reg.join(files, ["category", "name"]).select("category", "name", "file", "line", "usages", "namespace", "files")
+    return registry.entries(definitions(spark, sf_dir)).drop("pass")
 
 
 @_c.query(f"""WITH {DEFS}, ranked AS (SELECT category, name, file, first[1] AS line, row_number() OVER (PARTITION BY category, name ORDER BY file) AS rank FROM per_file)
