@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from symbolith.functions import text as T
 from symbolith.operators import analytics, extract, report
+from symbolith.sources import files as scan_files
 
 from .base import Catalog, table
 from .corpus import CORPUS
@@ -59,3 +60,41 @@ SELECT dir, count(*) AS files, count(*) FILTER (n <= 100) AS shown, count(*) FIL
 def file_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = table(spark, sf_dir, "documents").select(F.concat_ws("/", "source", F.lpad(F.col("doc_id").cast("string"), 12, "0")).alias("path"))
     return report.tree(files, 100).select("dir", "files", "shown", "partial")
+
+
+# --- Scans: documents as Python files below their source ---
+
+
+def files_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.concat(F.col("source"), F.lit("/"), F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.lit(".py"))
+    rows = table(spark, sf_dir, "documents")
+    return rows.select(name.alias("path"), F.octet_length("text").cast("long").alias("size"), F.lit("2024-01-01 00:00:00").cast("timestamp").alias("mtime"), F.col("text").alias("content"), "doc_id")
+
+
+FILES = "files AS (SELECT source || '/' || lpad(CAST(doc_id AS VARCHAR), 12, '0') || '.py' AS path, CAST(strlen(text) AS BIGINT) AS size, text, doc_id FROM documents)"
+
+
+@_c.query(f"""WITH {FILES}, ok AS (SELECT *, row_number() OVER (ORDER BY path) AS ord, count(*) OVER () AS n FROM files WHERE size <= 512000)
+SELECT path, 'python' AS lang, CAST(len(string_split(text, chr(10))) AS INT) AS lines, size, CAST(ord AS INT) AS ord, n > 100 AS truncated, false AS depth_truncated FROM ok WHERE ord <= 100""")
+def scan_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = scan_files.scan(files_of(spark, sf_dir).drop("doc_id"), max_files=100)
+    return rows.select("path", "lang", "lines", "size", "ord", "truncated", "depth_truncated")
+
+
+@_c.query(f"""WITH {FILES}, cache AS (SELECT path, CASE WHEN doc_id % 5 = 0 THEN size + 1 ELSE size END AS size, doc_id FROM files WHERE doc_id % 7 <> 0 UNION ALL SELECT 'gone.py', 1, -1)
+SELECT f.path, CASE WHEN c.path IS NULL THEN 'parse' ELSE 'reuse' END AS status FROM files f LEFT JOIN cache c ON f.path = c.path AND f.size = c.size""")
+def incremental_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = files_of(spark, sf_dir)
+    size = F.when(F.col("doc_id") % 5 == 0, F.col("size") + 1).otherwise(F.col("size"))
+    none = F.array().cast("array<struct<category:string,name:string,line:int,pass:int>>")
+    cache = files.where("doc_id % 7 <> 0").withColumns({"size": size, "symbols": none, "version": F.lit(scan_files.CACHE_VERSION)})
+    gone = cache.limit(1).withColumns({"path": F.lit("gone.py"), "size": F.lit(1).cast("long")})
+    changed, held = scan_files.incremental(files, cache.unionByName(gone))
+    return changed.select("path", F.lit("parse").alias("status")).unionByName(held.select("path", F.lit("reuse").alias("status")))
+
+
+@_c.query(r"""SELECT page_id, lower(regexp_extract(url, '^[^?#]*?(\.[^./?#]*)?([?#].*)?$', 1)) AS extension,
+  CASE WHEN regexp_matches(url, '^[^?#]*\.html([?#]|$)') THEN 'html' END AS lang FROM pages""")
+def language_of_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.regexp_extract("url", r"^[^?#]*", 0)
+    return table(spark, sf_dir, "pages").select("page_id", F.lower(F.regexp_extract(path, r"(\.[^./]*)\z", 1)).alias("extension"), extract.language(path).alias("lang"))

@@ -91,6 +91,14 @@ def reference_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return references.name_report(files, reg, none, none)
 
 
+@_c.query("SELECT 'apps/web/main.js' AS path, true AS renamed, true AS rest_kept")
+def autofix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = project(spark)
+    report = spark.createDataFrame([("apps/web/main.js", "renderPag", "typo", "renderPage")], "path string, name string, finding string, detail string")
+    fixed = references.autofix(files, report).withColumnRenamed("content", "new").join(files, "path")
+    return fixed.select("path", F.col("new").contains("renderPage(2)").alias("renamed"), (F.replace("new", F.lit("renderPage"), F.lit("renderPag")) == F.col("content")).alias("rest_kept"))
+
+
 @_c.query("SELECT * FROM (VALUES ('packages/pay/cart.js', 2, 'GET,POST', CAST(NULL AS VARCHAR))) AS t(file, routes, methods, mount)")
 def routes_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = project(spark).withColumn("lang", extract.language(F.col("path")))
