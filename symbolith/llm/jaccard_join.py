@@ -9,8 +9,8 @@ prefixes of ``n - ceil(t n) + c`` shingles.
    is joined. A thousand copies are one row per map task.
 2. **Filter group pairs.** A shingle in the prefixes of at most ``SMALL`` groups gives that
    group's pairs within the size bound; pairs with ``c`` common prefix shingles remain. A more
-   frequent prefix shingle gives no pairs: it ties its groups to one of them, one row each. The
-   components of both are candidate clusters, which contain every link.
+   frequent prefix shingle gives no pairs: it is a node itself that its groups are tied to, one row
+   each. The components of both are candidate clusters, which contain every link.
 3. **Expand and verify.** One member of each distinct set of a cluster is sent there once, with
    its shingles. A cluster above ``TASK_SHINGLES`` is cut in chunks, and every two chunks meet in
    a task, so no task is unbounded and no pair is missed. In a task, members are taken most
@@ -232,9 +232,9 @@ def components(
 
     groups = base.where("n > 0").groupBy("g1", "g2").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     tokens = groups.select(F.explode("prefix").alias("token"), F.col("g1").alias("g"), "n")
-    shared_tokens = tokens.groupBy("token").agg(F.count("*").alias("groups"), F.min("g").alias("lead")).where("groups > 1")
+    shared_tokens = tokens.groupBy("token").agg(F.count("*").alias("groups")).where("groups > 1")
     blocks = materialize(tokens.join(materialize(shared_tokens), "token"))
-    ties = blocks.where(F.col("groups") > SMALL).select(F.col("g").alias("src"), F.col("lead").alias("dst"))
+    ties = blocks.where(F.col("groups") > SMALL).select(F.col("g").alias("src"), F.col("token").alias("dst"))
     lists = blocks.where(F.col("groups") <= SMALL).groupBy("token").agg(F.collect_list(F.struct("g", "n")).alias("all"))
     ones = lists.select(F.explode("all").alias("a"), "all")
 
