@@ -400,7 +400,8 @@ def covered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", see
     hot = on.groupBy("gram").count().where(F.col("count") > HOT_SEGMENTS).select("gram", F.lit(True).alias("hot"))
     on = on.join(hot, "gram", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     wanted = on.groupBy("k1", "k2").agg(F.collect_list(F.struct("gram", "start", "size", "off", "many", "hot")).alias("wanted"))
-    fetched = texts.join(wanted, ["k1", "k2"]).select("text", "k1", "k2", "wanted").mapInArrow(_fetch, FETCHED)
+    # with the columns of the join below, so that both read one exchange of the texts
+    fetched = texts.join(wanted, ["k1", "k2"]).select("text", "k1", "k2", "wanted", "_id").mapInArrow(_fetch, FETCHED)
     equal = fetched.repartition(parts, "gkey").sortWithinPartitions("gkey").mapInArrow(_sort, "k1 long, k2 long, start int, size int")
     covers = counted.where("kind = 0").select("k1", "k2", "start", "size").unionByName(equal)
     code = F.shiftleft(F.col("start").cast("long"), 32) + F.col("size")
