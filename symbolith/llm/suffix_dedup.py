@@ -46,6 +46,8 @@ LENGTH = 200
 GRAM = 64
 TOKEN = 40  # bytes of a token of the multikey quicksort; LENGTH is a multiple of it
 PIECE = 1 << 19
+LONG = 4 << 20  # window starts of a piece of a longer text; positions in a piece must fit in POSITION bits
+POSITION = 24
 SAMPLE_ROWS = 2000
 RANGES_PER_PARTITION = 8
 HOT_SEGMENTS = 20_000
@@ -65,13 +67,15 @@ def _double(h: np.ndarray, step: int) -> np.ndarray:
 
 
 class Anchors:
-    """Anchors of all windows in a buffer of several rows."""
+    """Anchors of all windows in a buffer of several rows, of fewer than 2**POSITION bytes."""
 
     def __init__(self, buf: np.ndarray, offsets: np.ndarray):
         none = np.zeros(0, np.int64)
         self.row = self.start = self.size = self.off = none
         self.gram = self.segment = self.lead = np.zeros(0, np.uint64)
         n = len(buf)
+        if n >> POSITION:
+            raise ValueError(f"{n} bytes don't fit in {POSITION} bits")
         lengths = np.diff(offsets)
         windows = np.maximum(lengths - LENGTH + 1, 0)
         if windows.sum() == 0:
@@ -79,7 +83,7 @@ class Anchors:
         h = _BYTE[buf]
         for step in (1, 2, 4, 8, 16, 32):
             h = _double(h, step)
-        low = (h & ~np.uint64((1 << 24) - 1)) | np.arange(len(h), dtype=np.uint64)  # leftmost of equals
+        low = (h & ~np.uint64((1 << POSITION) - 1)) | np.arange(len(h), dtype=np.uint64)  # leftmost of equals
         span, step = LENGTH - GRAM + 1, 1
         while 2 * step <= span:
             low = np.minimum(low[:-step], low[step:])
@@ -90,7 +94,7 @@ class Anchors:
         whole = _double(long, LENGTH - 128) if n >= LENGTH else long[:0]
         row = np.repeat(np.arange(len(lengths)), windows)
         at = np.arange(len(row)) + np.repeat(offsets[:-1] - (np.cumsum(windows) - windows), windows)
-        anchor = (low[at] & np.uint64((1 << 24) - 1)).astype(np.int64)
+        anchor = (low[at] & np.uint64((1 << POSITION) - 1)).astype(np.int64)
         cut = np.empty(len(at), bool)
         cut[0] = True
         cut[1:] = (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1)
@@ -104,6 +108,22 @@ class Anchors:
         self.lead = buf[a[:, None] + np.arange(8)].astype(">u1").view(">u8").ravel().astype(np.uint64) if len(a) else self.lead
 
 
+def anchors(buf: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, int, Anchors]]:
+    """First row, place in that row and anchors of each piece of the rows.
+
+    A row longer than LONG is cut in pieces that overlap by LENGTH - 1 bytes, so each window
+    is in exactly one. A segment that is cut there counts as two segments of its anchor.
+    """
+    for i, j in pieces(off, PIECE):
+        a, z = int(off[i]), int(off[j])
+        if z - a <= max(PIECE, LONG):
+            yield i, 0, Anchors(buf[a:z], off[i : j + 1] - a)
+            continue
+        for at in range(a, z - LENGTH + 1, LONG):
+            part = buf[at : min(at + LONG + LENGTH - 1, z)]
+            yield i, at - a, Anchors(part, np.array([0, len(part)]))
+
+
 DEAL = "pid int, kind int, gram long, segment long, weight long, k1 long, k2 long, start int, size int, off int, spread boolean"
 _DEAL_NAMES = [x.split()[0] for x in DEAL.split(", ")]
 
@@ -114,9 +134,8 @@ def _deal(cuts: np.ndarray):
             k1, k2 = np.asarray(b.column(0)), np.asarray(b.column(1))
             buf, off = string_buffer(b.column(2))
             got: list[list[np.ndarray]] = []
-            for i, j in pieces(off, PIECE):
-                a = Anchors(buf[off[i] : off[j]], off[i : j + 1] - off[i])
-                got.append([a.row + i, a.start, a.size, a.off, a.gram, a.segment, a.lead])
+            for i, base, a in anchors(buf, off):
+                got.append([a.row + i, a.start + base, a.size, a.off, a.gram, a.segment, a.lead])
             if not got:
                 continue
             row, start, size, offset, gram, segment, lead = (np.concatenate(x) for x in zip(*got))
@@ -375,8 +394,8 @@ def _splitters(texts: DataFrame, ranges: int, seed: int) -> np.ndarray:
     def leads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             buf, off = string_buffer(b.column(0))
-            for i, j in pieces(off, PIECE):
-                lead = Anchors(buf[off[i] : off[j]], off[i : j + 1] - off[i]).lead[::4]
+            for _, _, a in anchors(buf, off):
+                lead = a.lead[::4]
                 yield pa.RecordBatch.from_arrays([pa.array(lead[:4096].view(np.int64))], ["lead"])
 
     rows = texts.select("text").sample(min(1.0, SAMPLE_ROWS / n), seed).mapInArrow(leads, "lead long").limit(64 * ranges).collect()

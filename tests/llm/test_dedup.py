@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -161,6 +162,58 @@ def test_suffix_dedup_odd(spark):
     assert spans == {1: [(150, 400)], 2: [(0, 250)]}
 
 
+def cut_long_by_brute_force(docs):
+    """As cut_by_brute_force, for long texts: only windows around repeated blocks are counted.
+
+    Each repeated window holds a whole block of half its length, cut at multiples of that.
+    """
+    n, half = suffix_dedup.LENGTH, suffix_dedup.LENGTH // 2
+    data = [t.encode() for _, t in docs]
+    blocks = {b[p : p + half] for b in data for p in range(0, len(b), half)}
+    at = collections.defaultdict(list)
+    for d, b in enumerate(data):
+        for j in range(len(b) - half + 1):
+            if b[j : j + half] in blocks:
+                at[b[j : j + half]].append((d, j))
+    starts = {(d, s) for x in at.values() if len(x) > 1 for d, j in x for s in range(max(j - half, 0), min(j, len(data[d]) - n) + 1)}
+    count = collections.Counter(data[d][s : s + n] for d, s in starts)
+    covers = [bytearray(len(b)) for b in data]
+    for d, s in starts:
+        if count[data[d][s : s + n]] > 1:
+            covers[d][s : s + n] = b"\1" * n
+    left = [np.frombuffer(b, np.uint8)[np.frombuffer(c, np.uint8) == 0].tobytes() for b, c in zip(data, covers)]
+    spans = [len([x for x in bytes(c).split(b"\0") if x]) for c in covers]
+    return [(i, len(b), sum(c), s, hashlib.sha256(x).hexdigest()) for (i, _), b, c, s, x in zip(docs, data, covers, spans, left)]
+
+
+def test_suffix_dedup_long_text(spark):
+    letters = lambda seed, n: np.random.default_rng(seed).integers(97, 123, n, dtype=np.uint8).tobytes().decode()
+    long, cut = letters(1, 17_200_000), 1 << 24
+    twice = letters(2, 450)
+    places = {16_900_000: twice, 17_000_000: twice, 17_199_700: letters(3, 300)}
+    for at, x in places.items():
+        long = long[:at] + x + long[at + len(x) :]
+    docs = [(1, long), (2, letters(4, 300) + long[17_100_000:17_100_260]), (3, long[cut - 500 : cut + 500]), (4, letters(5, 9) + long[cut - 120 : cut + 80])]
+    docs += [(5, letters(3, 300)), (6, long[cut - 100 : cut + 99]), (7, long[1000:1300])]
+    want = cut_long_by_brute_force(docs)
+    assert want[0][2:4] == (450 * 2 + 260 + 1000 + 300 + 300, 6)
+    got = sorted(map(tuple, suffix_dedup.digest(spark.createDataFrame(docs, TEXT)).collect()))
+    assert got == sorted(want)
+
+
+@pytest.mark.parametrize("long", [1, 137, 1000])
+def test_suffix_dedup_pieces_change_nothing(spark, monkeypatch, long):
+    monkeypatch.setattr(suffix_dedup, "PIECE", 1)
+    monkeypatch.setattr(suffix_dedup, "LONG", long)
+    buf = np.frombuffer(passages(random.Random(9))[-1][1].encode() * 2 + b"a" * 300, np.uint8)
+    pieces = list(suffix_dedup.anchors(buf, np.array([0, len(buf)])))
+    starts = [base + int(s) + k for _, base, a in pieces for s, n in zip(a.start, a.size) for k in range(n - suffix_dedup.LENGTH + 1)]
+    whole = suffix_dedup.Anchors(buf, np.array([0, len(buf)]))
+    assert sorted(starts) == list(range(len(buf) - suffix_dedup.LENGTH + 1)) and len(pieces) > 1
+    place = lambda base, a: {(base + int(s + o), int(g)) for s, o, g in zip(a.start, a.off, a.gram)}
+    assert set().union(*(place(base, a) for _, base, a in pieces)) == place(0, whole)
+
+
 # --- Jaccard join ---
 
 
