@@ -21,8 +21,9 @@ takes one pass over the documents per shard, with the statistics of that shard.
 a map over documents without a shuffle; a document's passages stay in one task.
 
 Defined cases: null and empty documents have no passages; null and empty items are never
-found; items with equal texts are all found; a row that repeats a document is judged like
-it; a null id is kept; extra columns are dropped; no documents or no items give no rows.
+found; items with equal texts are all found; each row is judged by its own text, also where
+rows share an id or have none; a null id is kept; ``contaminated`` drops extra columns and
+``drop_contaminated`` keeps them; no documents or no items give no rows of ``contaminated``.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _MARK, fresh, mix64, pieces, string_buffer, text_of, word_hashes, word_spans
+from .common import _MARK, materialize, mix64, pieces, string_buffer, text_of, word_hashes, word_spans
 
 THRESHOLD = 0.5  # share of an item's own BM25 score
 QUESTION, ANSWER = 0.6, 0.6  # shares of trigrams and of words
@@ -265,29 +266,51 @@ def _find(shared):
     return run
 
 
-def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One row per document and test item that it contains.
+def _stay(shared, at: int):
+    """Rows in whose text no item is found."""
 
-    ``items`` has item_id and text, or also question and answer.
-    """
-    sc = docs.sparkSession.sparkContext
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ix = shared.value
+        for b in batches:
+            buf, off = string_buffer(pc.utf8_lower(b.column(at)))
+            stay = np.ones(b.num_rows, bool)
+            for i, j in pieces(off, PIECE):
+                for r, *_ in matches(ix, buf[off[i] : off[j]], off[i : j + 1] - off[i]):
+                    stay[i + r] = False
+            yield b.filter(pa.array(stay))
+
+    return run
+
+
+def _shards(items: DataFrame, threshold: float) -> Iterator:
+    """Broadcast indexes of all items, one a shard."""
     own = {"question", "answer"} <= set(items.columns)
     items = items.select("item_id", text_of("text").alias("text"), *([text_of("question").alias("question"), text_of("answer").alias("answer")] if own else []))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = -(-size // SHARD_BYTES) or 1
-    out = None
     for k in range(shards):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k).collect()  # at most about SHARD_BYTES
         listed = [(r["item_id"], r["text"], *((r["question"], r["answer"]) if own else split_item(r["text"]))) for r in sorted(rows, key=str)]
-        shared = sc.broadcast(Index(listed, threshold))
+        yield items.sparkSession.sparkContext.broadcast(Index(listed, threshold))
+
+
+def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """One row per document and test item that it contains.
+
+    ``items`` has item_id and text, or also question and answer.
+    """
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
+    out = None
+    for shared in _shards(items, threshold):
         found = texts.mapInArrow(_find(shared), OUT)
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` in which no test item was found."""
-    (own,) = fresh(docs, "_gone")
-    gone = contaminated(docs, items, id_col=id_col, **options).select(F.col("doc_id").alias(own)).distinct()
-    return docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col(own)), "left_anti")
+def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` in whose own text no test item was found, whatever their ids."""
+    at, out = docs.columns.index(text_col), docs
+    for k, shared in enumerate(_shards(items, threshold)):
+        # between shards, so that a task holds one index
+        out = (materialize(out) if k else out).mapInArrow(_stay(shared, at), docs.schema)
+    return out

@@ -234,6 +234,20 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(spark.createDataFrame(docs, TEXT), none).count() == 0
 
 
+@pytest.mark.parametrize("shard", [64_000_000, 400])
+def test_drop_contaminated_judges_each_row(spark, monkeypatch, shard):
+    monkeypatch.setattr(decontaminate, "SHARD_BYTES", shard)
+    rng = random.Random(12)
+    items = spark.createDataFrame([(i, prose(rng, 25) + ". " + prose(rng, 8) + ".") for i in range(6)], "item_id long, text string")
+    held = [r["text"] for r in items.collect()]
+    clean = [(None, prose(rng, 80)), (None, prose(rng, 90)), (7, prose(rng, 70)), (8, prose(rng, 60)), (None, None), (9, "")]
+    bad = [(i, prose(rng, 40) + " " + held[k] + " " + prose(rng, 40)) for k, i in enumerate([None, 7, None, 9, 10, 11])]
+    docs = shout(spark.createDataFrame([x for pair in zip(clean, bad) for x in pair], TEXT))
+    left = decontaminate.drop_contaminated(docs, items)
+    assert left.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=str) == sorted(clean, key=str)
+
+
 def test_hopeful_loses_nothing(monkeypatch):
     rng = random.Random(9)
     words = [f"w{i}" for i in range(300)]
