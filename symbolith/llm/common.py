@@ -87,6 +87,11 @@ def pieces(offsets: np.ndarray, limit: int = PIECE_BYTES) -> Iterator[tuple[int,
         start = end
 
 
+def index_ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """All indices of the ranges, one after another."""
+    return np.arange(int(lengths.sum())) + np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads each bit of a uint64 over all bits."""
     x = x ^ (x >> np.uint64(30))

@@ -38,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _MARK, materialize, mix64, pieces, string_buffer, text_of, word_hashes, word_spans
+from .common import _MARK, index_ranges, materialize, mix64, pieces, string_buffer, text_of, word_hashes, word_spans
 
 THRESHOLD = 0.5  # share of an item's own BM25 score
 QUESTION, ANSWER = 0.6, 0.6  # shares of trigrams and of words
@@ -195,10 +195,6 @@ def wand(ix: Index, terms: list[int]) -> list[tuple[int, float]]:
     return found
 
 
-def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    return np.arange(int(lengths.sum())) + np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
-
-
 class Passages:
     """Half-overlapping passages over the words of several rows."""
 
@@ -218,11 +214,11 @@ def hopeful(ix: Index, term: np.ndarray, row: np.ndarray, p: Passages) -> np.nda
     hit = np.flatnonzero((term >= 0) & (rare[term] > 0)) if len(ix.terms) else np.zeros(0, np.int64)
     lo, hi = np.searchsorted(hit, p.start), np.searchsorted(hit, p.end)
     passage = np.repeat(np.arange(len(p.row)), hi - lo)
-    t = term[hit[_ranges(lo, hi - lo)]]
+    t = term[hit[index_ranges(lo, hi - lo)]]
     pair = np.unique(passage * len(ix.terms) + t)
     passage, t = pair // max(len(ix.terms), 1), pair % max(len(ix.terms), 1)
     n = rare[t]
-    at = _ranges(ix.rare_first[t], n)
+    at = index_ranges(ix.rare_first[t], n)
     key = np.repeat(passage, n) * len(ix.ids) + ix.rare_item[at]
     key, back = np.unique(key, return_inverse=True)
     total = np.bincount(back, ix.rare_weight[at], len(key)) + ix.aside[key % max(len(ix.ids), 1)]

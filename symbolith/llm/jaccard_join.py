@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, grouped, materialize, mix64, pieces, shingle_hashes, string_buffer, text_of, word_hashes, word_spans
+from .common import connected_components, grouped, index_ranges, materialize, mix64, pieces, shingle_hashes, string_buffer, text_of, word_hashes, word_spans
 
 COMMON = 3  # c: prefix shingles that a pair must share
 SMALL = 64
@@ -155,11 +155,6 @@ def _send(size: int):
     return run
 
 
-def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """All indices of the ranges, one after another."""
-    return np.arange(int(lengths.sum())) + np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
-
-
 def link_sets(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
     """Pairs of linked sets that join all components of links; sets hold distinct hashes."""
     m = len(sets)
@@ -186,13 +181,13 @@ def link_sets(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int
     for step, i in enumerate(central):
         own = token[start[i] : start[i] + n[i]]
         lead = own[: length[i]]
-        cand = posting[_ranges(first[lead], counts[lead])]
+        cand = posting[index_ranges(first[lead], counts[lead])]
         cand = np.unique(cand[(rank[cand] > step) & (root[cand] != root[i])])
         cand = cand[(n[cand] * den >= num * n[i]) & (n[i] * den >= num * n[cand])]
         if not len(cand):
             continue
         mark[own] = True
-        hits = np.add.reduceat(mark[token[_ranges(start[cand], n[cand])]].astype(np.int64), np.cumsum(n[cand]) - n[cand])
+        hits = np.add.reduceat(mark[token[index_ranges(start[cand], n[cand])]].astype(np.int64), np.cumsum(n[cand]) - n[cand])
         mark[own] = False
         for j in cand[hits * den >= num * (n[cand] + n[i] - hits)]:
             if root[j] != root[i]:

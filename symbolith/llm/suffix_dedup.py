@@ -7,22 +7,28 @@ position in sixty is moved. The windows of one anchor are a run of starts; the b
 they cover are the anchor's *segment*.
 
 1. **Deal.** Splitters are sampled from the leading bytes of anchor suffixes. Each suffix
-   goes to the range of its leading bytes; a range so common that several splitters are
-   equal is spread over those ranges by the hash of the whole segment. Before that, equal
-   segments of a batch are combined to one row with a count, and their bytes are marked.
-2. **Count.** Ranges are sorted by anchor and segment. An anchor with one segment that
-   occurs once is unique and ends here. All windows of a segment that occurs twice are
-   repeats. If an anchor has different segments, one of each goes on.
-3. **Sort.** The bytes of those segments are fetched and their windows sorted by multikey
-   quicksort: windows of one anchor and offset are split token by token, and a part of one
-   window is dropped as soon as it stands alone. What is left equal is compared byte by
-   byte with its neighbour. An anchor with more than ``HOT_SEGMENTS`` different segments is
-   split into single windows first, dealt by their own content, so no task gathers it.
-4. **Cut.** Covered intervals are collected per document (as many as its own length
+   goes to the range of its leading bytes, without its bytes. Equal segments of a batch are
+   combined first, after comparing their bytes, and marked. A range so common that several
+   splitters are equal is spread over those ranges.
+2. **Sieve.** Ranges are sorted by leading bytes and anchor. An anchor that stands once has
+   no equal and ends here; hashes decide nothing else.
+3. **Sort.** The bytes of the other segments are fetched and dealt by the same splitters.
+   Each range is sorted by leading bytes and anchor; in it equal segments are combined and
+   windows of one anchor and offset are sorted by multikey quicksort, eight bytes a round: parts
+   of one window are dropped, and what is left after the last round is equal in every byte.
+   Splitters part suffixes by leading bytes, equal ones by the whole anchor, so suffixes on
+   both sides of a boundary have less than ``GRAM`` bytes in common: none of their windows
+   are equal, and each range's ends are settled by the deal.
+4. **Hot anchors.** An anchor with more than ``HOT_SEGMENTS`` segments (of different batches
+   or contexts) is taken window by window: equal windows of a batch are combined, 128-bit hashes
+   of the others are counted, and only windows whose hash several batches have are fetched
+   and sorted as above. A group has a row for each batch at most, not for each context.
+5. **Cut.** Covered intervals are collected per document (as many as its own length
    allows), merged and cut out.
 
-Texts are joined by document twice on one reused exchange; steps 1 and 2 move about
-forty bytes an anchor. Only ``SAMPLE_ROWS`` documents' leading bytes reach the driver.
+Texts are joined by document on exchanges that adaptive execution can split; step 1 moves
+about fifty bytes an anchor. Only the leading bytes of about ``SAMPLE_ROWS`` documents'
+anchors, 1,024 of one at most, reach the driver.
 
 Defined cases: a null text is empty; a text of fewer than LENGTH bytes loses nothing;
 overlapping occurrences in one text count; a row that repeats another's text is another
@@ -40,11 +46,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BYTE, materialize, mix64, pieces, string_buffer, text_of
+from .common import _BYTE, index_ranges, materialize, mix64, pieces, string_buffer, text_of
 
 LENGTH = 200
 GRAM = 64
-TOKEN = 40  # bytes of a token of the multikey quicksort; LENGTH is a multiple of it
+TOKEN = 8  # bytes of a token of the multikey quicksort; LENGTH is a multiple of it
 PIECE = 1 << 19
 LONG = 4 << 20  # window starts of a piece of a longer text; positions in a piece must fit in POSITION bits
 POSITION = 24
@@ -124,8 +130,59 @@ def anchors(buf: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, int, Anchor
             yield i, at - a, Anchors(part, np.array([0, len(part)]))
 
 
-DEAL = "pid int, kind int, gram long, segment long, weight long, k1 long, k2 long, start int, size int, off int, spread boolean"
+def _unlike(buf: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Which runs at ``a`` differ from those at ``b`` in some byte."""
+    out = np.zeros(len(a), bool)
+    for i, j in pieces(np.concatenate(([0], np.cumsum(size))), PIECE):
+        n = size[i:j]
+        differs = buf[index_ranges(a[i:j], n)] != buf[index_ranges(b[i:j], n)]
+        out[i:j] = np.logical_or.reduceat(differs, np.cumsum(n) - n)
+    return out
+
+
+def alike(buf: np.ndarray, at: np.ndarray, size: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Group of each run and first run of each group; runs of a group are equal byte by byte.
+
+    ``keys`` are hashes that equal runs share; runs that merely share them are told apart.
+    """
+    extra = np.zeros(len(at), np.int64)
+    while True:
+        by = (extra, size, *keys)
+        order = np.lexsort(by)
+        new = np.zeros(len(order), bool)
+        new[:1] = True
+        for k in by:
+            new[1:] |= k[order[1:]] != k[order[:-1]]
+        group = np.cumsum(new) - 1
+        first = order[new]
+        rest = np.flatnonzero(~new)
+        wrong = _unlike(buf, at[order[rest]], at[first[group[rest]]], size[order[rest]])
+        if not wrong.any():
+            out = np.empty(len(order), np.int64)
+            out[order] = group
+            return out, first
+        extra[order[rest[wrong]]] += 1
+
+
+def _ordered(lead: np.ndarray) -> np.ndarray:
+    """Leading bytes as longs that sort like the bytes."""
+    return (lead ^ np.uint64(1 << 63)).view(np.int64)
+
+
+def range_of(cuts: np.ndarray, lead: np.ndarray, tie: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Range of each suffix, and whether its leading bytes have several; then ``tie`` picks one."""
+    lo, hi = np.searchsorted(cuts, lead, side="left"), np.searchsorted(cuts, lead, side="right")
+    return lo + (tie % (hi - lo + 1).astype(np.uint64)).astype(np.int64), hi > lo
+
+
+DEAL = "pid int, kind int, lead long, gram long, k1 long, k2 long, start int, size int, off int, many boolean, spread boolean"
 _DEAL_NAMES = [x.split()[0] for x in DEAL.split(", ")]
+_DEAL_KINDS = (np.int32, np.int32, np.int64, np.int64, np.int64, np.int64, np.int32, np.int32, np.int32, bool, bool)
+
+
+def _record(names: list[str], kinds: tuple, cols: tuple) -> pa.RecordBatch:
+    n = max(np.size(c) for c in cols if not np.isscalar(c))
+    return pa.RecordBatch.from_arrays([pa.array((np.full(n, c) if np.isscalar(c) else np.asarray(c)).astype(t, copy=False)) for c, t in zip(cols, kinds)], names)
 
 
 def _deal(cuts: np.ndarray):
@@ -141,34 +198,22 @@ def _deal(cuts: np.ndarray):
             row, start, size, offset, gram, segment, lead = (np.concatenate(x) for x in zip(*got))
             if not len(row):
                 continue
-            order = np.lexsort((segment, gram))
-            new = np.ones(len(order), bool)
-            new[1:] = (gram[order[1:]] != gram[order[:-1]]) | (segment[order[1:]] != segment[order[:-1]])
-            group = np.cumsum(new) - 1
+            group, one = alike(buf, off[row] + start, size, offset, segment, gram)
             weight = np.bincount(group)
-            many = np.zeros(len(order), bool)
-            many[order] = weight[group] > 1
-            one = order[new]
-            lo = np.searchsorted(cuts, lead[one], side="left")
-            hi = np.searchsorted(cuts, lead[one], side="right")
-            pid = lo + (segment[one] % (hi - lo + 1).astype(np.uint64)).astype(np.int64)
-            yield _batch(pid, 1, gram[one], segment[one], weight, k1[row[one]], k2[row[one]], start[one], size[one], offset[one], hi > lo)
-            at = np.flatnonzero(many)
+            pid, spread = range_of(cuts, lead[one], segment[one])
+            r = row[one]
+            yield _record(
+                _DEAL_NAMES, _DEAL_KINDS, (pid, 1, _ordered(lead[one]), gram[one].view(np.int64), k1[r], k2[r], start[one], size[one], offset[one], weight > 1, spread)
+            )
+            at = np.flatnonzero(weight[group] > 1)
             if len(at):
                 r, s, e = merge(row[at], start[at], start[at] + size[at])
-                zero = np.zeros(len(r), np.uint64)
                 pid = (k1[r].astype(np.uint64) % np.uint64(len(cuts) + 1)).astype(np.int64)
-                yield _batch(pid, 0, zero, zero, np.ones(len(r)), k1[r], k2[r], s, e - s, np.zeros(len(r)), np.zeros(len(r), bool))
+                yield _record(_DEAL_NAMES, _DEAL_KINDS, (pid, 0, 0, 0, k1[r], k2[r], s, e - s, 0, False, False))
 
     return run
 
 
-def _batch(pid, kind, gram, segment, weight, k1, k2, start, size, off, spread) -> pa.RecordBatch:
-    kinds = (np.int32, np.int32, np.int64, np.int64, np.int64, np.int64, np.int64, np.int32, np.int32, np.int32, bool)
-    cols = (pid, np.full(len(pid), kind), gram.view(np.int64), segment.view(np.int64), weight, k1, k2, start, size, off, spread)
-    return pa.RecordBatch.from_arrays([pa.array(np.asarray(c).astype(t, copy=False)) for c, t in zip(cols, kinds)], _DEAL_NAMES)
-
-
 def merge(row: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Maximal intervals of the union, by row; touching intervals are one."""
     order = np.lexsort((start, row))
@@ -212,137 +257,174 @@ def _in_chunks(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], rows: i
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-COUNTED = "kind int, gram long, segment long, k1 long, k2 long, start int, size int, off int, many boolean"
+SIEVED = "kind int, gram long, k1 long, k2 long, start int, size int, off int, many boolean"
+_SIEVED_NAMES = [x.split()[0] for x in SIEVED.split(", ")]
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for t in _in_chunks(batches, ("kind", "gram"), 200_000):
-        c = {k: t.column(k).to_numpy() for k in _DEAL_NAMES}
-        gram, segment = c["gram"], c["segment"]
-        new_gram = np.ones(len(t), bool)
-        new_gram[1:] = (gram[1:] != gram[:-1]) | (c["kind"][1:] != c["kind"][:-1])
-        new = new_gram.copy()
-        new[1:] |= segment[1:] != segment[:-1]
-        by = np.cumsum(new) - 1
-        total = np.bincount(by, c["weight"])
-        grams = np.cumsum(new_gram) - 1
-        several = np.bincount(grams[new])[grams] > 1
-        own = c["kind"] == 1
-        cover = ~own | (own & (total[by] > 1) & (c["weight"] == 1))
-        on = own & new & (several | c["spread"])
-        at = np.concatenate([np.flatnonzero(cover), np.flatnonzero(on)])
-        kind = np.repeat([0, 1], [cover.sum(), on.sum()]).astype(np.int32)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(kind), *(pa.array(c[k][at]) for k in ("gram", "segment", "k1", "k2", "start", "size", "off")), pa.array(total[by][at] > 1)],
-            [x.split()[0] for x in COUNTED.split(", ")],
-        )
+def _sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Drops anchors that stand once."""
+    for t in _in_chunks(batches, ("kind", "lead", "gram"), 200_000):
+        new = np.ones(len(t), bool)
+        new[1:] = False
+        for k in ("kind", "lead", "gram"):
+            c = t.column(k).to_numpy()
+            new[1:] |= c[1:] != c[:-1]
+        several = np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1] > 1
+        stay = several | (t.column("kind").to_numpy() == 0) | t.column("spread").to_numpy(zero_copy_only=False)
+        yield from t.filter(pa.array(stay)).select(_SIEVED_NAMES).to_batches()
 
 
-FETCHED = "gkey long, k1 long, k2 long, start int, off int, many boolean, hot boolean, bytes binary"
+FETCHED = "pid int, lead long, gram long, k1 long, k2 long, start int, off int, many boolean, bytes binary"
+_FETCHED_NAMES = [x.split()[0] for x in FETCHED.split(", ")]
 
 
-def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bytes of segments; those of a hot anchor as single windows keyed by their content."""
-    names = [x.split()[0] for x in FETCHED.split(", ")]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.binary()]
-    for b in batches:
-        out: list[list] = [[] for _ in names]
-        size = 0
-        for text, k1, k2, wanted in zip(*(b.column(i) for i in range(4))):
-            data = text.as_py().encode()
-            for w in wanted.as_py():
-                part = data[w["start"] : w["start"] + w["size"]]
-                rows = [(w["gram"], w["start"], w["off"], part)]
-                if w["hot"]:
-                    rows = []
-                    for i in range(len(part) - LENGTH + 1):
-                        one = part[i : i + LENGTH]
-                        key = int.from_bytes(hashlib.blake2b(one, digest_size=8).digest(), "little", signed=True)
-                        rows.append((key, w["start"] + i, w["off"] - i, one))
-                for key, start, off, one in rows:
-                    for col, v in zip(out, (key, k1.as_py(), k2.as_py(), start, off, w["many"], w["hot"], one)):
-                        col.append(v)
-                    size += len(one)
-            if size > GATHER:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names)
-                out, size = [[] for _ in names], 0
-        if out[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names)
-
-
-def _tokens(buf: np.ndarray) -> np.ndarray:
-    """Hash of the TOKEN bytes from each position."""
-    h = _BYTE[buf]
+def _wanted(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
+    """Text bytes, place in them of each wanted run, and the fields of the runs with their document's keys."""
+    buf, off = string_buffer(b.column(0))
+    lists = b.column(3)
+    row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+    runs = lists.flatten()
+    c = {runs.type.field(i).name: runs.field(i).to_numpy(zero_copy_only=False) for i in range(runs.type.num_fields)}
+    c |= {"k1": np.asarray(b.column(1))[row], "k2": np.asarray(b.column(2))[row]}
+    return buf, off[row] + c["start"], c
+
+
+def _lead_of(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return buf[at[:, None] + np.arange(8)].view(">u8").ravel().astype(np.uint64)
+
+
+def _fetch(cuts: np.ndarray):
+    """Bytes of segments, dealt by the leading bytes of their anchor."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            buf, at, c = _wanted(b)
+            sizes = np.concatenate(([0], np.cumsum(c["size"])))
+            for i, j in pieces(sizes, GATHER):
+                lead = _lead_of(buf, at[i:j] + c["off"][i:j])
+                pid, _ = range_of(cuts, lead, mix64(c["gram"][i:j].view(np.uint64)))
+                data = buf[index_ranges(at[i:j], c["size"][i:j].astype(np.int64))]
+                runs = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer((sizes[i : j + 1] - sizes[i]).astype(np.int32)), pa.py_buffer(data)])
+                cols = [pid.astype(np.int32), _ordered(lead), *(c[k][i:j] for k in ("gram", "k1", "k2", "start", "off", "many"))]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, cols), runs], _FETCHED_NAMES)
+
+    return run
+
+
+WINDOWS = "kind int, w1 long, w2 long, k1 long, k2 long, start int, size int, off int, many boolean"
+_WINDOWS_NAMES = [x.split()[0] for x in WINDOWS.split(", ")]
+_WINDOWS_KINDS = (np.int32, np.int64, np.int64, np.int64, np.int64, np.int32, np.int32, np.int32, bool)
+
+
+def _window_hashes(buf: np.ndarray, at: np.ndarray, seed: int) -> np.ndarray:
+    """Hashes of the windows at ``at``, from hashes of runs of eight bytes."""
+    h = mix64(_BYTE[buf] ^ np.uint64(seed))
     for step in (1, 2, 4):
         h = _double(h, step)
-    eight = h
-    for step in (8, 16):
-        h = _double(h, step)
-    n = len(buf) - TOKEN + 1
-    return mix64(h[:n] * _C + eight[TOKEN - 8 : TOKEN - 8 + n])
+    out = np.zeros(len(at), np.uint64)
+    for k in range(0, LENGTH, 8):
+        out = mix64(out * _C + h[at + k])
+    return out
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows of hot segments as 128-bit hashes, one of each distinct window of a batch (kind 1), and what repeats in a batch (kind 0)."""
+    for b in batches:
+        buf, place, c = _wanted(b)
+        for i, j in pieces(np.concatenate(([0], np.cumsum(c["size"]))), PIECE):
+            n = c["size"][i:j].astype(np.int64) - LENGTH + 1
+            seg = np.repeat(np.arange(i, j), n)
+            inside = index_ranges(np.zeros(j - i, np.int64), n)
+            at = place[seg] + inside
+            low = int(at.min())
+            own = buf[low : int(at.max()) + LENGTH]
+            w = [_window_hashes(own, at - low, k) for k in (1, 2)]
+            group, one = alike(buf, at, np.full(len(at), LENGTH), *w)
+            many = np.bincount(group) > 1
+            start, k1, k2 = c["start"][seg] + inside, c["k1"][seg], c["k2"][seg]
+            yield _record(
+                _WINDOWS_NAMES, _WINDOWS_KINDS,
+                (1, w[0][one].view(np.int64), w[1][one].view(np.int64), k1[one], k2[one], start[one], LENGTH, (c["off"][seg] - inside)[one], many),
+            )
+            hit = np.flatnonzero(many[group])
+            if len(hit):
+                r, s, e = merge(seg[hit], start[hit].astype(np.int64), start[hit].astype(np.int64) + LENGTH)
+                yield _record(_WINDOWS_NAMES, _WINDOWS_KINDS, (0, 0, 0, c["k1"][r], c["k2"][r], s, e - s, 0, False))
+
+
+def _words(buf: np.ndarray) -> np.ndarray:
+    """The TOKEN bytes from each position as a number that sorts like them; zeros stand behind the end."""
+    long = np.concatenate([buf, np.zeros(TOKEN, np.uint8)]).astype(np.uint64)
+    out = np.zeros(len(buf), np.uint64)
+    for k in range(TOKEN):
+        out = (out << np.uint64(8)) | long[k : k + len(buf)]
+    return out
 
 
 def equal_windows(buf: np.ndarray, at: np.ndarray, group: np.ndarray) -> np.ndarray:
-    """Which windows equal another of their group: multikey quicksort by tokens.
+    """Which windows equal another of their group: multikey quicksort, TOKEN bytes a round.
 
-    Each round sorts the parts that are left by their next token and drops those of one
-    window; in the end neighbours are compared byte by byte.
+    Each round sorts those parts in which the next token differs, and drops parts of one
+    window. After the last round the windows of a part are equal in all LENGTH bytes.
     """
-    token = _tokens(buf)
-    live, part = np.arange(len(at)), group
+    word = _words(buf)
+    live = np.argsort(group, kind="stable")
+    part = group[live]
     for depth in range(LENGTH // TOKEN):
-        t = token[at[live] + depth * TOKEN]
-        order = np.lexsort((t, part))
-        live, part, t = live[order], part[order], t[order]
         new = np.ones(len(live), bool)
-        new[1:] = (part[1:] != part[:-1]) | (t[1:] != t[:-1])
+        new[1:] = part[1:] != part[:-1]
         part = np.cumsum(new) - 1
         stay = np.bincount(part)[part] > 1 if len(part) else new
-        live, part = live[stay], part[stay]
+        live, part, new = live[stay], part[stay], new[stay]
+        t = word[at[live] + depth * TOKEN]
+        differs = np.zeros(int(part[-1]) + 1 if len(part) else 0, bool)
+        differs[part[1:][(t[1:] != t[:-1]) & ~new[1:]]] = True
+        mixed = np.flatnonzero(differs[part])
+        order = mixed[np.lexsort((t[mixed], part[mixed]))]
+        live[mixed], t[mixed] = live[order], t[order]
+        split = np.zeros(len(live), bool)
+        split[1:] = (part[1:] != part[:-1]) | (t[1:] != t[:-1])
+        part = np.cumsum(split)
     out = np.zeros(len(at), bool)
-    for i in range(0, max(len(live) - 1, 0), 1 << 15):
-        a, b = live[i : i + (1 << 15)], live[i + 1 : i + 1 + (1 << 15)]
-        a = a[: len(b)]
-        same = part[i : i + len(a)] == part[i + 1 : i + 1 + len(a)]
-        a, b = a[same], b[same]
-        span = np.arange(LENGTH)
-        equal = (buf[at[a][:, None] + span] == buf[at[b][:, None] + span]).all(axis=1)
-        out[a[equal]] = True
-        out[b[equal]] = True
+    if len(part):
+        out[live[np.bincount(part)[part] > 1]] = True
     return out
 
 
 def _sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for t in _in_chunks(batches, ("gkey",), GATHER, "bytes"):
+    """Covered intervals from the segments of a range, sorted by leading bytes and anchor."""
+    for t in _in_chunks(batches, ("lead", "gram"), GATHER, "bytes"):
         col = t.column("bytes").combine_chunks()
         if isinstance(col, pa.ChunkedArray):
             col = col.chunk(0)
         off = np.frombuffer(col.buffers()[1], np.int32, len(col) + 1, col.offset * 4).astype(np.int64)
         buf = np.frombuffer(col.buffers()[2], np.uint8)[off[0] : off[-1]]
         off = off - off[0]
-        n = np.diff(off) - LENGTH + 1
-        seg = np.repeat(np.arange(len(n)), n)
-        inside = np.arange(len(seg)) - np.repeat(np.cumsum(n) - n, n)
-        key, anchor = t.column("gkey").to_numpy(), t.column("off").to_numpy()
-        change = np.ones(len(key), bool)
-        change[1:] = key[1:] != key[:-1]
-        group = (np.cumsum(change) - 1)[seg] * 4096 + (anchor[seg] - inside)
-        same = equal_windows(buf, off[seg] + inside, group)
+        change = np.zeros(len(t), bool)
+        for k in ("lead", "gram"):
+            c = t.column(k).to_numpy()
+            change[1:] |= c[1:] != c[:-1]
+        anchor, key, size = t.column("off").to_numpy().astype(np.int64), np.cumsum(change), np.diff(off)
+        same, one = alike(buf, off[:-1], size, _first_and_last(buf, off), anchor, key)
+        copies = np.bincount(same)[same] > 1
+        several = np.bincount(key[one], minlength=int(key[-1]) + 1) > 1  # anchors with different segments
+        one = one[several[key[one]]]
+        n = size[one] - LENGTH + 1
+        seg = np.repeat(one, n)
+        inside = index_ranges(np.zeros(len(one), np.int64), n)
+        equal = equal_windows(buf, off[seg] + inside, key[seg] * 4096 + (anchor[seg] - inside))
         many = t.column("many").to_numpy(zero_copy_only=False)
-        hit = np.flatnonzero(same & ~many[seg])
-        s = inside[hit]
-        seg = seg[hit]
-        seg, s, e = merge(seg, s, s + LENGTH)
-        start = t.column("start").to_numpy()[seg]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(t.column("k1").to_numpy()[seg]),
-                pa.array(t.column("k2").to_numpy()[seg]),
-                pa.array((start + s).astype(np.int32)),
-                pa.array((e - s).astype(np.int32)),
-            ],
-            ["k1", "k2", "start", "size"],
-        )
+        hit = np.flatnonzero(equal & ~many[seg] & ~copies[seg])
+        whole = np.flatnonzero(copies & ~many)
+        r, s, e = merge(np.concatenate([seg[hit], whole]), np.concatenate([inside[hit], np.zeros(len(whole), np.int64)]), np.concatenate([inside[hit] + LENGTH, size[whole]]))
+        cols = [t.column("k1").to_numpy()[r], t.column("k2").to_numpy()[r], (t.column("start").to_numpy()[r] + s).astype(np.int32), (e - s).astype(np.int32)]
+        yield pa.RecordBatch.from_arrays([*map(pa.array, cols)], ["k1", "k2", "start", "size"])
+
+
+def _first_and_last(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """A hash of the outer bytes of each segment."""
+    a, b = (buf[x[:, None] + np.arange(8)].view(np.uint64).ravel() for x in (off[:-1], off[1:] - 8))
+    return mix64(a * _C + b)
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -395,14 +477,19 @@ def _splitters(texts: DataFrame, ranges: int, seed: int) -> np.ndarray:
         for b in batches:
             buf, off = string_buffer(b.column(0))
             for _, _, a in anchors(buf, off):
-                lead = a.lead[::4]
-                yield pa.RecordBatch.from_arrays([pa.array(lead[:4096].view(np.int64))], ["lead"])
+                yield pa.RecordBatch.from_arrays([pa.array(a.lead[::8][:1024].view(np.int64))], ["lead"])
 
-    rows = texts.select("text").sample(min(1.0, SAMPLE_ROWS / n), seed).mapInArrow(leads, "lead long").limit(64 * ranges).collect()
+    rows = texts.select("text").sample(min(1.0, SAMPLE_ROWS / n), seed).mapInArrow(leads, "lead long").collect()
     lead = np.sort(np.array([r[0] for r in rows], np.int64).view(np.uint64))
     return lead[(np.arange(1, ranges) * len(lead)) // ranges] if len(lead) else lead
 
 
+def _in_ranges(rows: DataFrame, parts: int, *order: str) -> DataFrame:
+    """Rows in partitions of neighbouring ranges, sorted."""
+    own = F.least((F.col("pid") / RANGES_PER_PARTITION).cast("int"), F.lit(parts - 1))
+    return rows.withColumn("pid", own).repartitionById(parts, "pid").sortWithinPartitions(*order)
+
+
 def covered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 9) -> DataFrame:
     """Rows (_id, k1, k2, text, covers) of ``docs``; covers holds (start << 32) + size of covered intervals."""
     spark = docs.sparkSession
@@ -413,19 +500,35 @@ def covered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", see
     )
     cuts = _splitters(texts, parts * RANGES_PER_PARTITION, seed)
     dealt = texts.select("k1", "k2", "text").mapInArrow(_deal(cuts), DEAL)
-    dealt = dealt.repartition(parts, "pid").sortWithinPartitions("kind", "gram", "segment")
-    counted = materialize(dealt.mapInArrow(_count, COUNTED))
-    on = counted.where("kind = 1")
-    hot = on.groupBy("gram").count().where(F.col("count") > HOT_SEGMENTS).select("gram", F.lit(True).alias("hot"))
-    on = on.join(hot, "gram", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    wanted = on.groupBy("k1", "k2").agg(F.collect_list(F.struct("gram", "start", "size", "off", "many", "hot")).alias("wanted"))
-    # with the columns of the join below, so that both read one exchange of the texts
-    fetched = texts.join(wanted, ["k1", "k2"]).select("text", "k1", "k2", "wanted", "_id").mapInArrow(_fetch, FETCHED)
-    equal = fetched.repartition(parts, "gkey").sortWithinPartitions("gkey").mapInArrow(_sort, "k1 long, k2 long, start int, size int")
-    covers = counted.where("kind = 0").select("k1", "k2", "start", "size").unionByName(equal)
+    sieved = materialize(_in_ranges(dealt, parts, "kind", "lead", "gram").mapInArrow(_sieve, SIEVED))
+    on = sieved.where("kind = 1")
+    covers = [sieved.where("kind = 0").select("k1", "k2", "start", "size")]
+
+    def texts_of(runs: DataFrame) -> DataFrame:
+        wanted = runs.groupBy("k1", "k2").agg(F.collect_list(F.struct("gram", "start", "size", "off", "many")).alias("wanted"))
+        # with the columns of the join below, so that both read one exchange of the texts
+        return texts.join(wanted, ["k1", "k2"]).select("text", "k1", "k2", "wanted", "_id")
+
+    def equals(runs: DataFrame) -> DataFrame:
+        fetched = texts_of(runs).mapInArrow(_fetch(cuts), FETCHED)
+        return _in_ranges(fetched, parts, "lead", "gram").mapInArrow(_sort, "k1 long, k2 long, start int, size int")
+
+    hot = materialize(on.groupBy("gram").count().where(F.col("count") > HOT_SEGMENTS).select("gram"))
+    if hot.isEmpty():
+        covers.append(equals(on))
+    else:
+        covers.append(equals(on.join(hot, "gram", "left_anti")))
+        windows = materialize(texts_of(on.join(hot, "gram", "left_semi")).mapInArrow(_windows, WINDOWS))
+        covers.append(windows.where("kind = 0").select("k1", "k2", "start", "size"))
+        own = windows.where("kind = 1")
+        several = materialize(own.groupBy("w1", "w2").count().where("count > 1").select("w1", "w2"))
+        covers.append(equals(own.join(several, ["w1", "w2"]).withColumnRenamed("w1", "gram")))
     code = F.shiftleft(F.col("start").cast("long"), 32) + F.col("size")
-    covers = covers.groupBy("k1", "k2").agg(F.collect_list(code).alias("covers"))
-    return texts.join(covers, ["k1", "k2"], "left").select("_id", "k1", "k2", "text", "covers")
+    found = covers[0]
+    for more in covers[1:]:
+        found = found.unionByName(more)
+    found = found.groupBy("k1", "k2").agg(F.collect_list(code).alias("covers"))
+    return texts.join(found, ["k1", "k2"], "left").select("_id", "k1", "k2", "text", "covers")
 
 
 def digest(docs: DataFrame, **options) -> DataFrame:

@@ -162,6 +162,25 @@ def test_suffix_dedup_odd(spark):
     assert spans == {1: [(150, 400)], 2: [(0, 250)]}
 
 
+def test_suffix_dedup_one_passage_in_many_contexts(spark, monkeypatch):
+    """A hot anchor over many batches: some contexts are shared, most aren't."""
+    monkeypatch.setattr(suffix_dedup, "HOT_SEGMENTS", 100)
+    rng = random.Random(16)
+    word = lambda: "".join(rng.choice("abcdefgñ") for _ in range(rng.randint(2, 7)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    passage, shared = prose(55), [prose(9) for _ in range(5)]
+    docs = [(i, prose(6) + rng.choice([*shared, prose(9)]) + passage + rng.choice([*shared, prose(9)]) + prose(6)) for i in range(2000)]
+    assert 250 < len(passage.encode()) < 400
+    got = sorted(map(tuple, suffix_dedup.digest(spark.createDataFrame(docs, TEXT).repartition(12)).collect()))
+    assert got == sorted(cut_by_brute_force(docs))
+
+
+def test_equal_keys_of_unequal_runs():
+    buf = np.frombuffer(b"abcdabceabcdabce", np.uint8)
+    group, first = suffix_dedup.alike(buf, np.array([0, 4, 8, 12]), np.full(4, 4), np.zeros(4, np.int64))
+    assert group[0] == group[2] != group[1] == group[3] and sorted(first.tolist()) == [0, 1]
+
+
 def cut_long_by_brute_force(docs):
     """As cut_by_brute_force, for long texts: only windows around repeated blocks are counted.
 
