@@ -57,6 +57,48 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+# --- Rows --------------------------------------------------------------------
+
+#: Narrow rows (some twenty bytes each) that are broadcast at most; beyond it sides are dealt by key.
+BROADCAST_ROWS = 250_000
+
+
+def row_key(id_col: str, text_col: str) -> Column:
+    """With the id, what tells rows apart: rows of equal id and text are twins."""
+    return F.xxhash64(F.col(id_col).cast("long"), text_of(text_col))
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df``, materialised, with a hint to broadcast it if it has been counted to be small."""
+    df = materialize(df)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _keyed(df: DataFrame, keys: DataFrame, id_col: str, text_col: str, how: str) -> DataFrame:
+    own, key = fresh(df, "_row_id", "_row_key")
+    keys = keys.select(F.col("id").alias(own), F.col("k").alias(key)).distinct()
+    return df.join(small(keys), (row_key(id_col, text_col) == F.col(key)) & F.col(id_col).cast("long").eqNullSafe(F.col(own)), how)
+
+
+def without(df: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``df`` whose (id, k) isn't in ``gone``."""
+    return _keyed(df, gone, id_col, text_col, "left_anti")
+
+
+def one_of_each(df: DataFrame, twins: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``df`` with one row of each (id, k) in ``twins``.
+
+    Which row that is, is decided by its other columns; rows alike in all are interchangeable.
+    """
+    twins = materialize(twins)
+    if twins.isEmpty():
+        return df
+    same = _keyed(df, twins, id_col, text_col, "left_semi")
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    one = same.groupBy(F.col(id_col), F.col(text_col)).agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias("_one")).select("_one.*")
+    return _keyed(df, twins, id_col, text_col, "left_anti").unionByName(one)
+
+
 # --- Arrow kernels -----------------------------------------------------------
 
 
@@ -173,49 +215,9 @@ def shingle_hashes(words: np.ndarray, rows: np.ndarray, size: int, n_rows: int)
     return out, row
 
 
-def signed(x: np.ndarray) -> np.ndarray:
-    return x.view(np.int64)
-
-
-def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
-    """Tables of rows with one key each, from batches sorted by that key."""
-    held: list[pa.RecordBatch] = []
-    value = None
-    for batch in batches:
-        if batch.num_rows == 0:
-            continue
-        keys = np.asarray(batch.column(batch.schema.get_field_index(key)))
-        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
-        for a, b in zip(cuts, cuts[1:]):
-            if held and keys[a] != value:
-                yield pa.Table.from_batches(held)
-                held = []
-            value = keys[a]
-            held.append(batch.slice(a, b - a))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 # --- Graphs ------------------------------------------------------------------
 
 
-def local_roots(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
-    """Smallest node index of each node's component, for edges u-v among n nodes."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[u], root[v])
-        before = root.copy()
-        np.minimum.at(root, root[u], low)
-        np.minimum.at(root, root[v], low)
-        while True:
-            jumped = root[root]
-            if np.array_equal(jumped, root):
-                break
-            root = jumped
-        if np.array_equal(before, root):
-            return root
-
-
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(node, root) for each node on an edge; root is the smallest node it reaches.
 
@@ -229,9 +231,10 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     state = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        low = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = materialize(large)
+        low = materialize(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u")
         star = small.select("u", F.col("m").alias("v")).unionByName(
             small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))

@@ -1,22 +1,29 @@
 """N-gram Jaccard join by grouped prefixes, giving connected components of similar texts.
 
-Texts are sets of word shingles. Shingles are ordered by document frequency, rare first (the
-frequency comes from a counting sketch over all documents whose size is fixed, so ties and
-collisions cost time, never links). Two sets of similarity ``t`` share ``c`` shingles of their
-prefixes of ``n - ceil(t n) + c`` shingles.
-
-1. **Group.** Documents of equal size and prefix are one group; the group, not its members,
-   is joined. A thousand copies are one row per map task.
-2. **Filter group pairs.** A shingle in the prefixes of at most ``SMALL`` groups gives that
-   group's pairs within the size bound; pairs with ``c`` common prefix shingles remain. A more
-   frequent prefix shingle gives no pairs: it is a node itself that its groups are tied to, one row
-   each. The components of both are candidate clusters, which contain every link.
-3. **Expand and verify.** One member of each distinct set of a cluster is sent there once, with
-   its shingles. A cluster above ``TASK_SHINGLES`` is cut in chunks, and every two chunks meet in
-   a task, so no task is unbounded and no pair is missed. In a task, members are taken most
-   central first and compared, through an index of local prefixes, with those that aren't in
-   their component yet; the exact intersection decides, and only joins of components come out.
-4. Components of these edges give each document's smallest reachable id.
+Texts are sets of word shingles; equal sets are one *class*. Shingles are ordered by document
+frequency, rare first (the frequency comes from a counting sketch over all documents whose
+size is bounded, so ties and collisions cost time, never links). Two linked sets share a
+shingle of their prefixes of ``n - ceil(t n) + 1`` shingles.
+
+1. **Group.** Classes of equal size and prefix are one group; the group, not its members, is
+   joined. A thousand copies are one row per map task.
+2. **Pivots.** Of the groups that share a prefix shingle, the one whose shingles are commonest
+   is the pivot. Each member of a group is verified against the pivots of its shingles and the
+   first of its own group: pairs grow with the prefixes, not with their square. The verified
+   links give first components.
+3. **Group pairs.** Of each prefix shingle the groups outside its largest component are joined
+   with all its groups; pairs of one component are never made, so a large class of near copies
+   costs what its outsiders cost. Pairs are filtered by size and by parity: a set's 512-bit
+   parity map differs from another's in at most as many bits as they differ in shingles.
+4. **Expand and verify.** Group pairs are expanded to pairs of classes of different components,
+   filtered by parity again, and decided by the exact intersection. No link that could join
+   two components is left out.
+5. Components of all links give each document's smallest reachable id.
+
+Rows are told apart by id and text, classes by 128 bits; nodes of the graph are 64 of them.
+Small aggregates that meet a hot key are materialised first, so adaptive execution can
+split the other side. Pairs of sets that are nearly linked, but aren't, are still looked at one
+by one: among m such sets with common prefixes the parity filter makes m * m comparisons.
 
 Defined cases: null and empty texts have no shingles and are linked with nothing; equal sets
 (copies) are linked; a text of fewer words than a shingle is one shingle; a row that repeats
@@ -33,13 +40,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, grouped, index_ranges, materialize, mix64, pieces, shingle_hashes, string_buffer, text_of, word_hashes, word_spans
+from .common import (
+    connected_components, materialize, mix64, one_of_each, pieces, row_key, shingle_hashes, string_buffer, text_of, without, word_hashes, word_spans,
+)
 
-COMMON = 3  # c: prefix shingles that a pair must share
-SMALL = 64
-TASK_SHINGLES = 2_000_000
+PARITY = 8  # longs of a parity map
 SLICES = 64
-NO_ID = 1 << 62
+SKETCH_BITS = 24  # at most: 64 MB in a counting task, 16 MB broadcast
+SKETCH_TASKS = 4096
+PARITIES = [f"p{k}" for k in range(PARITY)]
 
 
 def _sets(buf: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -63,30 +72,39 @@ def _text_pieces(col: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarr
         yield i, j, buf[off[i] : off[j]], off[i : j + 1] - off[i]
 
 
-def _sketch(docs: DataFrame, size: int, bits: int) -> np.ndarray:
-    """Document frequencies of shingles, added up in 2**bits counters."""
+def _sketch(texts: DataFrame, size: int, bits: int) -> np.ndarray:
+    """Document frequencies of shingles, added up in 2**bits counters, as eighths of a power of two.
+
+    At most SKETCH_TASKS tasks send their counters; each slice is added up as it comes in.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << bits, np.int64)
+        total = np.zeros(1 << bits, np.int32)
         for b in batches:
             for _, _, buf, off in _text_pieces(b.column(0)):
                 h, _ = _unique(*_sets(buf, off, size))
-                total += np.bincount((h & np.uint64((1 << bits) - 1)).astype(np.int64), minlength=1 << bits)
+                at, n = np.unique((h & np.uint64((1 << bits) - 1)).astype(np.int64), return_counts=True)
+                total[at] += n.astype(np.int32)
         if total.any():
             parts = np.split(total, SLICES)
             yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([p.tobytes() for p in parts])], ["slice", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in grouped(batches, "slice"):
-            got = sum(np.frombuffer(x.as_py(), np.int64) for x in t.column("counts"))
-            yield pa.RecordBatch.from_arrays([t.column("slice")[:1].combine_chunks(), pa.array([got.tobytes()])], ["slice", "counts"])
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, data in zip(b.column(0).to_pylist(), b.column(1)):
+                own = np.frombuffer(data.as_buffer(), np.int32)
+                sums[k] = sums[k] + own if k in sums else own.astype(np.int64)
+        for k, total in sums.items():
+            level = np.round(8 * np.log2(1 + total)).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([level.tobytes()])], ["slice", "counts"])
 
     kind = "slice int, counts binary"
-    parts = docs.select("text").mapInArrow(count, kind).repartition(SLICES, "slice").sortWithinPartitions("slice").mapInArrow(add, kind).collect()
-    out = np.zeros((SLICES, (1 << bits) // SLICES), np.int64)
+    parts = texts.select("text").coalesce(SKETCH_TASKS).mapInArrow(count, kind).repartitionById(SLICES, "slice").mapInArrow(add, kind).collect()
+    out = np.zeros((SLICES, (1 << bits) // SLICES), np.uint8)
     for k, data in parts:
-        out[k] = np.frombuffer(data, np.int64)
-    return np.minimum(out.ravel(), 2**31 - 1).astype(np.int32)
+        out[k] = np.frombuffer(data, np.uint8)
+    return out.ravel()
 
 
 def _set_hash(values: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -96,7 +114,7 @@ def _set_hash(values: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarra
     return mix64(c[first + n] - c[first] + n.astype(np.uint64))
 
 
-DESCRIBED = "id long, n int, s1 long, s2 long, g1 long, g2 long, prefix array<long>"
+DESCRIBED = "id long, k long, n int, s long, s2 long, g long, central double, " + "".join(f"{p} long, " for p in PARITIES) + "prefix array<long>"
 
 
 def least_common(n, num: int, den: int):
@@ -104,161 +122,183 @@ def least_common(n, num: int, den: int):
     return -(-n * num // den)
 
 
+def _parities(h: np.ndarray, row: np.ndarray, n_rows: int) -> np.ndarray:
+    """(rows, PARITY) longs: each bit is the parity of the row's shingles that fall on it."""
+    bit = (mix64(h) & np.uint64(64 * PARITY - 1)).astype(np.int64)
+    odd = np.bincount(row * 64 * PARITY + bit, minlength=n_rows * 64 * PARITY).astype(np.uint8) & 1
+    return np.packbits(odd.reshape(n_rows, PARITY, 64), axis=2).reshape(n_rows, PARITY, 8).view(np.int64)[:, :, 0]
+
+
 def _describe(shared, size: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = shared.value
         mask = np.uint64(len(sketch) - 1)
         for b in batches:
-            for i, j, buf, off in _text_pieces(b.column(1)):
+            for i, j, buf, off in _text_pieces(b.column(2)):
                 h, row = _sets(buf, off, size)
                 h, row = _unique(h, row, sketch[(h & mask).astype(np.int64)])
                 n = np.bincount(row, minlength=j - i)
                 first = np.cumsum(n) - n
                 at = np.arange(len(h)) - first[row]
-                need = least_common(n, num, den)
-                length = np.where(n > 0, n - need + np.minimum(need, COMMON), 0)
+                # a set so small that only its equals are linked with it has no prefix
+                length = np.where(num * (n + 1) <= den * n, n - least_common(n, num, den) + 1, 0)
                 pre = at < length[row]
                 both = [mix64(h ^ np.uint64(k)) for k in (0x51ED270B, 0x2545F491)]
-                s1, s2 = (_set_hash(x, first, n) for x in both)
-                g1, g2 = (_set_hash(np.where(pre, x, np.uint64(0)), first, n) for x in both)
-                offsets = np.concatenate(([0], np.cumsum(length))).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(h[pre].view(np.int64)))
+                s, s2 = (_set_hash(x, first, n) for x in both)
+                g = _set_hash(np.where(pre, both[0], np.uint64(0)), first, n)
+                central = np.bincount(row, sketch[(h & mask).astype(np.int64)], j - i) / np.maximum(n, 1)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(length))).astype(np.int32)), pa.array(h[pre].view(np.int64)))
+                parity = np.concatenate([_parities(h[first[x] : first[y - 1] + n[y - 1]], row[first[x] : first[y - 1] + n[y - 1]] - x, y - x) for x, y in _steps(j - i)])
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(i, j - i), pa.array(n.astype(np.int32)), *(pa.array(x.view(np.int64)) for x in (s1, s2, g1, g2)), lists],
-                    ["id", "n", "s1", "s2", "g1", "g2", "prefix"],
-                )
+                    [
+                        *(b.column(x).slice(i, j - i) for x in (0, 1)), pa.array(n.astype(np.int32)), *(pa.array(x.view(np.int64)) for x in (s, s2, g)),
+                        pa.array(central), *(pa.array(np.ascontiguousarray(parity[:, k])) for k in range(PARITY)), lists,
+                    ],
+                    [x.split()[0] for x in DESCRIBED.split(", ")],
+                )
 
     return run
 
 
-def _send(size: int):
-    """Shingles of the wanted set, once per task that it belongs to."""
+def _steps(n: int, step: int = 1024) -> Iterator[tuple[int, int]]:
+    return ((a, min(a + step, n)) for a in range(0, n, step))
+
+
+def _fetch(size: int):
+    """Shingles of the wanted classes, once for rows of one batch that repeat them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, s1 = b.column(0), np.asarray(b.column(2))
-            tasks = b.column(3)
-            for i, j, buf, off in _text_pieces(b.column(1)):
+            wanted = np.asarray(b.column(1))
+            for i, j, buf, off in _text_pieces(b.column(0)):
                 h, row = _unique(*_sets(buf, off, size))
                 n = np.bincount(row, minlength=j - i)
                 ends = np.cumsum(n)
                 own = _set_hash(mix64(h ^ np.uint64(0x51ED270B)), ends - n, n).view(np.int64)
-                task, who, data = [], [], []
-                for k in np.flatnonzero(own == s1[i:j]):  # another row may carry the same id
-                    part = h[ends[k] - n[k] : ends[k]].tobytes()
-                    for t in tasks[i + int(k)].as_py():
-                        task.append(t)
-                        who.append(ids[i + int(k)].as_py())
-                        data.append(part)
-                yield pa.RecordBatch.from_arrays([pa.array(task, pa.int64()), pa.array(who, pa.int64()), pa.array(data, pa.binary())], ["task", "id", "shingles"])
+                at = np.flatnonzero(own == wanted[i:j])
+                at = at[np.unique(own[at], return_index=True)[1]]
+                data = [h[ends[k] - n[k] : ends[k]].tobytes() for k in at]
+                yield pa.RecordBatch.from_arrays([pa.array(own[at]), pa.array(data, pa.binary())], ["s", "shingles"])
 
     return run
 
 
-def link_sets(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
-    """Pairs of linked sets that join all components of links; sets hold distinct hashes."""
-    m = len(sets)
-    n = np.array([len(s) for s in sets])
-    _, token = np.unique(np.concatenate(sets), return_inverse=True)
-    start = np.cumsum(n) - n
-    owner = np.repeat(np.arange(m), n)
-    df = np.bincount(token)
-    order = np.lexsort((token, df[token], owner))
-    token = token[order]
-    at = np.arange(len(token)) - start[owner]
-    length = n - least_common(n, num, den) + 1
-    pre = np.flatnonzero(at < length[owner])
-    by = np.argsort(token[pre], kind="stable")
-    posting = owner[pre][by]
-    counts = np.bincount(token[pre], minlength=len(df))
-    first = np.cumsum(counts) - counts
-    central = np.argsort(-np.bincount(owner, df[token], m) / n, kind="stable")
-    rank = np.empty(m, np.int64)
-    rank[central] = np.arange(m)
-    root = np.arange(m)
-    mark = np.zeros(len(df), bool)
-    out = []
-    for step, i in enumerate(central):
-        own = token[start[i] : start[i] + n[i]]
-        lead = own[: length[i]]
-        cand = posting[index_ranges(first[lead], counts[lead])]
-        cand = np.unique(cand[(rank[cand] > step) & (root[cand] != root[i])])
-        cand = cand[(n[cand] * den >= num * n[i]) & (n[i] * den >= num * n[cand])]
-        if not len(cand):
-            continue
-        mark[own] = True
-        hits = np.add.reduceat(mark[token[index_ranges(start[cand], n[cand])]].astype(np.int64), np.cumsum(n[cand]) - n[cand])
-        mark[own] = False
-        for j in cand[hits * den >= num * (n[cand] + n[i] - hits)]:
-            if root[j] != root[i]:
-                out.append((int(i), int(j)))
-                root[root == root[j]] = root[i]
-    return out
+def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
+    """Whether two sorted sets are linked."""
+    if len(a) > len(b):
+        a, b = b, a
+    at = np.searchsorted(b, a)
+    common = int((b[np.minimum(at, len(b) - 1)] == a).sum())
+    return den * common >= num * (len(a) + len(b) - common)
 
 
 def _verify(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in grouped(batches, "task"):
-            ids = t.column("id").to_numpy()
-            _, at = np.unique(ids, return_index=True)  # twins of one id and set
-            sets = [np.frombuffer(t.column("shingles")[int(i)].as_py(), np.uint64) for i in at]
-            if len(sets) < 2:
-                continue
-            pairs = link_sets(sets, num, den)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([int(ids[at[i]]) for i, _ in pairs], pa.int64()), pa.array([int(ids[at[j]]) for _, j in pairs], pa.int64())], ["src", "dst"]
-            )
+        for b in batches:
+            sets = [[np.frombuffer(x.as_buffer(), np.uint64) for x in b.column(k)] for k in (2, 3)]
+            hit = pa.array([linked(x, y, num, den) for x, y in zip(*sets)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["src", "dst"]).filter(hit)
 
     return run
 
 
+def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of classes that are linked, as (src, dst)."""
+    sides = [sets.select(F.col("s").alias(k), F.col("shingles").alias(f"set_{k}")) for k in "ab"]
+    rows = pairs.select("a", "b").distinct().join(sides[0], "a").join(sides[1], "b")
+    return rows.select("a", "b", "set_a", "set_b").mapInArrow(_verify(num, den), "src long, dst long").distinct()
+
+
+def _near(a: str, b: str, num: int, den: int) -> Column:
+    """Sizes and parities allow a link between the sets of two structs; a null parity allows any."""
+    n, m = F.col(f"{a}.n").cast("long"), F.col(f"{b}.n").cast("long")
+    differ = sum((F.bit_count(F.col(f"{a}.{p}").bitwiseXOR(F.col(f"{b}.{p}"))) for p in PARITIES), F.lit(0)).cast("long")
+    return (m * den >= n * num) & (n * den >= m * num) & F.coalesce(differ * (den + num) <= (den - num) * (n + m), F.lit(True))
+
+
+def _labelled(docs: DataFrame, shingle: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, k, n, linked, component) of each row; linked: other rows are in its component."""
+    spark = docs.sparkSession
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")).select("id", row_key("id", "text").alias("k"), "text")
+    shingles = (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6
+    shared = spark.sparkContext.broadcast(_sketch(texts, shingle, min(max(int(shingles).bit_length(), 16), SKETCH_BITS)))
+    base = materialize(texts.mapInArrow(_describe(shared, shingle, num, den), DESCRIBED))
+
+    same = [F.first(c).alias(c) for c in ("n", "g", "central", *PARITIES)]
+    classes = base.where("n > 0").groupBy("s", "s2").agg(F.min("id").alias("id"), F.min("k").alias("k"), F.count("*").alias("copies"), *same)
+    classes = materialize(classes)
+    member = F.struct("s", "n", *PARITIES)
+    able = classes.where(F.col("n").cast("long") * den >= (F.col("n").cast("long") + 1) * num)
+    groups = able.groupBy("g").agg(F.count("*").alias("sets"), F.max_by("s", "central").alias("first"), F.max("central").alias("central"))
+    groups = materialize(groups)
+    prefixes = base.where(F.size("prefix") > 0).groupBy("g").agg(F.first("prefix").alias("prefix"))
+    tokens = prefixes.select("g", F.explode("prefix").alias("token"))
+    several = materialize(tokens.groupBy("token").count().where("count > 1").select("token"))
+    tokens = materialize(tokens.join(several, "token"))
+
+    # the sets of classes that share a prefix shingle or a group with others
+    busy = tokens.select("g").unionByName(groups.where("sets > 1").select("g")).distinct()
+    busy = able.join(materialize(busy), "g").select("s", "k")
+    sets = materialize(texts.select("k", "text").join(busy, "k").select("text", "s").mapInArrow(_fetch(shingle), "s long, shingles binary"))
+
+    # pivots
+    pivots = materialize(tokens.join(groups, "g").groupBy("token").agg(F.max_by("first", "central").alias("pivot")))
+    met = tokens.join(pivots, "token").select("g", "pivot").unionByName(groups.where("sets > 1").select("g", F.col("first").alias("pivot"))).distinct()
+    firsts = groups.select(F.col("first").alias("s")).join(able, "s").select(F.col("s").alias("pivot"), member.alias("y"))
+    pairs = met.join(able.select("g", member.alias("x")), "g").join(materialize(firsts), "pivot").where(F.col("x.s") != F.col("pivot"))
+    pairs = pairs.where(_near("x", "y", num, den)).select(F.least("x.s", "pivot").alias("a"), F.greatest("x.s", "pivot").alias("b"))
+    roots = materialize(connected_components(_links(pairs, sets, num, den)))
+
+    # what is left between components
+    able = able.join(roots, F.col("s") == F.col("node"), "left").withColumn("label", F.coalesce("root", "s")).drop("node", "root")
+    able = materialize(able)
+    one = lambda c: F.when(F.count("*") == 1, F.first(c)).alias(c)
+    label = F.when(F.min("label") == F.max("label"), F.min("label"))
+    whole = able.groupBy("g").agg(F.first("n").alias("n"), *[one(p) for p in PARITIES], label.alias("label"))
+    whole = materialize(whole.select("g", F.struct("g", "n", *PARITIES, F.coalesce("label", "g").alias("label")).alias("x"), F.col("label").isNull().alias("mixed")))
+    tokens = tokens.join(whole.select("g", F.col("x.label").alias("label")), "g")
+    open_ = tokens.groupBy("token", "label").count().groupBy("token").agg(F.max_by("label", "count").alias("main"), F.count("*").alias("labels"))
+    open_ = materialize(open_.where("labels > 1").select("token", "main"))
+    rows = materialize(tokens.drop("label").join(open_, "token").join(whole.select("g", "x"), "g").select("token", "main", "x"))
+    outside = rows.where("x.label <> main")
+    apart = (F.col("x.label") != F.col("y.label")) & ((F.col("y.label") == F.col("main")) | (F.col("x.g") < F.col("y.g")))
+    pairs = outside.join(rows.select("token", F.col("x").alias("y")), "token").where(apart & _near("x", "y", num, den))
+    pairs = pairs.select(F.col("x.g").alias("ga"), F.col("y.g").alias("gb")).unionByName(whole.where("mixed").select(F.col("g").alias("ga"), F.col("g").alias("gb"))).distinct()
+    sides = [able.select(F.col("g").alias(f"g{k}"), F.struct("s", "n", "label", *PARITIES).alias(f"x{k}")) for k in "ab"]
+    pairs = pairs.join(sides[0], "ga").join(sides[1], "gb").where((F.col("xa.label") != F.col("xb.label")) & ((F.col("ga") != F.col("gb")) | (F.col("xa.s") < F.col("xb.s"))))
+    pairs = pairs.where(_near("xa", "xb", num, den)).select(F.col("xa.s").alias("a"), F.col("xb.s").alias("b"))
+    label_of = able.select("s", "label")
+    more = _links(pairs, sets, num, den).join(label_of.withColumnsRenamed({"s": "src", "label": "u"}), "src").join(label_of.withColumnsRenamed({"s": "dst", "label": "v"}), "dst")
+    last = connected_components(more.select(F.col("u").alias("src"), F.col("v").alias("dst")))
+
+    label = able.select("s", "s2", "label").join(last, F.col("label") == F.col("node"), "left").select("s", "s2", F.coalesce("root", "label").alias("label"))
+    known = materialize(classes.select("s", "s2", "id", "copies").join(label, ["s", "s2"], "left").withColumn("label", F.coalesce("label", "s")))
+    best = known.groupBy("label").agg(F.min("id").alias("component"), F.sum("copies").alias("all")).where("all > 1")
+    known = known.join(materialize(best), "label").select("s", "s2", "label", "component")
+    out = base.select("id", "k", "n", "s", "s2").join(known, ["s", "s2"], "left")
+    component = F.when(F.col("label").isNotNull(), F.col("component")).otherwise(F.col("id"))
+    return out.select("id", "k", "n", "label", component.alias("component"))
+
+
 def components(
     docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row; linked at den * intersection >= num * union."""
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    own = F.col(id_col).cast("long")
-    nameless = F.lit(NO_ID) + F.xxhash64(text_of(text_col)).bitwiseAND(F.lit((1 << 61) - 1))
-    texts = docs.select(F.coalesce(own, nameless).alias("id"), text_of(text_col).alias("text"))
-    bits = min(max(int(texts.count()).bit_length(), 12), 22)
-    shared = spark.sparkContext.broadcast(_sketch(texts, shingle, bits))
-    base = materialize(texts.mapInArrow(_describe(shared, shingle, num, den), DESCRIBED))
+    rows = _labelled(docs, shingle, num, den, id_col, text_col)
+    return rows.select(F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.col("component").alias("component_id"))
 
-    groups = base.where("n > 0").groupBy("g1", "g2").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    tokens = groups.select(F.explode("prefix").alias("token"), F.col("g1").alias("g"), "n")
-    shared_tokens = tokens.groupBy("token").agg(F.count("*").alias("groups")).where("groups > 1")
-    blocks = materialize(tokens.join(materialize(shared_tokens), "token"))
-    ties = blocks.where(F.col("groups") > SMALL).select(F.col("g").alias("src"), F.col("token").alias("dst"))
-    lists = blocks.where(F.col("groups") <= SMALL).groupBy("token").agg(F.collect_list(F.struct("g", "n")).alias("all"))
-    ones = lists.select(F.explode("all").alias("a"), "all")
-
-    def partner(x: Column) -> Column:
-        return (x["g"] > F.col("a.g")) & (x["n"] * den >= F.col("a.n") * num) & (F.col("a.n") * den >= x["n"] * num)
-
-    pairs = ones.select("a", F.explode(F.filter("all", partner)).alias("b"))
-    n = F.least("a.n", "b.n")
-    need = F.least(F.lit(COMMON), F.ceil(n * num / den))
-    pairs = pairs.groupBy(F.col("a.g").alias("src"), F.col("b.g").alias("dst")).agg(F.count("*").alias("common"), F.first(need).alias("need"))
-    near = pairs.where("common >= need").select("src", "dst")
-    clusters = connected_components(near.unionByName(ties))
-
-    classes = base.where("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.min("g1").alias("g"))
-    classes = materialize(classes)
-    placed = classes.join(clusters.withColumnsRenamed({"node": "g", "root": "cluster"}), "g", "left").withColumn("cluster", F.coalesce("cluster", "g"))
-    sizes = placed.groupBy("cluster").agg(F.count("*").alias("sets"), F.sum("n").alias("all")).where("sets > 1")
-    placed = placed.join(sizes, "cluster")
-    chunks = F.ceil(F.col("all") / TASK_SHINGLES).cast("int")
-    placed = placed.withColumns({"chunks": chunks, "chunk": F.pmod(F.xxhash64("id"), chunks).cast("int")})
-    task = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.xxhash64("cluster", F.least(c, "chunk"), F.greatest(c, "chunk")))
-    wanted = placed.select("id", "s1", task.alias("tasks"))
-    sent = texts.join(wanted, "id").select("id", "text", "s1", "tasks").mapInArrow(_send(shingle), "task long, id long, shingles binary")
-    edges = sent.repartition(parts, "task").sortWithinPartitions("task").mapInArrow(_verify(num, den), "src long, dst long")
-    roots = connected_components(edges)
-
-    known = classes.join(roots.withColumnRenamed("node", "id"), "id", "left").where("copies > 1 or root is not null")
-    known = known.select("s1", "s2", F.coalesce("root", "id").alias("root"))
-    out = base.select("id", "n", "s1", "s2").join(known, ["s1", "s2"], "left")
-    component = F.when(F.col("n") > 0, F.coalesce("root", "id")).otherwise(F.col("id"))
-    named = lambda c: F.when(c < NO_ID, c)
-    return out.select(named(F.col("id")).alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), named(component).alias("component_id"))
+
+def keep_one(
+    docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """One row of each component, with the columns of ``docs``: that with the smallest id, null last.
+
+    Rows without links stay, also where ids are null or repeated.
+    """
+    rows = materialize(_labelled(docs, shingle, num, den, id_col, text_col).where("label is not null").select("id", "k", "label"))
+    own = F.struct(F.col("id").isNull(), "id", "k")
+    best = materialize(rows.groupBy("label").agg(F.min(own).alias("best")))
+    rows = rows.join(best, "label").withColumn("stays", own.eqNullSafe(F.col("best")))
+    twins = rows.where("stays").groupBy("id", "k").count().where("count > 1").select("id", "k")
+    out = without(docs, rows.where("not stays").select("id", "k"), id_col, text_col)
+    return one_of_each(out, twins, id_col, text_col)

@@ -147,7 +147,7 @@ def alike(buf: np.ndarray, at: np.ndarray, size: np.ndarray, *keys: np.ndarray)
     """
     extra = np.zeros(len(at), np.int64)
     while True:
-        by = (extra, size, *keys)
+        by = (extra, *keys) if extra.any() else keys
         order = np.lexsort(by)
         new = np.zeros(len(order), bool)
         new[:1] = True
@@ -156,12 +156,15 @@ def alike(buf: np.ndarray, at: np.ndarray, size: np.ndarray, *keys: np.ndarray)
         group = np.cumsum(new) - 1
         first = order[new]
         rest = np.flatnonzero(~new)
-        wrong = _unlike(buf, at[order[rest]], at[first[group[rest]]], size[order[rest]])
+        own, its = order[rest], first[group[rest]]
+        wrong = size[own] != size[its]
+        fit = np.flatnonzero(~wrong)
+        wrong[fit] = _unlike(buf, at[own[fit]], at[its[fit]], size[own[fit]])
         if not wrong.any():
             out = np.empty(len(order), np.int64)
             out[order] = group
             return out, first
-        extra[order[rest[wrong]]] += 1
+        extra[own[wrong]] += 1
 
 
 def _ordered(lead: np.ndarray) -> np.ndarray:
@@ -198,7 +201,7 @@ def _deal(cuts: np.ndarray):
             row, start, size, offset, gram, segment, lead = (np.concatenate(x) for x in zip(*got))
             if not len(row):
                 continue
-            group, one = alike(buf, off[row] + start, size, offset, segment, gram)
+            group, one = alike(buf, off[row] + start, size, segment)
             weight = np.bincount(group)
             pid, spread = range_of(cuts, lead[one], segment[one])
             r = row[one]
@@ -405,7 +408,7 @@ def _sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             c = t.column(k).to_numpy()
             change[1:] |= c[1:] != c[:-1]
         anchor, key, size = t.column("off").to_numpy().astype(np.int64), np.cumsum(change), np.diff(off)
-        same, one = alike(buf, off[:-1], size, _first_and_last(buf, off), anchor, key)
+        same, one = alike(buf, off[:-1], size, _first_and_last(buf, off), key * 4096 + anchor)
         copies = np.bincount(same)[same] > 1
         several = np.bincount(key[one], minlength=int(key[-1]) + 1) > 1  # anchors with different segments
         one = one[several[key[one]]]
