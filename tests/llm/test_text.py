@@ -93,34 +93,69 @@ def test_training_leaves_the_held_out_fold_alone(spark):
 # --- Mixing ---
 
 
-def test_water_filling():
-    assert mixing.water_fill({"a": 10, "b": 100, "c": 100}, {"a": 5, "b": 2, "c": 1}, 210, 3) == {"a": 30.0, "b": 120.0, "c": 60.0}
-    assert mixing.water_fill({"a": 1, "b": 1, "c": 100}, {"a": 5, "b": 2, "c": 1}, 102, 3) == {"a": 3.0, "b": 3.0, "c": 96.0}
-    assert mixing.water_fill({}, {}, 0, 3) == {}
-    assert mixing.water_fill({"a": 0}, {"a": 1}, 0, 3) == {"a": 0.0}
+def filled_by_brute_force(sizes, weights, budget, cap):
+    """Targets by bisection of the level at which all is used up, a second way to the same numbers."""
+    used = lambda level: sum(min(weights[s] * level, cap * sizes[s]) for s in sizes)
+    low, high = 0.0, 1e9
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if used(mid) < budget else (low, mid)
+    return {s: min(weights[s] * high, cap * sizes[s]) for s in sizes}
+
+
+@pytest.mark.parametrize("sizes,budget", [({"a": 10, "b": 100, "c": 100}, 210), ({"a": 1, "b": 1, "c": 100}, 102), ({}, 0), ({"a": 0}, 0), ({c: 7 * k + 1 for k, c in enumerate("abcdefghijkl")}, 474)])
+def test_water_filling(spark, sizes, budget):
+    cycle = dict(zip(sorted(sizes), [5.0, 2.0, 1.0] * 9))
+    rows = mixing.cyclic_weights(spark.createDataFrame(list(sizes.items()), "_source string, source_size long"))
+    got = {r["_source"]: r for r in mixing.water_fill(rows, budget, 3).collect()}
+    want = filled_by_brute_force(sizes, cycle, budget, 3)
+    assert {s: r["weight"] for s, r in got.items()} == cycle
+    assert all(abs(got[s]["target"] - want[s]) < 1e-6 * (1 + budget) for s in sizes) and len(got) == len(sizes)
+
+
+def test_any_number_of_sources_is_numbered(spark):
+    names = [f"s{k}é"[:: 1 if k % 2 else -1] for k in range(500)] + [None, ""]
+    rows = mixing.numbered(spark.createDataFrame([(n, 1) for n in names], "_source string, source_size long").repartition(7)).collect()
+    want = sorted(names, key=lambda s: (s is None, (s or "").encode()))
+    assert [r["_source"] for r in sorted(rows, key=lambda r: r["_rank"])] == want
+
+
+def mixed_rows(kind):
+    rng = random.Random(4)
+    if kind == "plain":
+        return [(i, prose(rng, rng.randint(0, 40)) if i % 9 else None, rng.choice(["b", "a", "a", "é", None])) for i in range(400)]
+    rows = [(1, "one two three four five six seven eight", "a")] * 1000 + [(2, prose(rng, 10), "b")] * 137  # a lot is cut
+    return rows + [(rng.choice([None, 3, 4]), prose(rng, rng.randint(1, 30)), rng.choice(["b", "c", None])) for _ in range(300)] + [(5, "é " * 30_000, "d")]
 
 
-def test_mixing(spark):
-    rng = random.Random(4)
-    rows = [(i, prose(rng, rng.randint(0, 40)) if i % 9 else None, rng.choice(["b", "a", "a", "é", None])) for i in range(400)]
+@pytest.mark.parametrize("kind", ["plain", "repeated and null ids"])
+def test_mixing(spark, kind):
+    rows = mixed_rows(kind)
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = mixing.plan(shout(df)).collect()
     again = mixing.plan(shout(df.repartition(3))).collect()
-    assert sorted(map(str, got)) == sorted(map(str, again))
+    assert sorted(map(str, got)) == sorted(map(str, again)) and len(got) == len(rows)
     sizes = {}
     for _, t, s in rows:
         sizes[s] = sizes.get(s, 0) + len((t or "").split())
     order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
-    want = mixing.water_fill({s: sizes[s] for s in order}, mixing.cyclic_weights(order), sum(sizes.values()), 3)
-    taken = dict.fromkeys(sizes, 0)
+    want = filled_by_brute_force({s: sizes[s] for s in order}, dict(zip(order, [5, 2, 1] * 9)), sum(sizes.values()), 3)
+    taken, longest = dict.fromkeys(sizes, 0), {s: max(len((t or "").split()) for _, t, x in rows if x == s) for s in sizes}
     for r in got:
-        assert r["source_size"] == sizes[r["_source"]] and abs(r["target"] - want[r["_source"]]) < 1e-6
+        assert r["source_size"] == sizes[r["_source"]] and abs(r["target"] - want[r["_source"]]) < 1e-3
         assert r["taken"] <= 3 * r["size"] and (r["size"] == 0 or r["taken"] % r["size"] == 0)
         taken[r["_source"]] += r["taken"]
-    assert all(abs(taken[s] - want[s]) <= 40 for s in sizes)
-    mixed = mixing.mix(df).groupBy("doc_id").count().collect()
-    assert {r["doc_id"]: r["count"] for r in mixed} == {r["_id"]: r["_epochs"] for r in got if r["taken"] > 0}
-    assert mixing.plan(df.limit(0)).count() == 0
+    assert all(abs(taken[s] - want[s]) <= longest[s] / 2 + 1e-3 for s in sizes)
+    mixed = mixing.mix(shout(df))
+    assert mixed.columns == [*shout(df).columns, "epoch"]
+    words = {}
+    for r in mixed.collect():
+        words[r["source"]] = words.get(r["source"], 0) + len(r["text"].split())
+    assert words == {s: n for s, n in taken.items() if n}
+    per_row = lambda rs: sorted((str(i), n) for i, n in rs)
+    if kind == "plain":
+        assert per_row((r["doc_id"], r["count"]) for r in mixed.groupBy("doc_id").count().collect()) == per_row((r["_id"], r["_epochs"]) for r in got if r["taken"])
+    assert mixing.plan(df.limit(0)).count() == 0 == mixing.mix(df.limit(0)).count()
 
 
 # --- URL rules ---
