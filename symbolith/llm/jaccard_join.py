@@ -8,9 +8,9 @@ shingle of their prefixes of ``n - ceil(t n) + 1`` shingles.
 1. **Group.** Classes of equal size and prefix are one group; the group, not its members, is
    joined. A thousand copies are one row per map task.
 2. **Pivots.** Of the groups that share a prefix shingle, the one whose shingles are commonest
-   is the pivot. Each member of a group is verified against the pivots of its shingles and the
-   first of its own group: pairs grow with the prefixes, not with their square. The verified
-   links give first components.
+   is the pivot; of a group, its first member. Of the pivots that size and parity allow, each
+   class is verified against the commonest: one pair a class. The verified links give first
+   components.
 3. **Group pairs.** Of each prefix shingle the groups outside its largest component are joined
    with all its groups; pairs of one component are never made, so a large class of near copies
    costs what its outsiders cost. Pairs are filtered by size and by parity: a set's 512-bit
@@ -41,13 +41,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import (
-    connected_components, materialize, mix64, one_of_each, pieces, row_key, shingle_hashes, string_buffer, text_of, without, word_hashes, word_spans,
+    connected_components, materialize, mix64, one_of_each, pieces, row_key, shingle_hashes, small, string_buffer, text_of, without, word_hashes, word_spans,
 )
 
 PARITY = 8  # longs of a parity map
-SLICES = 64
+SLICES = 16
 SKETCH_BITS = 24  # at most: 64 MB in a counting task, 16 MB broadcast
-SKETCH_TASKS = 4096
+SKETCH_TASKS = 64, 4096
 PARITIES = [f"p{k}" for k in range(PARITY)]
 
 
@@ -72,11 +72,16 @@ def _text_pieces(col: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarr
         yield i, j, buf[off[i] : off[j]], off[i : j + 1] - off[i]
 
 
-def _sketch(texts: DataFrame, size: int, bits: int) -> np.ndarray:
-    """Document frequencies of shingles, added up in 2**bits counters, as eighths of a power of two.
+def _sketch(texts: DataFrame, size: int) -> np.ndarray:
+    """Document frequencies of shingles, added up in counters, as eighths of a power of two.
 
-    At most SKETCH_TASKS tasks send their counters; each slice is added up as it comes in.
+    There is a counter for 4 KB of text, 2**SKETCH_BITS at most. Counting tasks take 256 MB or more
+    where they would be many, so what they send stays small beside the input; each slice is
+    added up as it comes in.
     """
+    n_bytes = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = min(max(int(n_bytes >> 12).bit_length(), 12), SKETCH_BITS)
+    tasks = min(max(n_bytes >> 28, SKETCH_TASKS[0]), SKETCH_TASKS[1])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << bits, np.int32)
@@ -100,7 +105,7 @@ def _sketch(texts: DataFrame, size: int, bits: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([level.tobytes()])], ["slice", "counts"])
 
     kind = "slice int, counts binary"
-    parts = texts.select("text").coalesce(SKETCH_TASKS).mapInArrow(count, kind).repartitionById(SLICES, "slice").mapInArrow(add, kind).collect()
+    parts = texts.select("text").coalesce(tasks).mapInArrow(count, kind).repartitionById(SLICES, "slice").mapInArrow(add, kind).collect()
     out = np.zeros((SLICES, (1 << bits) // SLICES), np.uint8)
     for k, data in parts:
         out[k] = np.frombuffer(data, np.uint8)
@@ -202,11 +207,17 @@ def _verify(num: int, den: int):
     return run
 
 
-def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of classes that are linked, as (src, dst)."""
+def _links(pairs: DataFrame, texts: DataFrame, rows: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of classes that are linked, as (src, dst); ``rows``: (s, k), the row that a class is read from.
+
+    Texts, and then sets, move by key only if the pairs are more than can be broadcast.
+    """
+    pairs = small(pairs.select("a", "b").distinct())
+    wanted = pairs.select(F.col("a").alias("s")).unionByName(pairs.select(F.col("b").alias("s"))).distinct().join(rows, "s")
+    sets = materialize(texts.select("k", "text").join(small(wanted), "k").select("text", "s").mapInArrow(_fetch(shingle), "s long, shingles binary"))
     sides = [sets.select(F.col("s").alias(k), F.col("shingles").alias(f"set_{k}")) for k in "ab"]
-    rows = pairs.select("a", "b").distinct().join(sides[0], "a").join(sides[1], "b")
-    return rows.select("a", "b", "set_a", "set_b").mapInArrow(_verify(num, den), "src long, dst long").distinct()
+    met = sides[0].join(pairs, "a").join(sides[1], "b")
+    return met.select("a", "b", "set_a", "set_b").mapInArrow(_verify(num, den), "src long, dst long").distinct()
 
 
 def _near(a: str, b: str, num: int, den: int) -> Column:
@@ -220,8 +231,7 @@ def _labelled(docs: DataFrame, shingle: int, num: int, den: int, id_col: str, te
     """(id, k, n, linked, component) of each row; linked: other rows are in its component."""
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")).select("id", row_key("id", "text").alias("k"), "text")
-    shingles = (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6
-    shared = spark.sparkContext.broadcast(_sketch(texts, shingle, min(max(int(shingles).bit_length(), 16), SKETCH_BITS)))
+    shared = spark.sparkContext.broadcast(_sketch(texts, shingle))
     base = materialize(texts.mapInArrow(_describe(shared, shingle, num, den), DESCRIBED))
 
     same = [F.first(c).alias(c) for c in ("n", "g", "central", *PARITIES)]
@@ -236,18 +246,14 @@ def _labelled(docs: DataFrame, shingle: int, num: int, den: int, id_col: str, te
     several = materialize(tokens.groupBy("token").count().where("count > 1").select("token"))
     tokens = materialize(tokens.join(several, "token"))
 
-    # the sets of classes that share a prefix shingle or a group with others
-    busy = tokens.select("g").unionByName(groups.where("sets > 1").select("g")).distinct()
-    busy = able.join(materialize(busy), "g").select("s", "k")
-    sets = materialize(texts.select("k", "text").join(busy, "k").select("text", "s").mapInArrow(_fetch(shingle), "s long, shingles binary"))
-
+    reads = able.select("s", "k")
     # pivots
     pivots = materialize(tokens.join(groups, "g").groupBy("token").agg(F.max_by("first", "central").alias("pivot")))
     met = tokens.join(pivots, "token").select("g", "pivot").unionByName(groups.where("sets > 1").select("g", F.col("first").alias("pivot"))).distinct()
-    firsts = groups.select(F.col("first").alias("s")).join(able, "s").select(F.col("s").alias("pivot"), member.alias("y"))
+    firsts = groups.select(F.col("first").alias("s")).join(able, "s").select(F.col("s").alias("pivot"), "central", member.alias("y"))
     pairs = met.join(able.select("g", member.alias("x")), "g").join(materialize(firsts), "pivot").where(F.col("x.s") != F.col("pivot"))
-    pairs = pairs.where(_near("x", "y", num, den)).select(F.least("x.s", "pivot").alias("a"), F.greatest("x.s", "pivot").alias("b"))
-    roots = materialize(connected_components(_links(pairs, sets, num, den)))
+    pairs = pairs.where(_near("x", "y", num, den)).groupBy(F.col("x.s").alias("a")).agg(F.max_by("pivot", "central").alias("b"))
+    roots = materialize(connected_components(_links(pairs, texts, reads, shingle, num, den)))
 
     # what is left between components
     able = able.join(roots, F.col("s") == F.col("node"), "left").withColumn("label", F.coalesce("root", "s")).drop("node", "root")
@@ -268,7 +274,7 @@ def _labelled(docs: DataFrame, shingle: int, num: int, den: int, id_col: str, te
     pairs = pairs.join(sides[0], "ga").join(sides[1], "gb").where((F.col("xa.label") != F.col("xb.label")) & ((F.col("ga") != F.col("gb")) | (F.col("xa.s") < F.col("xb.s"))))
     pairs = pairs.where(_near("xa", "xb", num, den)).select(F.col("xa.s").alias("a"), F.col("xb.s").alias("b"))
     label_of = able.select("s", "label")
-    more = _links(pairs, sets, num, den).join(label_of.withColumnsRenamed({"s": "src", "label": "u"}), "src").join(label_of.withColumnsRenamed({"s": "dst", "label": "v"}), "dst")
+    more = _links(pairs, texts, reads, shingle, num, den).join(label_of.withColumnsRenamed({"s": "src", "label": "u"}), "src").join(label_of.withColumnsRenamed({"s": "dst", "label": "v"}), "dst")
     last = connected_components(more.select(F.col("u").alias("src"), F.col("v").alias("dst")))
 
     label = able.select("s", "s2", "label").join(last, F.col("label") == F.col("node"), "left").select("s", "s2", F.coalesce("root", "label").alias("label"))
