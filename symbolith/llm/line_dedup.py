@@ -1,9 +1,9 @@
 """Line dedup across documents by a deletion-neighbourhood join. DataFrame functions only.
 
 Lines are compared over all documents. An occurrence is removed if the same line, or one
-within edit distance ``bound`` of it, stands earlier, by (id, line number); so the earliest
-of its kind stays. Blank lines are never removed. Lines shorter than ``near_from``
-characters are compared exactly.
+within edit distance ``bound`` of it, stands earlier, by (id, text hash, line number); so the
+earliest of its kind stays. Blank lines are never removed. Lines shorter than ``near_from``
+characters are compared exactly: there, one character is no near copy (``- a``, ``- b``).
 
 1. Occurrences are grouped by a 128-bit hash: one row per distinct line and map task.
 2. *Sieve.* One edit leaves the first or the second half of a line as it was. Keys of both
@@ -21,8 +21,9 @@ Counts are pre-aggregated; rows are joined with counts by plain exchanges that a
 execution can split.
 
 Defined cases: null and empty texts have one blank line; null ids come first; rows that share
-id and line number are equally early and both stay; extra columns pass through ``clean``
-and are dropped by ``removed_lines``; an empty table gives no rows.
+id and text are twins, equally early, and both stay; rows that share an id only, or have none,
+are told apart by their texts, whose hash orders them; extra columns pass through ``clean`` and
+are dropped by ``removed_lines``; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,15 +31,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize, text_of
+from .common import fresh, materialize, row_key, text_of
 
 NEAR_FROM = 16
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, line_no, line) of lines that aren't blank, numbered from 0."""
+    """(id, k, line_no, line) of lines that aren't blank, numbered from 0; (id, k) is the row."""
     split = F.split(text_of(text_col), "\n", -1)
-    rows = docs.select(F.col(id_col).alias("id"), F.posexplode(split).alias("line_no", "line"))
+    rows = docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("k"), F.posexplode(split).alias("line_no", "line"))
     return rows.where(F.col("line").rlike(r"\S"))
 
 
@@ -68,11 +69,11 @@ def _near(docs: DataFrame, firsts: DataFrame, id_col: str, text_col: str, near_f
     keys = long.select("h", F.explode(F.array_distinct(F.array("a0", "a1", "b0", "b1"))).alias("key"))
     some = _shared(keys, "key").select("h").distinct()
     survivors = long.join(some, "h").select("h", "first")
-    wanted = survivors.groupBy(F.col("first.id").alias("_id")).agg(F.collect_list(F.struct("first.line_no", "h", "first")).alias("wanted"))
-    texts = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
-    found = texts.join(wanted, F.col("id").eqNullSafe(F.col("_id"))).select(F.split("text", "\n", -1).alias("lines"), F.explode("wanted").alias("w"))
+    wanted = survivors.groupBy(F.col("first.k").alias("k")).agg(F.collect_list(F.struct("first.line_no", "h", "first")).alias("wanted"))
+    texts = docs.select(row_key(id_col, text_col).alias("k"), text_of(text_col).alias("text"))
+    found = texts.join(wanted, "k").select(F.split("text", "\n", -1).alias("lines"), F.explode("wanted").alias("w"))
     found = found.select("w.h", "w.first", F.get("lines", F.col("w.line_no")).alias("line"))
-    found = found.where(F.unhex(F.md5("line")) == F.col("h"))  # not a line of another row with the same id
+    found = found.where(F.unhex(F.md5("line")) == F.col("h"))  # not a line of a row whose hash is the same
     found = materialize(found.groupBy("h").agg(F.first("first").alias("first"), F.first("line").alias("line")))
 
     length = F.char_length("line")
@@ -100,16 +101,21 @@ def _near(docs: DataFrame, firsts: DataFrame, id_col: str, text_col: str, near_f
     return pairs.where(F.levenshtein("line", "line0", 1) >= 0).select("h").distinct()
 
 
-def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bound: int = 1, near_from: int = NEAR_FROM) -> DataFrame:
-    """(id, line_no) of each occurrence that goes."""
+def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """(id, line_no) of each occurrence that goes; options: bound, near_from."""
+    return _removed(docs, id_col, text_col, **options).select("id", "line_no")
+
+
+def _removed(docs: DataFrame, id_col: str, text_col: str, bound: int = 1, near_from: int = NEAR_FROM) -> DataFrame:
+    """(id, k, line_no) of each occurrence that goes."""
     if bound not in (0, 1):
         raise ValueError("bound is 0 or 1")
     lines = lines_of(docs, id_col, text_col).withColumns({"h": F.unhex(F.md5("line")), "chars": F.char_length("line")})
     line, chars = F.col("line"), F.col("chars")
     keys = dict(zip(("a0", "a1", "b0", "b1"), [*_half_keys(line, chars), *_half_keys(line, chars - 1)]))
     near_only = lambda k: F.when(chars >= near_from, k)
-    rows = lines.select("id", "line_no", "h", "chars", *[near_only(k).alias(n) for n, k in keys.items()])
-    aggs = [F.min(F.struct("id", "line_no")).alias("first"), F.count("*").alias("n"), F.max("chars").alias("chars")]
+    rows = lines.select("id", "k", "line_no", "h", "chars", *[near_only(k).alias(n) for n, k in keys.items()])
+    aggs = [F.min(F.struct("id", "k", "line_no")).alias("first"), F.count("*").alias("n"), F.max("chars").alias("chars")]
     firsts = materialize(rows.groupBy("h").agg(*aggs, *[F.max(k).alias(k) for k in keys]))
     flags = firsts.where("n > 1").select("h", "first", F.lit(False).alias("near"))
     if bound:
@@ -117,25 +123,31 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         flags = flags.unionByName(near.select("h", F.lit(None).cast(flags.schema["first"].dataType).alias("first"), F.lit(True).alias("near")))
         flags = flags.groupBy("h").agg(F.max("first").alias("first"), F.max("near").alias("near"))
     flags = materialize(flags)
-    gone = lines.select("id", "line_no", "h").join(flags, "h")
-    own = F.struct("id", "line_no")
-    return gone.where(F.col("near") | (F.col("first").isNotNull() & ~own.eqNullSafe(F.col("first")))).select("id", "line_no")
+    gone = lines.select("id", "k", "line_no", "h").join(flags, "h")
+    own = F.struct("id", "k", "line_no")
+    return gone.where(F.col("near") | (F.col("first").isNotNull() & ~own.eqNullSafe(F.col("first")))).select("id", "k", "line_no")
+
+
+def _gone(docs: DataFrame, id_col: str, text_col: str, **options) -> DataFrame:
+    """(id, k, _gone) of each row: the numbers of its removed lines, no more than it has."""
+    rows = _removed(docs, id_col, text_col, **options).distinct()
+    return rows.groupBy("id", "k").agg(F.sort_array(F.collect_list("line_no")).alias("_gone"))
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Each row's id, n_lines, n_removed and the numbers of the removed lines."""
-    gone = removed_lines(docs, id_col, text_col, **options).distinct().groupBy("id").agg(F.sort_array(F.collect_list("line_no")).alias("_gone"))
-    rows = docs.select(F.col(id_col).alias("_own"), F.size(F.split(text_of(text_col), "\n", -1)).cast("long").alias("n_lines"))
-    out = rows.join(gone, F.col("_own").eqNullSafe(F.col("id")), "left")
+    gone = _gone(docs, id_col, text_col, **options)
+    rows = docs.select(F.col(id_col).alias("_own"), row_key(id_col, text_col).alias("_key"), F.size(F.split(text_of(text_col), "\n", -1)).cast("long").alias("n_lines"))
+    out = rows.join(gone, (F.col("_key") == F.col("k")) & F.col("_own").eqNullSafe(F.col("id")), "left")
     gone_or_none = F.coalesce("_gone", F.array().cast("array<int>"))
     return out.select(F.col("_own").alias(id_col), "n_lines", F.size(gone_or_none).cast("long").alias("n_removed"), gone_or_none.alias("removed_lines"))
 
 
 def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` without the removed lines; a null text stays null."""
-    own, lines = fresh(docs, "_own", "_gone")
-    gone = removed_lines(docs, id_col, text_col, **options).distinct().groupBy(F.col("id").alias(own)).agg(F.collect_set("line_no").alias(lines))
-    out = docs.join(gone, F.col(id_col).eqNullSafe(F.col(own)), "left")
+    own, key, lines = fresh(docs, "_own", "_key", "_gone")
+    gone = _gone(docs, id_col, text_col, **options).withColumnsRenamed({"id": own, "k": key, "_gone": lines})
+    out = docs.join(gone, (row_key(id_col, text_col) == F.col(key)) & F.col(id_col).eqNullSafe(F.col(own)), "left")
     kept = F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains(lines, i))
     text = F.when(F.col(lines).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    return out.withColumn(text_col, text).drop(own, lines)
+    return out.withColumn(text_col, text).drop(own, key, lines)
