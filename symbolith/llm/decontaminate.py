@@ -16,9 +16,11 @@ A retrieved item is verified on the passage itself: word trigrams of its questio
 its answer. Without columns of their own, the answer is the text's last sentences of five
 words or more and the question is what stands before.
 
-The index is broadcast in shards of at most ``SHARD_BYTES`` of item text; a larger test set
-takes one pass over the documents per shard, with the statistics of that shard. Scoring is
-a map over documents without a shuffle; a document's passages stay in one task.
+The index is broadcast in shards of about ``SHARD_BYTES`` of item text; a larger test set takes
+one pass over the documents per shard. Number of items, mean and largest length, and each term's
+document frequency are counted over all items first, so scores and passages are the same
+however many shards there are. Scoring is a map over documents without a shuffle; a
+document's passages stay in one task.
 
 Defined cases: null and empty documents have no passages; null and empty items are never
 found; items with equal texts are all found; each row is judged by its own text, also where
@@ -45,7 +47,7 @@ QUESTION, ANSWER = 0.6, 0.6  # shares of trigrams and of words
 ANSWER_WORDS = 5
 BLOCK = 32
 K1, B = 1.2, 0.75
-SHARD_BYTES = 64_000_000
+SHARD_BYTES = 8_000_000
 LEAST_PASSAGE = 64
 PIECE = 1 << 19
 OUT = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, passages int"
@@ -83,15 +85,33 @@ def split_item(text: str) -> tuple[str, str]:
     return (question if len(question.split()) >= 3 else text), " ".join(answer)
 
 
+class Statistics:
+    """What BM25 needs to know of all items."""
+
+    def __init__(self, items: int, mean: float, longest: int, terms: np.ndarray, df: np.ndarray):
+        order = np.argsort(terms)
+        self.items, self.mean, self.longest, self.terms, self.df = items, mean, longest, terms[order], df[order]
+
+    @classmethod
+    def of(cls, words: list[np.ndarray]) -> Statistics:
+        sizes = [len(w) for w in words]
+        terms, df = np.unique(np.concatenate([np.unique(w) for w in words] or [np.zeros(0, np.uint64)]), return_counts=True)
+        return cls(len(words), float(np.mean(sizes)) if words else 0.0, max(sizes, default=0), terms, df)
+
+    def frequency(self, terms: np.ndarray) -> np.ndarray:
+        return self.df[np.searchsorted(self.terms, terms)]
+
+
 class Index:
     """Inverted index of items, weights as shares of each item's own score."""
 
-    def __init__(self, items: list[tuple[int, str, str, str]], threshold: float = THRESHOLD):
-        """items: (item_id, text, question, answer)."""
-        words = [(i, _terms(t), q, a) for i, t, q, a in items if t and t.strip()]
+    def __init__(self, items: list[tuple[int, str, str, str]], threshold: float = THRESHOLD, known: Statistics | None = None):
+        """items: (item_id, text, question, answer); known: statistics of all items if these are some of them."""
+        words = [(i, w, q, a) for i, w, q, a in ((i, _terms(t or ""), q, a) for i, t, q, a in items) if len(w)]
+        known = known or Statistics.of([w for _, w, *_ in words])
         self.ids = [i for i, *_ in words]
         self.threshold = threshold
-        self.longest = max((len(w) for _, w, *_ in words), default=0)
+        self.longest = known.longest
         self.question = [np.unique(_grams(_terms(q))) for *_, q, _ in words]
         self.answer = [np.unique(_terms(a)) for *_, a in words]
         sizes = np.array([len(w) for _, w, *_ in words], float)
@@ -102,9 +122,10 @@ class Index:
             item.append(np.full(len(u), k))
             tf.append(c)
         term, item, tf = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((term, np.uint64), (item, np.int64), (tf, np.int64)))
-        self.terms, by, df = np.unique(term, return_inverse=True, return_counts=True)
-        idf = np.log(1 + (len(words) - df + 0.5) / (df + 0.5))
-        weight = idf[by] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[item] / max(sizes.mean() if len(sizes) else 1, 1)))
+        self.terms, by = np.unique(term, return_inverse=True)
+        df = known.frequency(self.terms)
+        idf = np.log(1 + (known.items - df + 0.5) / (df + 0.5))
+        weight = idf[by] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[item] / max(known.mean, 1)))
         weight = weight / np.bincount(item, weight, max(len(words), 1))[item]
         # per item, its commonest terms are set aside up to half the threshold
         order = np.lexsort((term, -df[by], item))
@@ -278,16 +299,31 @@ def _stay(shared, at: int):
     return run
 
 
+def _with_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shard, number of words and distinct terms of each item that has words."""
+    for b in batches:
+        rows = [(k, w) for k, w in ((k, _terms(t)) for t, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist())) if len(w)]
+        terms = pa.array([np.unique(w).view(np.int64) for _, w in rows], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array([len(w) for _, w in rows], pa.int64()), terms], ["shard", "n", "terms"])
+
+
 def _shards(items: DataFrame, threshold: float) -> Iterator:
     """Broadcast indexes of all items, one a shard."""
     own = {"question", "answer"} <= set(items.columns)
     items = items.select("item_id", text_of("text").alias("text"), *([text_of("question").alias("question"), text_of("answer").alias("answer")] if own else []))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = -(-size // SHARD_BYTES) or 1
+    shard = F.pmod(F.xxhash64("item_id", "text"), F.lit(shards))
+    counted = materialize(items.select("text", shard.alias("shard")).mapInArrow(_with_shard, "shard long, n long, terms array<long>"))
+    n, mean, longest = counted.agg(F.count("*"), F.avg("n"), F.max("n")).first()
+    terms = materialize(counted.select("shard", F.explode("terms").alias("term")))
+    frequency = materialize(terms.groupBy("term").agg(F.count("*").alias("df")))
     for k in range(shards):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k).collect()  # at most about SHARD_BYTES
+        rows = items.where(shard == k).collect()  # about SHARD_BYTES
         listed = [(r["item_id"], r["text"], *((r["question"], r["answer"]) if own else split_item(r["text"]))) for r in sorted(rows, key=str)]
-        yield items.sparkSession.sparkContext.broadcast(Index(listed, threshold))
+        df = terms.where(F.col("shard") == k).select("term").distinct().join(frequency, "term").toPandas()  # the terms of these items
+        known = Statistics(n, mean or 0.0, longest or 0, df["term"].to_numpy(np.int64).view(np.uint64), df["df"].to_numpy(np.int64))
+        yield items.sparkSession.sparkContext.broadcast(Index(listed, threshold, known))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
