@@ -17,7 +17,9 @@ own edits.
 Defined cases: null and empty texts have 0 tokens and one empty leaf; edits are byte ranges of
 the text before any edit, applied in order of start; overlapping edits, edits beyond the end or
 inside a character are errors; edits of unknown ids are ignored; rows with a null
-id have no edits; ids are unique where edits are joined; extra columns are dropped; an empty table gives no rows.
+id have no edits; rows that repeat an id are told apart by their texts, each keeps its own tree
+and takes the id's edits; twins of equal id and text share a tree; extra columns are dropped; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import row_key, text_of
 
 LEAF = 1024
 SAFE = re.compile(rb"(?<=[\x21-\x7e]) (?=[\x21-\x7e])")
@@ -55,19 +57,19 @@ def load(spark: SparkSession, path: str | None = None, pattern: str | None = Non
     return spark.sparkContext.broadcast((its, ranks))
 
 
-_built: dict[int, Callable[[bytes], int]] = {}
+_built: dict[int, tuple[object, Callable[[bytes], int]]] = {}
 
 
 def counter(shared) -> Callable[[bytes], int]:
     """Number of tokens of some UTF-8 bytes; built once in each worker."""
-    key = id(shared.value)  # one object a worker
+    key = id(shared.value)  # one object a worker, held below, so that its number isn't given again
     if key not in _built:
         import tiktoken
 
         pattern, ranks = shared.value
         encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        _built[key] = lambda data: len(encoding.encode_ordinary(data.decode()))
-    return _built[key]
+        _built[key] = shared.value, lambda data: len(encoding.encode_ordinary(data.decode()))
+    return _built[key][1]
 
 
 def safe_cuts(data: bytes, step: int) -> list[int]:
@@ -165,7 +167,7 @@ def mask_digits(data: bytes) -> list[Edit]:
     return [(m.start(), m.end(), b"0") for m in DIGITS.finditer(data)]
 
 
-TREES = "doc_id long, n_bytes long, n_tokens long, starts array<int>, sums array<int>"
+TREES = "doc_id long, k long, n_bytes long, n_tokens long, starts array<int>, sums array<int>"
 EDITED = "doc_id long, text string, n_tokens long, n_tokens_edited long, n_edits long, n_bytes_encoded long, starts array<int>, sums array<int>"
 COUNTS = "doc_id long, n_bytes long, n_tokens long, n_edits long, n_bytes_encoded long, n_tokens_edited long"
 _ARROW = {"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
@@ -178,7 +180,7 @@ def _rows(schema: str, rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _docs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"), row_key(id_col, text_col).alias("k"))
 
 
 def trees(docs: DataFrame, shared, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -188,9 +190,9 @@ def trees(docs: DataFrame, shared, id_col: str = "doc_id", text_col: str = "text
         count = counter(shared)
         for b in batches:
             out = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
+            for doc, text, k in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
                 t = Tree.build(text.as_py().encode(), count)
-                out.append((doc, t.size, t.total, t.starts, t.sums))
+                out.append((doc, k, t.size, t.total, t.starts, t.sums))
             yield _rows(TREES, out)
 
     return _docs(docs, id_col, text_col).mapInArrow(run, TREES)
@@ -211,7 +213,8 @@ def apply_edits(docs: DataFrame, kept: DataFrame, edits: DataFrame, shared, id_c
             yield _rows(EDITED, out)
 
     by_doc = edits.groupBy(F.col("doc_id").alias("_e")).agg(F.collect_list(F.struct("start", "end", "replacement")).alias("edits"))
-    rows = _docs(docs, id_col, text_col).join(kept.withColumnRenamed("doc_id", "_t"), F.col("doc_id").eqNullSafe(F.col("_t")) & (F.octet_length("text") == F.col("n_bytes")))
+    kept = kept.dropDuplicates(["doc_id", "k"]).withColumnsRenamed({"doc_id": "_t", "k": "_k"})
+    rows = _docs(docs, id_col, text_col).join(kept, (F.col("k") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_t")))
     rows = rows.join(by_doc, F.col("doc_id") == F.col("_e"), "left")
     return rows.select("doc_id", "text", "n_bytes", "n_tokens", "starts", "sums", "edits").mapInArrow(run, EDITED)
 
@@ -231,4 +234,4 @@ def counts(docs: DataFrame, shared, edits_of: Callable[[bytes], list[Edit]] = ma
                 out.append((doc, size, before, len(edits), encoded, t.total))
             yield _rows(COUNTS, out)
 
-    return _docs(docs, id_col, text_col).mapInArrow(run, COUNTS)
+    return _docs(docs, id_col, text_col).select("doc_id", "text").mapInArrow(run, COUNTS)
