@@ -6,7 +6,7 @@ chunks is kept, and a logistic layer combines them into one probability. Gradien
 through the winning chunk of each filter, so filters and embedding are learned together.
 
 The network is fitted on the driver from a bounded sample (``sampling.labelled_sample``)
-and broadcast: its size is fixed. Scoring is one pass over the documents without a shuffle,
+and broadcast: its size is fixed. Both classes weigh the same, at any size of the corpus. Scoring is one pass over the documents without a shuffle,
 in pieces of bounded size; a very long text is convolved part by part.
 
 Defined cases: null and empty texts are scored as one chunk of padding; a null id is scored
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import pieces, string_buffer
-from .sampling import fold, labelled_sample
+from .sampling import balance, fold, labelled_sample
 
 WIDTH, STRIDE, DIM, FILTERS = 12, 4, 8, 24
 BLOCKS = WIDTH // STRIDE
@@ -96,7 +96,7 @@ def score(m: dict, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return sigmoid(pooled(m, buf, offsets) @ m["out"] + m["shift"][0]).astype(np.float64)
 
 
-def _gradients(m: dict, texts: list[bytes], y: np.ndarray) -> dict:
+def _gradients(m: dict, texts: list[bytes], y: np.ndarray, weight: np.ndarray) -> dict:
     buf = np.frombuffer(b"".join(texts), np.uint8)
     offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
     data, first, counts = padded(buf, offsets)
@@ -105,7 +105,7 @@ def _gradients(m: dict, texts: list[bytes], y: np.ndarray) -> dict:
     top = np.take_along_axis(r, at, axis=0) + m["bias"]
     h = np.maximum(top, 0)
     p = sigmoid(h @ m["out"] + m["shift"][0])
-    dz = ((p - y) / len(y)).astype(np.float32)
+    dz = (weight * (p - y) / len(y)).astype(np.float32)
     dh = dz[:, None] * m["out"] * (top > 0)
     chunk = data[(at * STRIDE)[:, :, None] + np.arange(WIDTH)]
     patch = m["embed"][chunk].reshape(len(y), FILTERS, WIDTH * DIM)
@@ -128,7 +128,7 @@ def fit(rows: list[tuple[str, int]], epochs: int = 12, batch: int = 48, rate: fl
     y = np.array([label for _, label in rows], np.float32)
     if len(set(y.tolist())) < 2:
         return {"constant": float(y.mean()) if len(y) else 0.5}
-    texts = [t.encode() for t, _ in rows]
+    texts, weight = [t.encode() for t, _ in rows], np.array(balance([v for _, v in rows]), np.float32)
     m, rng = new_model(seed), np.random.default_rng(seed)
     one = {k: np.zeros_like(v) for k, v in m.items()}
     two = {k: np.zeros_like(v) for k, v in m.items()}
@@ -139,7 +139,7 @@ def fit(rows: list[tuple[str, int]], epochs: int = 12, batch: int = 48, rate: fl
             pick = order[i : i + batch]
             step += 1
             lr = rate * (1 - (step - 1) / steps)
-            for k, g in _gradients(m, [texts[j] for j in pick], y[pick]).items():
+            for k, g in _gradients(m, [texts[j] for j in pick], y[pick], weight[pick]).items():
                 one[k] = 0.9 * one[k] + 0.1 * g
                 two[k] = 0.999 * two[k] + 0.001 * g * g
                 m[k] = m[k] - (lr * (one[k] / (1 - 0.9**step)) / (np.sqrt(two[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)

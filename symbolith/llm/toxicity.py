@@ -9,10 +9,12 @@ The lexicon is learned with the trees, from the same bounded sample of labelled
 (``sampling.labelled_sample``): words and leading stems that occur in many more toxic
 than clean texts. Features of the sample come from a lexicon of the other half, so trees
 and calibration see densities as they are on unseen texts. Trees are grown on
-histogram bins; out-of-fold margins are calibrated by pooling adjacent violators.
+histogram bins; out-of-fold margins are calibrated by pooling adjacent violators. Both classes
+weigh the same, at any size of the corpus.
 
 The model (a lexicon of at most ``LEXICON`` hashes, trees of a fixed number) is broadcast;
-scoring is one pass without a shuffle, in pieces of bounded size.
+scoring is one pass without a shuffle, in pieces of bounded size; a longer text is a piece
+by itself and takes some sixty bytes a byte.
 
 Defined cases: null and empty texts have zero features and are scored; a null id is scored
 and not held out; repeated rows are scored alike; extra columns are dropped; without
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import _BYTE, _LOWER, _MARK, _powers, mix64, pieces, string_buffer, word_spans
-from .sampling import fold, labelled_sample
+from .sampling import balance, fold, labelled_sample
 
 LEXICON = 4000
 STEMS = (4, 5, 6, 7, 8, 9)
@@ -222,14 +224,14 @@ def _walk(tree: tuple[np.ndarray, np.ndarray, np.ndarray], b: np.ndarray, depth:
     return leaf[node - (2**depth - 1)]
 
 
-def boost(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 3, rate: float = 0.15, ridge: float = 2.0, least: float = 2.0) -> dict:
+def boost(x: np.ndarray, y: np.ndarray, weight: np.ndarray, trees: int = 80, depth: int = 3, rate: float = 0.15, ridge: float = 2.0, least: float = 2.0) -> dict:
     """Log-loss boosting on histogram bins."""
     edges = _edges(x)
     b, margin = _binned(x, edges), np.zeros(len(x))
     grown = []
     for _ in range(trees):
         p = 1 / (1 + np.exp(-margin))
-        feature, cut, leaf = _grow(b, p - y, np.maximum(p * (1 - p), 1e-6), depth, ridge, least)
+        feature, cut, leaf = _grow(b, weight * (p - y), weight * np.maximum(p * (1 - p), 1e-6), depth, ridge, least)
         grown.append((feature, cut, leaf * rate))
         margin += _walk(grown[-1], b, depth)
     return {"edges": edges, "trees": grown, "depth": depth}
@@ -240,12 +242,12 @@ def margins(m: dict, x: np.ndarray) -> np.ndarray:
     return sum((_walk(t, b, m["depth"]) for t in m["trees"]), np.zeros(len(x)))
 
 
-def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Knots of the non-decreasing step fit of y on x, by pooling adjacent violators."""
     order = np.argsort(x, kind="stable")
-    pools: list[list[float]] = []  # sum, count, smallest x, largest x
-    for a, v in zip(x[order], y[order]):
-        pools.append([v, 1, a, a])
+    pools: list[list[float]] = []  # weight of ones, weight, smallest x, largest x
+    for a, v, w in zip(x[order], y[order], weight[order]):
+        pools.append([v * w, w, a, a])
         while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
             s, n, _, hi = pools.pop()
             pools[-1][0] += s
@@ -262,6 +264,7 @@ def fit(rows: list[tuple[str, int]], seed: int = 3) -> dict:
     if len(set(y.tolist())) < 2:
         return {"constant": float(y.mean()) if len(y) else 0.0}
     texts, you = [t.encode() for t, _ in rows], _hash_words(YOU)
+    weight = np.array(balance([v for _, v in rows]))
     part = np.random.default_rng(seed).permutation(len(rows)) % 4
     x = np.zeros((len(rows), len(NAMES)))
     for k in range(4):
@@ -269,9 +272,9 @@ def fit(rows: list[tuple[str, int]], seed: int = 3) -> dict:
         x[own] = features(*_join([texts[i] for i in own]), learn_lexicon([texts[i] for i in rest], y[rest]), you)
     out = np.zeros(len(rows))
     for k in range(4):
-        out[part == k] = margins(boost(x[part != k], y[part != k]), x[part == k])
-    xs, ys = isotonic(out, y)
-    return {"lexicon": learn_lexicon(texts, y), "you": you, "gbt": boost(x, y), "xs": xs, "ys": ys}
+        out[part == k] = margins(boost(x[part != k], y[part != k], weight[part != k]), x[part == k])
+    xs, ys = isotonic(out, y, weight)
+    return {"lexicon": learn_lexicon(texts, y), "you": you, "gbt": boost(x, y, weight), "xs": xs, "ys": ys}
 
 
 def score(m: dict, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:

@@ -148,5 +148,5 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", id_col: str
     both = urls.select("pid", "key", F.lit(True).alias("is_url"), "page_id", "host", "path", none("string").alias("action")).unionByName(
         own.select("pid", "key", F.lit(False).alias("is_url"), none("long").alias("page_id"), "host", "path", "action")
     )
-    swept = both.repartition(parts, "pid").sortWithinPartitions("pid", "key", "is_url")
+    swept = both.repartitionById(parts, "pid").sortWithinPartitions("pid", "key", "is_url")
     return swept.mapInArrow(_sweep(default), "page_id long, host string, path string, rule string, verdict string")

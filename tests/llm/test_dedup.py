@@ -138,6 +138,15 @@ def test_line_dedup_odd(spark):
         line_dedup.removed_lines(df, bound=2)
 
 
+def test_line_dedup_tells_rows_apart(spark):
+    """Null and repeated ids: no unique line goes, and of equal lines one stays."""
+    docs = [(None, "x first of them\nC"), (None, "C\nunique words"), (5, "a line that is here\nC"), (5, "C\nanother that is not"), (5, "C\nanother that is not"), (6, None)]
+    df = spark.createDataFrame(docs, TEXT)
+    left = [x for r in line_dedup.clean(shout(df)).collect() for x in (r["text"] or "").split("\n") if x]
+    assert collections.Counter(left) == {"x first of them": 1, "C": 1, "unique words": 1, "a line that is here": 1, "another that is not": 2}
+    assert sorted(r["n_removed"] for r in line_dedup.report(df).collect()) == [0, 0, 1, 1, 1, 1]
+
+
 # --- Suffix-array dedup ---
 
 

@@ -59,7 +59,7 @@ def test_toxicity_learns():
 def test_isotonic_is_monotone():
     rng = np.random.default_rng(1)
     x = rng.normal(size=300)
-    xs, ys = toxicity.isotonic(x, (x + rng.normal(size=300) > 0).astype(float))
+    xs, ys = toxicity.isotonic(x, (x + rng.normal(size=300) > 0).astype(float), rng.uniform(0.5, 2, 300))
     assert (np.diff(xs) >= 0).all() and (np.diff(ys) >= 0).all() and 0 <= ys.min() <= ys.max() <= 1
 
 
@@ -90,6 +90,37 @@ def test_training_leaves_the_held_out_fold_alone(spark):
     assert len(got) == 60 and all(zlib.crc32(str(i).encode()) % 4 != 2 for i in ids) and all(y == i % 2 for i, (_, y) in zip(ids, got))
 
 
+def test_training_skips_long_texts_only(spark):
+    from symbolith.llm.sampling import balance, labelled_sample
+
+    docs = spark.createDataFrame([(i, "x" * (200 if i % 10 else 20_000)) for i in range(100)], TEXT)
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(100)], "doc_id long, toxic int")
+    got = labelled_sample(docs, labels, "toxic", 5, 0, text_bytes=1000)
+    assert 60 < len(got) and {len(t) for t, _ in got} == {200} and {y for _, y in got} == {0, 1}
+    w = balance([1, 0, 0, 0])
+    assert w[0] == sum(w[1:]) == 2
+
+
+@pytest.mark.parametrize("name,label,least", [("op1_quality", "quality", 0.95), ("op8_toxicity", "toxic", 0.9)])
+def test_classifiers_on_held_out_rows(spark, name, label, least):
+    """Area under the ROC curve over the fold that isn't learned from, and the contract's columns."""
+    import zlib
+    from pathlib import Path
+
+    sf = "/root/testdata/sf0.01"
+    if not Path(sf).exists():
+        pytest.skip("no test tables")
+    rows = queries.QUERIES[name](spark, sf).collect()
+    truth = {r["doc_id"]: r[label] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    folds, out, cut = (4, 2, 0.7) if label == "quality" else (5, 0, 0.5)
+    for r in rows:
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % folds == out) and r["predicted"] == int(r["score"] >= cut)
+    held = [(r["score"], truth[r["doc_id"]]) for r in rows if r["held_out"] and r["doc_id"] in truth]
+    good, bad = [s for s, y in held if y], [s for s, y in held if not y]
+    assert len(rows) == spark.read.parquet(f"{sf}/documents.parquet").count() and good and bad
+    assert np.mean([(a > b) + (a == b) / 2 for a in good for b in bad]) >= least
+
+
 # --- Mixing ---
 
 
@@ -235,6 +266,33 @@ def test_token_tables(spark, shared):
     out = {r["doc_id"]: r for r in token_counts.apply_edits(docs, token_counts.trees(docs, shared), edits, shared).collect()}
     assert out[1]["text"] == "ring 555 1234 now" and out[1]["n_tokens_edited"] == count(b"ring 555 1234 now") and out[2]["n_edits"] == 0
     assert token_counts.counts(docs.limit(0), shared).count() == 0
+    twice = spark.createDataFrame([(None, "ab cd"), (None, "xy zw"), (4, "same"), (4, "same"), (5, "one two"), (5, "six ten")], TEXT)
+    edits = spark.createDataFrame([(5, 0, 3, "0")], "doc_id long, start int, end int, replacement string")
+    kept = token_counts.trees(shout(twice), shared)
+    out = token_counts.apply_edits(shout(twice), kept, edits, shared).collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in out) == sorted([("None", "ab cd"), ("None", "xy zw"), ("4", "same"), ("4", "same"), ("5", "0 two"), ("5", "0 ten")])
+    assert all(r["n_tokens_edited"] == count(r["text"].encode()) for r in out)
+
+
+def test_token_query_equals_whole_encoding(spark, shared):
+    """Each count of the query against tiktoken on whole texts."""
+    import re
+    from pathlib import Path
+
+    import tiktoken
+
+    sf = "/root/testdata/sf0.01"
+    if not Path(sf).exists():
+        pytest.skip("no test tables")
+    pattern, ranks = shared.value
+    own = tiktoken.Encoding("whole", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    got = {r["doc_id"]: r for r in queries.op5_token_counts(spark, sf).collect()}
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    assert len(got) == len(docs)
+    for d in docs:
+        t, r = d["text"] or "", got[d["doc_id"]]
+        assert (r["n_bytes"], r["n_tokens"]) == (len(t.encode()), len(own.encode_ordinary(t)))
+        assert r["n_tokens_edited"] == len(own.encode_ordinary(re.sub("[0-9]+", "0", t))) and r["n_edits"] == len(re.findall("[0-9]+", t))
 
 
 # --- Decontamination ---
@@ -269,6 +327,61 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(spark.createDataFrame(docs, TEXT), none).count() == 0
 
 
+def bm25_by_brute_force(docs, items):
+    """(doc, item) of all passages against all items, from the formula, then the same verification in words."""
+    import math
+    import re
+    import string
+
+    terms = lambda t: [w if len(w) == 1 else (w.strip(string.punctuation) or w[-1]) for w in re.findall(r"[^ \t-\r]+", (t or "").lower())]
+    held = [(i, terms(t), *map(terms, decontaminate.split_item(t or ""))) for i, t in items if terms(t)]
+    df = {}
+    for _, w, *_ in held:
+        for x in set(w):
+            df[x] = df.get(x, 0) + 1
+    mean, longest = sum(len(w) for _, w, *_ in held) / len(held), max(len(w) for _, w, *_ in held)
+    idf = {x: math.log(1 + (len(held) - n + 0.5) / (n + 0.5)) for x, n in df.items()}
+
+    def score(w, own):
+        return sum(idf[x] * w.count(x) * 2.2 / (w.count(x) + 1.2 * (0.25 + 0.75 * len(w) / mean)) for x in set(w) & set(own))
+
+    grams = lambda w: {tuple(w[k : k + 3]) for k in range(len(w) - 2)} if len(w) > 2 else {(x,) for x in w}
+    out, half = set(), max(longest, decontaminate.LEAST_PASSAGE // 2)
+    for d, t in docs:
+        w = terms(t)
+        for start in range(0, max((-(-len(w) // half) - 1) * half, 1), half):
+            own = w[start : start + 2 * half]
+            for i, its, q, a in held:
+                if own and score(its, own) >= 0.5 * score(its, its) - 1e-9:
+                    have = grams(own) | {(x,) for x in own}
+                    q_share = len(grams(q) & have) / len(grams(q)) if q else 1
+                    a_share = len(set(a) & set(own)) / len(set(a)) if a else 1
+                    if q_share >= decontaminate.QUESTION and a_share >= decontaminate.ANSWER:
+                        out.add((d, i))
+    return out
+
+
+@pytest.mark.parametrize("shard", [64_000_000, 1500])
+def test_decontamination_equals_all_pairs(spark, monkeypatch, shard):
+    """All passages against all items, with items cut and changed so that many are near the thresholds."""
+    monkeypatch.setattr(decontaminate, "SHARD_BYTES", shard)
+    rng = random.Random(19)
+    words = [prose(rng, 1) for _ in range(150)]
+    some = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    items = [(i, some(rng.randint(8, 30)).capitalize() + "? " + some(rng.randint(3, 9)) + ".") for i in range(50)] + [(50, None), (51, " ")]
+
+    def part(t):
+        w = t.split()
+        w = [x for x in w if rng.random() < rng.choice([0.95, 0.8, 0.65])]
+        return " ".join(w)
+
+    docs = [(i, some(rng.randint(0, 120)) + " " + part(rng.choice(items[:50])[1]) + " " + some(rng.randint(0, 120))) for i in range(150)]
+    want = bm25_by_brute_force(docs, items)
+    rows = decontaminate.contaminated(spark.createDataFrame(docs, TEXT), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert 20 < len({d for d, _ in want}) < 140
+    assert {(r["doc_id"], r["item_id"]) for r in rows} == want and len(rows) == len(want)
+
+
 @pytest.mark.parametrize("shard", [64_000_000, 400])
 def test_drop_contaminated_judges_each_row(spark, monkeypatch, shard):
     monkeypatch.setattr(decontaminate, "SHARD_BYTES", shard)
