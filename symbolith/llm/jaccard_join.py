@@ -2,8 +2,9 @@
 
 Texts are sets of word shingles; equal sets are one *class*. Shingles are ordered by document
 frequency, rare first (the frequency comes from a counting sketch over all documents whose
-size is bounded, so ties and collisions cost time, never links). Two linked sets share a
-shingle of their prefixes of ``n - ceil(t n) + 1`` shingles.
+size is bounded, so ties and collisions cost time, never links). Two linked sets share ``c``
+shingles of their prefixes of ``n - ceil(t n) + c`` shingles; c is 1 for short sets and grows
+with the size, so long texts that have a few rare shingles in common are no pair.
 
 1. **Group.** Classes of equal size and prefix are one group; the group, not its members, is
    joined. A thousand copies are one row per map task.
@@ -14,7 +15,8 @@ shingle of their prefixes of ``n - ceil(t n) + 1`` shingles.
 3. **Group pairs.** Of each prefix shingle the groups outside its largest component are joined
    with all its groups; pairs of one component are never made, so a large class of near copies
    costs what its outsiders cost. Pairs are filtered by size and by parity: a set's 512-bit
-   parity map differs from another's in at most as many bits as they differ in shingles.
+   parity map differs from another's in at most as many bits as they differ in shingles. Pairs
+   with the smaller of their two ``c`` of common prefix shingles stay.
 4. **Expand and verify.** Group pairs are expanded to pairs of classes of different components,
    filtered by parity again, and decided by the exact intersection. No link that could join
    two components is left out.
@@ -127,6 +129,15 @@ def least_common(n, num: int, den: int):
     return -(-n * num // den)
 
 
+def common_prefix(n):
+    """c: prefix shingles that a set of n and any linked set of its size or more have in common."""
+    return 1 + n // 100
+
+
+def _needed(a: Column, b: Column) -> Column:
+    return (1 + F.floor(F.least(a, b) / 100)).cast("long")
+
+
 def _parities(h: np.ndarray, row: np.ndarray, n_rows: int) -> np.ndarray:
     """(rows, PARITY) longs: each bit is the parity of the row's shingles that fall on it."""
     bit = (mix64(h) & np.uint64(64 * PARITY - 1)).astype(np.int64)
@@ -146,7 +157,7 @@ def _describe(shared, size: int, num: int, den: int):
                 first = np.cumsum(n) - n
                 at = np.arange(len(h)) - first[row]
                 # a set so small that only its equals are linked with it has no prefix
-                length = np.where(num * (n + 1) <= den * n, n - least_common(n, num, den) + 1, 0)
+                length = np.where(num * (n + 1) <= den * n, n - least_common(n, num, den) + common_prefix(n), 0)
                 pre = at < length[row]
                 both = [mix64(h ^ np.uint64(k)) for k in (0x51ED270B, 0x2545F491)]
                 s, s2 = (_set_hash(x, first, n) for x in both)
@@ -249,10 +260,12 @@ def _labelled(docs: DataFrame, shingle: int, num: int, den: int, id_col: str, te
     reads = able.select("s", "k")
     # pivots
     pivots = materialize(tokens.join(groups, "g").groupBy("token").agg(F.max_by("first", "central").alias("pivot")))
-    met = tokens.join(pivots, "token").select("g", "pivot").unionByName(groups.where("sets > 1").select("g", F.col("first").alias("pivot"))).distinct()
+    met = tokens.join(pivots, "token").groupBy("g", "pivot").agg(F.count("*").alias("common"))
+    met = met.unionByName(groups.where("sets > 1").select("g", F.col("first").alias("pivot"), F.lit(2**31).cast("long").alias("common")))
     firsts = groups.select(F.col("first").alias("s")).join(able, "s").select(F.col("s").alias("pivot"), "central", member.alias("y"))
     pairs = met.join(able.select("g", member.alias("x")), "g").join(materialize(firsts), "pivot").where(F.col("x.s") != F.col("pivot"))
-    pairs = pairs.where(_near("x", "y", num, den)).groupBy(F.col("x.s").alias("a")).agg(F.max_by("pivot", "central").alias("b"))
+    pairs = pairs.where(_near("x", "y", num, den) & (2 * F.col("common") >= _needed(F.col("x.n"), F.col("y.n"))))  # a choice of pairs, not a filter of links
+    pairs = pairs.groupBy(F.col("x.s").alias("a")).agg(F.max_by("pivot", "central").alias("b"))
     roots = materialize(connected_components(_links(pairs, texts, reads, shingle, num, den)))
 
     # what is left between components
@@ -269,7 +282,8 @@ def _labelled(docs: DataFrame, shingle: int, num: int, den: int, id_col: str, te
     outside = rows.where("x.label <> main")
     apart = (F.col("x.label") != F.col("y.label")) & ((F.col("y.label") == F.col("main")) | (F.col("x.g") < F.col("y.g")))
     pairs = outside.join(rows.select("token", F.col("x").alias("y")), "token").where(apart & _near("x", "y", num, den))
-    pairs = pairs.select(F.col("x.g").alias("ga"), F.col("y.g").alias("gb")).unionByName(whole.where("mixed").select(F.col("g").alias("ga"), F.col("g").alias("gb"))).distinct()
+    pairs = pairs.groupBy(F.col("x.g").alias("ga"), F.col("y.g").alias("gb")).agg(F.count("*").alias("common"), F.first(_needed(F.col("x.n"), F.col("y.n"))).alias("need"))
+    pairs = pairs.where("common >= need").select("ga", "gb").unionByName(whole.where("mixed").select(F.col("g").alias("ga"), F.col("g").alias("gb")))
     sides = [able.select(F.col("g").alias(f"g{k}"), F.struct("s", "n", "label", *PARITIES).alias(f"x{k}")) for k in "ab"]
     pairs = pairs.join(sides[0], "ga").join(sides[1], "gb").where((F.col("xa.label") != F.col("xb.label")) & ((F.col("ga") != F.col("gb")) | (F.col("xa.s") < F.col("xb.s"))))
     pairs = pairs.where(_near("xa", "xb", num, den)).select(F.col("xa.s").alias("a"), F.col("xb.s").alias("b"))

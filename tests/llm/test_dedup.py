@@ -298,6 +298,13 @@ def test_jaccard_join(spark, size, num):
             docs.append((i, " ".join(w)))
             i += 1
     docs += [(100 + k, " ".join(prose(rng.randint(1, 40)))) for k in range(20)]
+    for k in range(24):  # long texts, near the threshold, with two prefix shingles or more to share
+        if k % 6 == 0:
+            own = prose(rng.randint(150, 420))
+        w = list(own)
+        for _ in range(rng.randint(0, len(w) // 25)):
+            w[rng.randrange(len(w))] = "Y" + str(rng.randrange(99))
+        docs.append((300 + k, " ".join(w)))
     docs += [(200, None), (201, ""), (202, "One"), (203, "one"), (204, "a b"), (205, "A\tB "), (206, "a a a a a a"), (207, " \n")]
     got = {r["doc_id"]: tuple(r) for r in jaccard_join.components(shout(spark.createDataFrame(docs, TEXT)), size, num, 100).collect()}
     assert got == components_by_brute_force(docs, size, num)
