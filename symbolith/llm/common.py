@@ -218,27 +218,33 @@ def shingle_hashes(words: np.ndarray, rows: np.ndarray, size: int, n_rows: int)
 # --- Graphs ------------------------------------------------------------------
 
 
+EDGES_A_TASK = 1000
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(node, root) for each node on an edge; root is the smallest node it reaches.
 
     Alternating large-star and small-star steps (Kiveris et al., SoCC 2014): each
     node's minimum comes from a pre-aggregated groupBy, so a hub costs one row per
     map task, and the number of edges never grows. Every round is checkpointed; only
-    two totals reach the driver.
+    totals reach the driver. Edges are counted first: a task writes EDGES_A_TASK of them or
+    more, so a small graph among many partitions doesn't leave many small files.
     """
     e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u <> v")
     e = materialize(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    state = None
-    while not e.isEmpty():
+    n, state = e.count(), None
+    tasks = 1 + n // EDGES_A_TASK
+    while n:
+        e = e.coalesce(tasks)
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).coalesce(tasks))
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(tasks).distinct().coalesce(tasks)
+        low = large.groupBy("u").agg(F.min("v").alias("m")).coalesce(tasks)
         small = large.join(low, "u")
         star = small.select("u", F.col("m").alias("v")).unionByName(
             small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         )
-        e = materialize(star.distinct())
+        e = materialize(star.coalesce(tasks).distinct().coalesce(tasks))
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break
