@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import os
 import sys
 
 from symbolith.facade import Engine
@@ -30,6 +31,19 @@ def main(args: list[str]) -> int:
             df.show(100, False)
     elif verb == "report":
         engine.event_report().show(20, False)
+    elif verb == "agents":
+        existing = ""
+        if rest and os.path.exists(rest[0]):
+            with open(rest[0]) as f:
+                existing = f.read()
+        notes = engine.agent_notes(existing)
+        if rest:
+            with open(rest[0], "w") as f:
+                f.write(notes)
+        else:
+            print(notes)
+    elif verb == "prompt":
+        print(engine.prompt())
     elif verb == "skeleton" and rest:
         texts = []
         for path in rest:

@@ -5,6 +5,7 @@ Tables live below one folder that all executors see.
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,11 +17,13 @@ from symbolith.session import materialize
 from symbolith.sources import files as S
 from symbolith.sources import tables
 
+CONDENSING = "command string, category string, original_tokens long, compressed_tokens long, saved long, seq long"
 EVENTS = "symbol string, file string, type string, ts timestamp, session long, seq long"
 
 
 class Engine:
-    TOOLS = ("reindex", "refresh", "check", "references", "condense", "overview", "skeleton", "event_report", "clear_events", "notes", "watchlist")
+    TOOLS = ("reindex", "refresh", "check", "references", "condense", "overview", "skeleton", "event_report", "clear_events", "notes", "watchlist",
+             "autofix", "agent_notes", "prompt", "condensing_report", "reset_condensing")
 
     def __init__(self, spark: SparkSession, home: str, as_of: str, disabled: Iterable[str] = ()):
         unknown = set(disabled) - set(self.TOOLS)
@@ -43,9 +46,29 @@ class Engine:
             raise LookupError(f"{name} is {state}: index the project first" if state == "missing" else f"{name} is corrupt: reindex the project")
         return df
 
-    def reindex(self, root: str, full: bool = False, **limits) -> dict:
-        """Scan a tree, reusing what didn't change, and replace the tables."""
-        scanned = materialize(S.scan(S.read_tree(self.spark, root), **limits))
+    def _ignored(self, root: str) -> list[str]:
+        """Plain directory entries of the root's .gitignore."""
+        jvm = self.spark._jvm
+        path = jvm.org.apache.hadoop.fs.Path(f"{root}/.gitignore")  # Spark's readers leave hidden files out
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(path):
+            return []
+        with contextlib.closing(fs.open(path)) as stream:
+            text = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        lines = self.spark.createDataFrame(list(enumerate(text.split("\n"))), "line_no int, text string")
+        return [r["dir"] for r in S.gitignore_dirs(lines).collect()]  # one file's own lines
+
+    def reindex(self, root: str, full: bool = False, config: str | None = None, **limits) -> dict:
+        """Scan a tree, reusing what didn't change, and replace the tables.
+
+        Directories that .gitignore or the configuration (skipDirs, includeDirs) name are heeded.
+        """
+        own = S.scan_config(self.spark, config) if config else {"skipDirs": [], "includeDirs": []}
+        dirs = {
+            "skip_dirs": (*limits.pop("skip_dirs", ()), *own["skipDirs"], *self._ignored(root)),
+            "include_dirs": (*limits.pop("include_dirs", ()), *own["includeDirs"]),
+        }
+        scanned = materialize(S.scan(S.read_tree(self.spark, root), **dirs, **limits))
         state, cache = ("missing", None) if full else tables.read(self.spark, self._path("cache"), ("path", "symbols", "version"))
         cache = materialize(cache) if cache is not None else None
         defs, kept = S.rescan(scanned, cache)
@@ -54,6 +77,7 @@ class Engine:
         tables.write(kept, self._path("cache"))
         tables.write(registry.registry(defs), self._path("registry"))
         tables.write(scanned.select("path", "lang", "lines", "size", "modified"), self._path("files"))
+        tables.write(references.module_exports(scanned), self._path("exports"))
         lines = extract.source_lines(scanned)
         tables.write(registry.first_wins(extract.routes(lines), "route", "file", "line"), self._path("routes"))
         tables.write(registry.first_wins(extract.pages(scanned.where("lang = 'html'")), "page", "file"), self._path("pages"))
@@ -89,20 +113,67 @@ class Engine:
         row = self._table("meta").select(stale.alias("a"), T.incomplete_note(F.col("truncated"), F.col("depth_truncated")).alias("b")).first()
         return [x for x in row if x]
 
+    def _ledger(self, files: DataFrame) -> DataFrame:
+        """Names of this session, with those that ``files`` define; kept for the next call."""
+        state, old = tables.read(self.spark, self._path("ledger"), ("name", "seq"))
+        old = materialize(old) if state == "ok" else self.spark.createDataFrame([], "name string, seq long")
+        now = materialize(references.session_names(old, files))
+        tables.write(now, self._path("ledger"))
+        return now
+
     def references(self, files: DataFrame) -> DataFrame:
         """Findings in written files (path, content), lists capped at ten per kind."""
         reg = registry.lookup(self._table("registry")).select("name", "namespace", F.concat_ws("|", F.col("cat_rank"), "file", F.lpad(F.col("line").cast("string"), 9, "0")).alias("ord"))
         more = self._table("routes").select(F.col("route").alias("name")).unionByName(self._table("pages").select(F.col("page").alias("name")))
-        names = references.name_report(files, reg, more, self.spark.createDataFrame([], "name string"))
+        names = references.name_report(files, reg, more, self._ledger(files))
         bad = references.bad_routes(references.route_literals(files), self._table("routes").select("method", "path"))
-        missing = references.missing_imports(references.import_paths(files), self._table("files"))
+        imports, listing = references.import_paths(files), self._table("files")
+        missing = references.missing_imports(imports, listing)
+        hidden = references.not_exported(references.named_imports(files), references.resolved(imports, listing), self._table("exports"))
         none = F.lit(None).cast("string").alias("detail")
         rows = names.unionByName(bad.select("path", F.col("literal").alias("name"), F.lit("route").alias("finding"), none))
         rows = rows.unionByName(missing.select("path", F.col("import_path").alias("name"), F.lit("import").alias("finding"), none))
-        return references.capped(rows, {"unknown": 10, "route": 10})
-
-    def condense(self, outputs: DataFrame, **options) -> DataFrame:
-        return condense.condense(outputs, **options)
+        rows = rows.unionByName(hidden.select("path", "name", F.lit("not exported").alias("finding"), F.col("import_path").alias("detail")))
+        return references.capped(rows, {"unknown": 10, "route": 10, "not exported": 10})
+
+    def autofix(self, files: DataFrame) -> DataFrame:
+        """The files in which a typo was found, with it put right."""
+        return references.autofix(files, materialize(self.references(files)))
+
+    def _condensing(self) -> DataFrame:
+        state, log = tables.read(self.spark, self._path("condensing"))
+        return log if state == "ok" else self.spark.createDataFrame([], CONDENSING)
+
+    def condense(self, outputs: DataFrame, command: str = "command", record: bool = True, **options) -> DataFrame:
+        """Condensed outputs; what they saved is recorded."""
+        out = condense.condense(outputs, command=command, **options)
+        if not record:
+            return out
+        out = materialize(out)
+        seq = self._condensing().agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
+        rows = out.select(F.col(command).alias("command"), "category", "condensed.original_tokens", "condensed.compressed_tokens")
+        rows = analytics.condensing_log(rows).withColumn("seq", F.monotonically_increasing_id() + seq + 1)
+        tables.append(rows.select(*[c.split()[0] for c in CONDENSING.split(", ")]), self._path("condensing"))
+        return out
+
+    def condensing_report(self) -> dict[str, DataFrame]:
+        log = self._condensing()
+        return {"totals": analytics.condensing_stats(log), "top": analytics.top_commands(log)}
+
+    def reset_condensing(self) -> None:
+        tables.write(self.spark.createDataFrame([], CONDENSING), self._path("condensing"))
+
+    def agent_notes(self, existing: str = "") -> str:
+        """``existing`` notes with the managed block of rules and facts put in or renewed."""
+        reg = self._table("registry")
+        block = report.managed_block(self.watchlist(), registry.category_counts(reg), reg.where("category = 'exports'"), self._table("routes"))
+        return tables.upsert_block(existing, block)
+
+    def prompt(self, minimal: bool = False) -> str:
+        """A reminder with the state of the registry and the names reported most."""
+        state, reg = tables.read(self.spark, self._path("registry"))
+        meta = {"symbols": reg.count(), "files": self._table("meta").first()["file_count"]} if state == "ok" else None
+        return report.prompt(meta, self.watchlist(), minimal)
 
     def overview(self, max_files: int = 100) -> dict[str, DataFrame]:
         reg, files = self._table("registry"), self._table("files")

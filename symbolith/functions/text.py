@@ -20,7 +20,7 @@ ANSI = r"\x1B(?:[@-Z\\-_]|\[[0-?]*[ -/]*[@-~])"
 
 
 def trim(x: Column) -> Column:
-    return F.regexp_replace(x, f"^{SPACE}+|{SPACE}+\\z", "")
+    return F.regexp_replace(x, f"^{SPACE}++|(?<!{SPACE}){SPACE}++\\z", "")
 
 
 def half_up(x: Column) -> Column:
@@ -75,13 +75,18 @@ def strip_ansi(x: Column) -> Column:
     return F.regexp_replace(x, ANSI, "")
 
 
+def _quoted(mark: str) -> str:
+    """A quoted string; possessive, so that its length costs neither stack nor second tries."""
+    return rf"(?s){mark}[^{mark}\\]*+(?:\\.[^{mark}\\]*+)*+{mark}"
+
+
 def strip_comments_and_strings(code: Column) -> Column:
     for pattern, new in (
         (r"(?s)/\*.*?\*/", ""),
         (r"(?m)//.*$", ""),
-        (r"(?s)`(?:[^`\\]|\\.)*`", '""'),
-        (r'(?s)"(?:[^"\\]|\\.)*"', '""'),
-        (r"(?s)'(?:[^'\\]|\\.)*'", "''"),
+        (_quoted("`"), '""'),
+        (_quoted('"'), '""'),
+        (_quoted("'"), "''"),
     ):
         code = F.regexp_replace(code, pattern, new)
     return code
@@ -91,7 +96,7 @@ def normalize_whitespace(x: Column) -> Column:
     """LF line ends, at most one blank line, no white space at line ends or around the text."""
     x = F.regexp_replace(x, "\r\n", "\n")
     x = F.regexp_replace(x, "\n{3,}", "\n\n")
-    return trim(F.regexp_replace(x, r"[ \t]+(?=\n|\z)", ""))
+    return trim(F.regexp_replace(x, r"(?<![ \t])[ \t]++(?=\n|\z)", ""))
 
 
 def token_estimate(x: Column) -> Column:

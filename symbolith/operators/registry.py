@@ -20,8 +20,10 @@ ESTABLISHED = 5
 
 def per_file(defs: DataFrame) -> DataFrame:
     """One row per (category, name, file): uses and first place in the file."""
-    first = F.min(F.struct("line", "pass"))
-    return defs.groupBy("category", "name", "file").agg(F.count("*").alias("usages"), first.alias("first"))
+    first = F.min(F.shiftleft(F.col("line").cast("long"), 32) + F.col("pass"))  # one long: no sort before the shuffle
+    rows = defs.groupBy("category", "name", "file").agg(F.count("*").alias("usages"), first.alias("first"))
+    place = F.struct(F.shiftright("first", 32).cast("int").alias("line"), F.col("first").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("pass"))
+    return rows.withColumn("first", place)
 
 
 def locations(files: DataFrame, limit: int = MAX_LOCATIONS) -> DataFrame:

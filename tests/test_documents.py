@@ -75,3 +75,13 @@ def test_javascript():
     assert js.symbols("function ( {") == ([], False)
     assert js.symbols("const r = /[}\"]/; function ok() {}")[0][-1][1] in ("ok", "r")
     assert ("method", "B", "m(x)", 1) in js.skeleton("class B { m(x) { return 1 } }")
+
+
+def test_long_strings_and_spaces(spark):
+    """100,000 quoted characters don't exhaust the stack, 100,000 spaces don't take quadratic time."""
+    from symbolith.functions import text as T
+
+    quoted = "a('" + "x\\'" * 50_000 + "');"
+    rows = spark.createDataFrame([(quoted, "a" + " " * 100_000 + "b" + " " * 100_000)], "code string, text string")
+    r = rows.select(T.strip_comments_and_strings(rows["code"]).alias("code"), T.normalize_whitespace(rows["text"]).alias("text"), T.trim(rows["text"]).alias("bare")).first()
+    assert r["code"] == "a('');" and r["text"] == r["bare"] == "a" + " " * 100_000 + "b"

@@ -100,6 +100,27 @@ def test_engine(spark, tmp_path):
         Engine(spark, str(home), "2024-01-01", disabled=["check"]).call("check", [])
 
 
+def test_engine_tools(spark, tmp_path):
+    src, home = tmp_path / "p", tmp_path / "home"
+    tree(src, {"src/a.js": "export function makeWidget() {}\n", "made/x.js": "export function ghost() {}\n", ".gitignore": "made/\n", "cfg.json": '{"skipDirs": ["off"]}', "off/y.js": "function lost() {}\n"})
+    e = Engine(spark, str(home), "2024-01-10 00:00:00")
+    assert e.prompt().endswith("index the project first.")
+    assert e.reindex(str(src), config=str(src / "cfg.json"))["files"] == 2  # a.js and cfg.json
+    files = spark.createDataFrame([("src/n.js", "import { makeWidget, other } from './a';\nmakeWidgt();")], "path string, content string")
+    assert {(r["finding"], r["name"]) for r in e.references(files).collect()} == {("not exported", "other"), ("typo", "makeWidgt")}
+    assert [r["content"] for r in e.autofix(files).collect()] == ["import { makeWidget, other } from './a';\nmakeWidget();"]
+    out = spark.createDataFrame([("npm test", "x\n" * 400), ("ls -la", "a")], "command string, raw string")
+    e.condense(out)
+    e.condense(out)
+    total = [r for r in e.condensing_report()["totals"].collect() if r["is_total"] == 1]
+    assert [r["commands"] for r in total] == [4]
+    e.reset_condensing()
+    assert e.condensing_report()["top"].count() == 0
+    once = e.agent_notes("# Mine\n")
+    assert once.startswith("# Mine") and "functions: 1" in once and e.agent_notes(once) == once
+    assert "symbols in 2 files" in e.prompt()
+
+
 def test_changes(spark):
     kind = "path string, size long, mtime int"
     a = spark.createDataFrame([("a.js", 1, 1), ("b.js", 1, 1), ("c.js", 1, 1), ("n.txt", 1, 1)], kind)
