@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import (
-    connected_components, materialize, mix64, one_of_each, pieces, row_key, shingle_hashes, small, string_buffer, text_of, without, word_hashes, word_spans,
+    bounded_batches, connected_components, materialize, mix64, one_of_each, pieces, row_key, shingle_hashes, small, string_buffer, text_of, without, word_hashes, word_spans,
 )
 
 PARITY = 8  # longs of a parity map
@@ -239,7 +239,12 @@ def _near(a: str, b: str, num: int, den: int) -> Column:
 
 
 def _labelled(docs: DataFrame, shingle: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, k, n, linked, component) of each row; linked: other rows are in its component."""
+    """(id, k, n, label, component) of each row; a label if other rows are in its component. All kernels have run."""
+    with bounded_batches(docs.sparkSession):
+        return _classified(docs, shingle, num, den, id_col, text_col)
+
+
+def _classified(docs: DataFrame, shingle: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")).select("id", row_key("id", "text").alias("k"), "text")
     shared = spark.sparkContext.broadcast(_sketch(texts, shingle))
