@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -102,22 +101,6 @@ def one_of_each(df: DataFrame, twins: DataFrame, id_col: str, text_col: str) ->
 
 # --- Arrow kernels -----------------------------------------------------------
 
-#: Bytes of rows that a Python worker gets at a time, one row at least. Spark's own bound is 64 MB, which a task
-#: holds several times: in the JVM's Arrow buffers, whose sizes are rounded up, and in the worker.
-BATCH_BYTES = 8 << 20
-
-
-@contextmanager
-def bounded_batches(spark: SparkSession) -> Iterator[None]:
-    """Plans that are executed inside get Arrow batches of at most ``BATCH_BYTES``; the session's bound is put back."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, f"{BATCH_BYTES}b")
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
 
 def string_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all strings of a column, one after another, and n+1 offsets."""
