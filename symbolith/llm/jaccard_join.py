@@ -51,15 +51,17 @@ SLICES = 16
 SKETCH_BITS = 24  # at most: 64 MB in a counting task, 16 MB broadcast
 SKETCH_TASKS = 64, 4096
 PARITIES = [f"p{k}" for k in range(PARITY)]
+#: Seeds of the two halves of a set's hash.
+SET_SEEDS = 0x51ED270B, 0x2545F491
 
 
-def _sets(buf: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+def row_sets(buf: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingle hashes and rows of a piece, repeats included."""
     starts, ends, rows = word_spans(buf, offsets)
     return shingle_hashes(word_hashes(buf, starts, ends), rows, size, len(offsets) - 1)
 
 
-def _unique(h: np.ndarray, row: np.ndarray, rank: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def unique(h: np.ndarray, row: np.ndarray, rank: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (row, hash), ordered by row, rank and hash."""
     order = np.lexsort((h, row) if rank is None else (h, rank, row))
     h, row = h[order], row[order]
@@ -68,7 +70,7 @@ def _unique(h: np.ndarray, row: np.ndarray, rank: np.ndarray | None = None) -> t
     return h[new], row[new]
 
 
-def _text_pieces(col: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_pieces(col: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     buf, off = string_buffer(col)
     for i, j in pieces(off):
         yield i, j, buf[off[i] : off[j]], off[i : j + 1] - off[i]
@@ -88,8 +90,8 @@ def _sketch(texts: DataFrame, size: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << bits, np.int32)
         for b in batches:
-            for _, _, buf, off in _text_pieces(b.column(0)):
-                h, _ = _unique(*_sets(buf, off, size))
+            for _, _, buf, off in text_pieces(b.column(0)):
+                h, _ = unique(*row_sets(buf, off, size))
                 at, n = np.unique((h & np.uint64((1 << bits) - 1)).astype(np.int64), return_counts=True)
                 total[at] += n.astype(np.int32)
         if total.any():
@@ -114,7 +116,7 @@ def _sketch(texts: DataFrame, size: int) -> np.ndarray:
     return out.ravel()
 
 
-def _set_hash(values: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+def set_hash(values: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
     """A hash of the sum of each row's values and of its size."""
     c = np.zeros(len(values) + 1, np.uint64)
     np.cumsum(values, out=c[1:])
@@ -138,7 +140,7 @@ def _needed(a: Column, b: Column) -> Column:
     return (1 + F.floor(F.least(a, b) / 100)).cast("long")
 
 
-def _parities(h: np.ndarray, row: np.ndarray, n_rows: int) -> np.ndarray:
+def parities(h: np.ndarray, row: np.ndarray, n_rows: int) -> np.ndarray:
     """(rows, PARITY) longs: each bit is the parity of the row's shingles that fall on it."""
     bit = (mix64(h) & np.uint64(64 * PARITY - 1)).astype(np.int64)
     odd = np.bincount(row * 64 * PARITY + bit, minlength=n_rows * 64 * PARITY).astype(np.uint8) & 1
@@ -150,21 +152,21 @@ def _describe(shared, size: int, num: int, den: int):
         sketch = shared.value
         mask = np.uint64(len(sketch) - 1)
         for b in batches:
-            for i, j, buf, off in _text_pieces(b.column(2)):
-                h, row = _sets(buf, off, size)
-                h, row = _unique(h, row, sketch[(h & mask).astype(np.int64)])
+            for i, j, buf, off in text_pieces(b.column(2)):
+                h, row = row_sets(buf, off, size)
+                h, row = unique(h, row, sketch[(h & mask).astype(np.int64)])
                 n = np.bincount(row, minlength=j - i)
                 first = np.cumsum(n) - n
                 at = np.arange(len(h)) - first[row]
                 # a set so small that only its equals are linked with it has no prefix
                 length = np.where(num * (n + 1) <= den * n, n - least_common(n, num, den) + common_prefix(n), 0)
                 pre = at < length[row]
-                both = [mix64(h ^ np.uint64(k)) for k in (0x51ED270B, 0x2545F491)]
-                s, s2 = (_set_hash(x, first, n) for x in both)
-                g = _set_hash(np.where(pre, both[0], np.uint64(0)), first, n)
+                both = [mix64(h ^ np.uint64(k)) for k in SET_SEEDS]
+                s, s2 = (set_hash(x, first, n) for x in both)
+                g = set_hash(np.where(pre, both[0], np.uint64(0)), first, n)
                 central = np.bincount(row, sketch[(h & mask).astype(np.int64)], j - i) / np.maximum(n, 1)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(length))).astype(np.int32)), pa.array(h[pre].view(np.int64)))
-                parity = np.concatenate([_parities(h[first[x] : first[y - 1] + n[y - 1]], row[first[x] : first[y - 1] + n[y - 1]] - x, y - x) for x, y in _steps(j - i)])
+                parity = np.concatenate([parities(h[first[x] : first[y - 1] + n[y - 1]], row[first[x] : first[y - 1] + n[y - 1]] - x, y - x) for x, y in steps(j - i)])
                 yield pa.RecordBatch.from_arrays(
                     [
                         *(b.column(x).slice(i, j - i) for x in (0, 1)), pa.array(n.astype(np.int32)), *(pa.array(x.view(np.int64)) for x in (s, s2, g)),
@@ -176,7 +178,7 @@ def _describe(shared, size: int, num: int, den: int):
     return run
 
 
-def _steps(n: int, step: int = 1024) -> Iterator[tuple[int, int]]:
+def steps(n: int, step: int = 1024) -> Iterator[tuple[int, int]]:
     return ((a, min(a + step, n)) for a in range(0, n, step))
 
 
@@ -186,11 +188,11 @@ def _fetch(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             wanted = np.asarray(b.column(1))
-            for i, j, buf, off in _text_pieces(b.column(0)):
-                h, row = _unique(*_sets(buf, off, size))
+            for i, j, buf, off in text_pieces(b.column(0)):
+                h, row = unique(*row_sets(buf, off, size))
                 n = np.bincount(row, minlength=j - i)
                 ends = np.cumsum(n)
-                own = _set_hash(mix64(h ^ np.uint64(0x51ED270B)), ends - n, n).view(np.int64)
+                own = set_hash(mix64(h ^ np.uint64(SET_SEEDS[0])), ends - n, n).view(np.int64)
                 at = np.flatnonzero(own == wanted[i:j])
                 at = at[np.unique(own[at], return_index=True)[1]]
                 data = [h[ends[k] - n[k] : ends[k]].tobytes() for k in at]
@@ -218,7 +220,7 @@ def _verify(num: int, den: int):
     return run
 
 
-def _links(pairs: DataFrame, texts: DataFrame, rows: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
+def exact_links(pairs: DataFrame, texts: DataFrame, rows: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
     """Pairs (a, b) of classes that are linked, as (src, dst); ``rows``: (s, k), the row that a class is read from.
 
     Texts, and then sets, move by key only if the pairs are more than can be broadcast.
@@ -231,7 +233,7 @@ def _links(pairs: DataFrame, texts: DataFrame, rows: DataFrame, shingle: int, nu
     return met.select("a", "b", "set_a", "set_b").mapInArrow(_verify(num, den), "src long, dst long").distinct()
 
 
-def _near(a: str, b: str, num: int, den: int) -> Column:
+def near(a: str, b: str, num: int, den: int) -> Column:
     """Sizes and parities allow a link between the sets of two structs; a null parity allows any."""
     n, m = F.col(f"{a}.n").cast("long"), F.col(f"{b}.n").cast("long")
     differ = sum((F.bit_count(F.col(f"{a}.{p}").bitwiseXOR(F.col(f"{b}.{p}"))) for p in PARITIES), F.lit(0)).cast("long")
@@ -264,9 +266,9 @@ def _labelled(docs: DataFrame, shingle: int, num: int, den: int, id_col: str, te
     met = met.unionByName(groups.where("sets > 1").select("g", F.col("first").alias("pivot"), F.lit(2**31).cast("long").alias("common")))
     firsts = groups.select(F.col("first").alias("s")).join(able, "s").select(F.col("s").alias("pivot"), "central", member.alias("y"))
     pairs = met.join(able.select("g", member.alias("x")), "g").join(materialize(firsts), "pivot").where(F.col("x.s") != F.col("pivot"))
-    pairs = pairs.where(_near("x", "y", num, den) & (2 * F.col("common") >= _needed(F.col("x.n"), F.col("y.n"))))  # a choice of pairs, not a filter of links
+    pairs = pairs.where(near("x", "y", num, den) & (2 * F.col("common") >= _needed(F.col("x.n"), F.col("y.n"))))  # a choice of pairs, not a filter of links
     pairs = pairs.groupBy(F.col("x.s").alias("a")).agg(F.max_by("pivot", "central").alias("b"))
-    roots = materialize(connected_components(_links(pairs, texts, reads, shingle, num, den)))
+    roots = materialize(connected_components(exact_links(pairs, texts, reads, shingle, num, den)))
 
     # what is left between components
     able = able.join(roots, F.col("s") == F.col("node"), "left").withColumn("label", F.coalesce("root", "s")).drop("node", "root")
@@ -281,14 +283,16 @@ def _labelled(docs: DataFrame, shingle: int, num: int, den: int, id_col: str, te
     rows = materialize(tokens.drop("label").join(open_, "token").join(whole.select("g", "x"), "g").select("token", "main", "x"))
     outside = rows.where("x.label <> main")
     apart = (F.col("x.label") != F.col("y.label")) & ((F.col("y.label") == F.col("main")) | (F.col("x.g") < F.col("y.g")))
-    pairs = outside.join(rows.select("token", F.col("x").alias("y")), "token").where(apart & _near("x", "y", num, den))
-    pairs = pairs.groupBy(F.col("x.g").alias("ga"), F.col("y.g").alias("gb")).agg(F.count("*").alias("common"), F.first(_needed(F.col("x.n"), F.col("y.n"))).alias("need"))
+    pairs = outside.join(rows.select("token", F.col("x").alias("y")), "token").where(apart & near("x", "y", num, den))
+    # each shingle orders the pair by its own main component, so shingles in common are counted by unordered pair
+    ends = F.least("x.g", "y.g").alias("ga"), F.greatest("x.g", "y.g").alias("gb")
+    pairs = pairs.groupBy(*ends).agg(F.count("*").alias("common"), F.first(_needed(F.col("x.n"), F.col("y.n"))).alias("need"))
     pairs = pairs.where("common >= need").select("ga", "gb").unionByName(whole.where("mixed").select(F.col("g").alias("ga"), F.col("g").alias("gb")))
     sides = [able.select(F.col("g").alias(f"g{k}"), F.struct("s", "n", "label", *PARITIES).alias(f"x{k}")) for k in "ab"]
     pairs = pairs.join(sides[0], "ga").join(sides[1], "gb").where((F.col("xa.label") != F.col("xb.label")) & ((F.col("ga") != F.col("gb")) | (F.col("xa.s") < F.col("xb.s"))))
-    pairs = pairs.where(_near("xa", "xb", num, den)).select(F.col("xa.s").alias("a"), F.col("xb.s").alias("b"))
+    pairs = pairs.where(near("xa", "xb", num, den)).select(F.col("xa.s").alias("a"), F.col("xb.s").alias("b"))
     label_of = able.select("s", "label")
-    more = _links(pairs, texts, reads, shingle, num, den).join(label_of.withColumnsRenamed({"s": "src", "label": "u"}), "src").join(label_of.withColumnsRenamed({"s": "dst", "label": "v"}), "dst")
+    more = exact_links(pairs, texts, reads, shingle, num, den).join(label_of.withColumnsRenamed({"s": "src", "label": "u"}), "src").join(label_of.withColumnsRenamed({"s": "dst", "label": "v"}), "dst")
     last = connected_components(more.select(F.col("u").alias("src"), F.col("v").alias("dst")))
 
     label = able.select("s", "s2", "label").join(last, F.col("label") == F.col("node"), "left").select("s", "s2", F.coalesce("root", "label").alias("label"))
@@ -315,7 +319,12 @@ def keep_one(
 
     Rows without links stay, also where ids are null or repeated.
     """
-    rows = materialize(_labelled(docs, shingle, num, den, id_col, text_col).where("label is not null").select("id", "k", "label"))
+    return one_row_each(docs, _labelled(docs, shingle, num, den, id_col, text_col), id_col, text_col)
+
+
+def one_row_each(docs: DataFrame, labelled: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with one row of each label of ``labelled`` (id, k, label); rows without a label stay."""
+    rows = materialize(labelled.where("label is not null").select("id", "k", "label"))
     own = F.struct(F.col("id").isNull(), "id", "k")
     best = materialize(rows.groupBy("label").agg(F.min(own).alias("best")))
     rows = rows.join(best, "label").withColumn("stays", own.eqNullSafe(F.col("best")))
