@@ -61,10 +61,12 @@ def _splitters(urls: DataFrame, parts: int, seed: int) -> list[str]:
 
 
 def _deal_urls(cuts: list[str]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Puts a range's number behind the columns, which pass through as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            b["pid"] = [bisect_right(cuts, _place(*x)) for x in zip(b["key"], b["path"], b["page_id"])]
-            yield b
+            pid = [bisect_right(cuts, _place(*x)) for x in zip(*(b[c].to_pylist() for c in ("key", "path", "page_id")))]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pid, pa.int32())], [*b.schema.names, "pid"])
 
     return run
 
@@ -138,7 +140,7 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", id_col: str
     urls = pages.select(F.col(id_col).cast("long").alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     urls = urls.withColumn("key", host_key(F.col("host")))
     cuts = _splitters(urls, parts, seed)
-    urls = urls.mapInPandas(_deal_urls(cuts), "page_id long, host string, path string, key string, pid int")
+    urls = urls.mapInArrow(_deal_urls(cuts), "page_id long, host string, path string, key string, pid int")
     own = rules.select(F.coalesce("host", F.lit("")).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "action")
     own = own.withColumn("host", F.translate("host", UPPER, LOWER)).groupBy("host", "path").agg(F.max("action").alias("action"))
     own = own.withColumn("key", host_key(F.col("host")))

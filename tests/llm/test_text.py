@@ -450,3 +450,12 @@ def test_pipeline(spark, tmp_path):
     assert seen["decontaminate"] == seen["jaccard_join"] - {183} and 183 in seen["jaccard_join"]
     assert seen["mixing"] <= seen["decontaminate"]
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, sf).select("doc_id").collect()} == seen["mixing"]
+
+
+def test_url_filter_keeps_large_ids(spark):
+    big = 2**60
+    rows = [(big + 1, "http://a.com/en/x"), (None, "http://a.com/en/y"), (big + 3, "http://b.net/"), (-(2**63), None), (2**63 - 1, "http://c.org/" + "p" * 200_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    rules = spark.createDataFrame([("com", "/en/", "block"), ("org", "/ppp", "block")], "host string, path string, action string")
+    got = {(r["page_id"], r["verdict"]) for r in url_filter.judge(pages, rules).collect()}
+    assert got == {(big + 1, "block"), (None, "block"), (big + 3, "allow"), (-(2**63), "allow"), (2**63 - 1, "block")}
