@@ -32,7 +32,8 @@ anchors, 1,024 of one at most, reach the driver.
 
 Defined cases: a null text is empty; a text of fewer than LENGTH bytes loses nothing;
 overlapping occurrences in one text count; a row that repeats another's text is another
-occurrence, whatever its id; null ids are kept as they are; extra columns are dropped; an
+occurrence, whatever its id (rows of equal id and text are read once, and lose all their
+bytes if they have LENGTH); null ids are kept as they are; extra columns are dropped; an
 empty table gives no rows.
 """
 
@@ -46,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BYTE, index_ranges, materialize, mix64, pieces, string_buffer, text_of
+from .common import _BYTE, index_ranges, materialize, mix64, pieces, small, string_buffer, text_of
 
 LENGTH = 200
 GRAM = 64
@@ -501,6 +502,12 @@ def covered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", see
     texts = texts.select(
         "_id", F.xxhash64("_id", "text").alias("k1"), F.coalesce("_id", F.lit(-(2**63))).alias("k2"), "text"
     )
+    # rows of equal id and text: one of them stands for all, whose bytes all stand elsewhere too
+    every, keys = texts, ["k1", "k2"]
+    twins = small(texts.groupBy(*keys).count().where("count > 1").select(*keys, F.lit(True).alias("twin")))
+    if any_twins := not twins.isEmpty():
+        one = texts.join(twins, keys, "left_semi").groupBy(*keys).agg(F.first("_id").alias("_id"), F.first("text").alias("text"))
+        texts = texts.join(twins, keys, "left_anti").unionByName(one)
     cuts = _splitters(texts, parts * RANGES_PER_PARTITION, seed)
     dealt = texts.select("k1", "k2", "text").mapInArrow(_deal(cuts), DEAL)
     sieved = materialize(_in_ranges(dealt, parts, "kind", "lead", "gram").mapInArrow(_sieve, SIEVED))
@@ -531,7 +538,13 @@ def covered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", see
     for more in covers[1:]:
         found = found.unionByName(more)
     found = found.groupBy("k1", "k2").agg(F.collect_list(code).alias("covers"))
-    return texts.join(found, ["k1", "k2"], "left").select("_id", "k1", "k2", "text", "covers")
+    out = every.join(found, keys, "left")
+    if not any_twins:
+        return out.select("_id", "k1", "k2", "text", "covers")
+    size = F.octet_length("text")
+    whole = F.when(size >= LENGTH, F.array(size.cast("long")))
+    out = out.join(twins, keys, "left")
+    return out.select("_id", "k1", "k2", "text", F.when(F.col("twin"), whole).otherwise(F.col("covers")).alias("covers"))
 
 
 def digest(docs: DataFrame, **options) -> DataFrame:

@@ -238,6 +238,16 @@ def cut_long_by_brute_force(docs):
     return [(i, len(b), sum(c), s, hashlib.sha256(x).hexdigest()) for (i, _), b, c, s, x in zip(docs, data, covers, spans, left)]
 
 
+def test_suffix_dedup_reads_twins_once(spark, monkeypatch):
+    """Rows of equal id and text: results as of any copies, but one row's segments only."""
+    rng = random.Random(8)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(n))
+    text, short, part = prose(600), prose(8), prose(90)
+    docs = [(None, text)] * 500 + [(3, short)] * 20 + [(4, prose(50) + text[700:1200] + prose(50)), (5, part), (6, "x" + part), (None, None), (None, None)]
+    got = sorted(map(repr, map(tuple, suffix_dedup.digest(spark.createDataFrame(docs, TEXT).repartition(50)).collect())))
+    assert got == sorted(map(repr, cut_by_brute_force(docs)))
+
+
 def test_suffix_dedup_long_text(spark):
     letters = lambda seed, n: np.random.default_rng(seed).integers(97, 123, n, dtype=np.uint8).tobytes().decode()
     long, cut = letters(1, 17_200_000), 1 << 24
