@@ -108,6 +108,55 @@ def annotate(checked: DataFrame, watchlist: DataFrame, low: int = 70) -> DataFra
     return checked.join(seen, "q", "left").withColumn("low_confidence", (F.col("verdict") == "fuzzy") & (F.col("confidence_pct") < low))
 
 
+def report_lines(found: DataFrame, verbose: bool = False, low: int = 70) -> DataFrame:
+    """(section, ord, text): what a reader sees of annotated verdicts with the place (file, line, usages, places) of their match.
+
+    Sections follow each other by number: near names, unknown names, the summary, a hint where the whole is uncertain, and
+    known names if asked for. A section without names has no head.
+    """
+    repeat = F.when(F.col("reported").isNotNull(), F.format_string(" [reported %d times]", "reported")).otherwise("")
+    many = F.when(F.col("places") > 1, F.format_string(", defined in %d files", "places")).otherwise("")
+    use = F.when(F.col("usages") > 5, ", well established").when(F.col("usages") == 1, ", rarely used").otherwise("")
+    place = F.concat(F.col("category"), F.lit(", "), F.col("file"), F.lit(":"), F.col("line").cast("string"), many, use)
+    near = F.concat(F.lit("- "), F.col("q"), F.lit(" -> "), F.col("match"), F.lit("? ("), F.col("confidence_pct").cast("string"), F.lit("% sure; "), place, F.lit(")"), repeat)
+    star = F.when(F.col("established"), " *").otherwise("")
+    named = F.concat(F.lit("- "), F.col("match"), F.lit(" ("), place, F.lit(")"), star)
+    section = F.when(F.col("verdict") == "fuzzy", 0).when(F.col("verdict") == "unknown", 1).otherwise(4)
+    text = F.when(F.col("verdict") == "fuzzy", near).when(F.col("verdict") == "unknown", F.concat(F.lit("- "), F.col("q"), repeat)).otherwise(named)
+    rows = found.select(section.alias("section"), F.col("ord").cast("long").alias("ord"), text.alias("text"))
+    rows = rows if verbose else rows.where("section < 4")
+    title = F.when(F.col("section") == 0, "Possible typos").when(F.col("section") == 1, "Unknown names (new, renamed or made up)").otherwise("Known names")
+    heads = rows.groupBy("section").count().select("section", F.lit(-1).cast("long").alias("ord"), F.format_string("%s (%d)", title, "count").alias("text"))
+    whole = summary(found)
+    sure = F.col("overall_confidence_pct")
+    line = F.when((F.col("fuzzy") == 0) & (F.col("unknown") == 0), F.format_string("All %d names are in the registry (%d%% sure)", "known", sure)).otherwise(
+        F.format_string("%d known, %d near, %d unknown; %d%% sure overall", "known", "fuzzy", "unknown", sure)
+    )
+    last = whole.select(F.explode(F.array(F.struct(F.lit(2).alias("section"), line.alias("text")), F.struct(F.lit(3).alias("section"), F.when(sure < low, "Much is uncertain: refresh the registry.").alias("text")))).alias("x"))
+    last = last.select("x.section", F.lit(0).cast("long").alias("ord"), "x.text").where("text is not null")
+    return rows.unionByName(heads).unionByName(last)
+
+
+def report_json(found: DataFrame, notes: list[str] = []) -> DataFrame:
+    """One row with the whole report as JSON: confidence, notes, and the names by verdict in the order they were asked."""
+
+    def names(verdict: str, *fields: tuple[str, Column]) -> Column:
+        own = F.when(F.col("verdict") == verdict, F.struct(F.col("ord"), *[c.alias(n) for n, c in fields]))
+        rows = F.array_sort(F.collect_list(own))  # by the order, which comes first
+        return F.transform(rows, lambda x: F.struct(*[x[n].alias(n) for n, _ in fields])).alias(verdict)
+
+    col = F.col
+    place = [("category", col("category")), ("file", col("file")), ("line", col("line"))]
+    row = found.agg(
+        F.coalesce(F.floor(F.avg("confidence_pct") + 0.5), F.lit(0)).alias("overall_confidence_pct"),
+        names("known", ("name", col("match")), *place, ("established", col("established"))),
+        names("fuzzy", ("queried", col("q")), ("suggestion", col("match")), ("confidence_pct", col("confidence_pct")), *place),
+        names("unknown", ("name", col("q"))),
+    )
+    kept = F.array(*map(F.lit, notes)).cast("array<string>").alias("notes")
+    return row.select(F.to_json(F.struct("overall_confidence_pct", kept, "known", "fuzzy", F.transform("unknown", lambda x: x["name"]).alias("unknown"))).alias("report"))
+
+
 def events(checked: DataFrame, ts: str, session: int) -> DataFrame:
     """Events to append for names that weren't known."""
     return checked.where("verdict <> 'known'").select(

@@ -35,7 +35,11 @@ def locations(files: DataFrame, limit: int = MAX_LOCATIONS) -> DataFrame:
 
 def entries(defs: DataFrame) -> DataFrame:
     """(category, name, file, line, pass, usages, namespace, files) of each name: all but its other places."""
-    rows = per_file(defs).groupBy("category", "name").agg(
+    return _entries(per_file(defs))
+
+
+def _entries(files: DataFrame) -> DataFrame:
+    rows = files.groupBy("category", "name").agg(
         F.sum("usages").alias("usages"), F.count("*").alias("files"), F.min(F.struct("file", "first.line", "first.pass")).alias("f")
     )
     return rows.select("category", "name", "f.file", "f.line", "f.pass", "usages", T.namespace(F.col("f.file")).alias("namespace"), "files")
@@ -43,8 +47,13 @@ def entries(defs: DataFrame) -> DataFrame:
 
 def registry(defs: DataFrame, limit: int = MAX_LOCATIONS) -> DataFrame:
     """Entries with their locations, which only names in several files have."""
-    several = locations(per_file(defs), limit).groupBy("category", "name").agg(F.sort_array(F.collect_list(F.struct("file", "line"))).alias("all"))
-    out = entries(defs).join(several, ["category", "name"])
+    return of_contributions(per_file(defs), limit)
+
+
+def of_contributions(files: DataFrame, limit: int = MAX_LOCATIONS) -> DataFrame:
+    """The registry from its rows per (category, name, file)."""
+    several = locations(files, limit).groupBy("category", "name").agg(F.sort_array(F.collect_list(F.struct("file", "line"))).alias("all"))
+    out = _entries(files).join(several, ["category", "name"])
     return out.withColumn("locations", F.when(F.col("files") > 1, F.col("all"))).drop("all", "files")
 
 

@@ -15,7 +15,7 @@ from symbolith.operators.extract import definitions, language
 
 # Directories that are never scanned, and those that are skipped unless included.
 ALWAYS_SKIP = (
-    "node_modules", ".git", ".wisdom", ".claude", "dist", "build", "coverage", ".next", "__pycache__", ".tox", ".venv", "venv", "vendor", "target", ".cache", ".turbo",
+    "node_modules", ".git", "dist", "build", "coverage", ".next", "__pycache__", ".tox", ".venv", "venv", "vendor", "target", ".cache", ".turbo",
 )
 DEFAULT_SKIP = (".github", "archive", "backups", "backup", "logs", "tmp", "uploads", "media", "data", "content", "public", "static", "assets")
 MAX_SIZE, MAX_HTML_SIZE = 500 * 1024, 5 * 1024 * 1024
@@ -116,6 +116,14 @@ def incremental(files: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFram
     return files.join(good.select(*on), on, "left_anti"), good.join(files.select(*on), on, "left_semi")
 
 
+def compare(listing: DataFrame, cache: DataFrame) -> DataFrame:
+    """(path, change) of files added, modified (also: cached by another version) or deleted since the cache was made."""
+    good = cache.select("path", F.struct("size", "mtime").alias("a"), ((F.col("version") == CACHE_VERSION) & F.col("symbols").isNotNull()).alias("good"))
+    rows = listing.select("path", F.struct("size", "mtime").alias("b")).join(good, "path", "full")
+    kind = F.when(F.col("b").isNull(), "deleted").when(F.col("a").isNull(), "added").when(~F.col("good") | (F.col("a") != F.col("b")), "modified")
+    return rows.select("path", kind.alias("change")).where("change is not null")
+
+
 def rescan(files: DataFrame, cache: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     """(definitions, new cache), parsing only what changed."""
     if cache is None:
