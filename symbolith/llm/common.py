@@ -6,14 +6,17 @@ reliable ``checkpoint()`` into the shared folder of ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+Kernel = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
 #: Java regex of a word: a run of bytes that are not ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -129,6 +132,31 @@ def pieces(offsets: np.ndarray, limit: int = PIECE_BYTES) -> Iterator[tuple[int,
         start = end
 
 
+#: Arrays of so many bytes are mapped by themselves, so that what is freed goes back to the system at once.
+MAPPED_BYTES = 1 << 20
+
+
+def lean(kernel: Kernel) -> Kernel:
+    """``kernel``, in a worker that keeps no memory that its task has freed.
+
+    Workers stay for later tasks and stages; the C library would hold the most that they ever used, beside the
+    executor's heap. Where the library isn't glibc, the kernel runs as it is.
+    """
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        libc = ctypes.CDLL(None)
+        if hasattr(libc, "mallopt"):
+            libc.mallopt(-3, MAPPED_BYTES)  # M_MMAP_THRESHOLD
+        try:
+            yield from kernel(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if hasattr(libc, "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return task
+
+
 def index_ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """All indices of the ranges, one after another."""
     return np.arange(int(lengths.sum())) + np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)

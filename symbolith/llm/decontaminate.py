@@ -40,7 +40,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _MARK, index_ranges, materialize, mix64, pieces, string_buffer, text_of, word_hashes, word_spans
+from .common import _MARK, index_ranges, lean, materialize, mix64, pieces, string_buffer, text_of, word_hashes, word_spans
 
 THRESHOLD = 0.5  # share of an item's own BM25 score
 QUESTION, ANSWER = 0.6, 0.6  # shares of trigrams and of words
@@ -344,5 +344,5 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text",
     at, out = docs.columns.index(text_col), docs
     for k, shared in enumerate(_shards(items, threshold)):
         # between shards, so that a task holds one index
-        out = (materialize(out) if k else out).mapInArrow(_stay(shared, at), docs.schema)
+        out = (materialize(out) if k else out).mapInArrow(lean(_stay(shared, at)), docs.schema)
     return out

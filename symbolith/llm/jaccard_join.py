@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import (
-    connected_components, materialize, mix64, one_of_each, pieces, row_key, shingle_hashes, small, string_buffer, text_of, without, word_hashes, word_spans,
+    connected_components, lean, materialize, mix64, one_of_each, pieces, row_key, shingle_hashes, small, string_buffer, text_of, without, word_hashes, word_spans,
 )
 
 PARITY = 8  # longs of a parity map
@@ -109,7 +109,7 @@ def _sketch(texts: DataFrame, size: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([level.tobytes()])], ["slice", "counts"])
 
     kind = "slice int, counts binary"
-    parts = texts.select("text").coalesce(tasks).mapInArrow(count, kind).repartitionById(SLICES, "slice").mapInArrow(add, kind).collect()
+    parts = texts.select("text").coalesce(tasks).mapInArrow(lean(count), kind).repartitionById(SLICES, "slice").mapInArrow(add, kind).collect()
     out = np.zeros((SLICES, (1 << bits) // SLICES), np.uint8)
     for k, data in parts:
         out[k] = np.frombuffer(data, np.uint8)
@@ -245,7 +245,7 @@ def _labelled(docs: DataFrame, shingle: int, num: int, den: int, id_col: str, te
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")).select("id", row_key("id", "text").alias("k"), "text")
     shared = spark.sparkContext.broadcast(_sketch(texts, shingle))
-    base = materialize(texts.mapInArrow(_describe(shared, shingle, num, den), DESCRIBED))
+    base = materialize(texts.mapInArrow(lean(_describe(shared, shingle, num, den)), DESCRIBED))
 
     same = [F.first(c).alias(c) for c in ("n", "g", "central", *PARITIES)]
     classes = base.where("n > 0").groupBy("s", "s2").agg(F.min("id").alias("id"), F.min("k").alias("k"), F.count("*").alias("copies"), *same)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, string_buffer
+from .common import lean, pieces, string_buffer
 from .sampling import balance, fold, labelled_sample
 
 WIDTH, STRIDE, DIM, FILTERS = 12, 4, 8, 24
@@ -185,4 +185,4 @@ def keep(documents: DataFrame, model: dict, threshold: float = KEEP_AT, text_col
             if got:
                 yield b.filter(pa.array(np.concatenate(got) >= threshold))
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(lean(run), documents.schema)
