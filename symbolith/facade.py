@@ -28,11 +28,12 @@ class Engine:
     TOOLS = ("reindex", "refresh", "check", "references", "condense", "overview", "skeleton", "event_report", "clear_events", "notes", "watchlist",
              "autofix", "agent_notes", "prompt", "condensing_report", "reset_condensing", "check_report", "watch", "watch_health")
 
-    def __init__(self, spark: SparkSession, home: str, as_of: str, disabled: Iterable[str] = ()):
+    def __init__(self, spark: SparkSession, home: str, as_of: str, disabled: Iterable[str] = (), nested: bool = True, parsers: tuple[str, ...] = ()):
         unknown = set(disabled) - set(self.TOOLS)
         if unknown:
             raise ValueError(f"no such tools: {sorted(unknown)}")
         self.spark, self.home, self.as_of, self.disabled = spark, home.rstrip("/"), as_of, frozenset(disabled)
+        self.extraction = {"nested": nested, "parsers": parsers}
         self._watchers: dict[str, W.Watcher] = {}
 
     def call(self, tool: str, *args, **options):
@@ -105,7 +106,7 @@ class Engine:
             parsed = changes.where("change <> 'deleted'").count()
         else:
             scanned = materialize(scanned)
-            defs = materialize(extract.definitions(scanned))
+            defs = materialize(extract.definitions(scanned, **self.extraction))
             tables.write(delta.with_bucket(S.cache_of(scanned, defs), delta.BUCKETS, "path"), self._path("cache"), "bucket")
             delta.build(defs, self.home)
             self._by_file(scanned, None)
@@ -123,7 +124,7 @@ class Engine:
         now = scanned.join(changes.where("change <> 'deleted'").select("path"), "path", "left_semi")
         span = now.agg(F.min("mtime"), F.max("mtime")).first()  # from the listing alone: with it, other files aren't opened
         now = materialize(now.where(F.col("mtime").between(*map(F.lit, span))) if span[0] else now)
-        defs = materialize(extract.definitions(now))
+        defs = materialize(extract.definitions(now, **self.extraction))
         files = changes.select(F.col("path").alias("file"))
         old = cache.join(changes.select("path"), "path", "left_semi").select("path", F.explode("symbols").alias("s"))
         old = materialize(old.select("s.category", "s.name", F.col("path").alias("file"), "s.line", "s.pass"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # White space that trimming removes.
-SPACE = r"[\s\x{00A0}\x{FEFF}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{1680}]"
+SPACE = "\t\n\x0b\f\r \u00a0\ufeff\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\u1680"
 
 # Roots under which a namespace has two path segments.
 TWO_LEVEL_ROOTS = ("apps", "packages", "services")
@@ -20,7 +20,7 @@ ANSI = r"\x1B(?:[@-Z\\-_]|\[[0-?]*[ -/]*[@-~])"
 
 
 def trim(x: Column) -> Column:
-    return F.regexp_replace(x, f"^{SPACE}++|(?<!{SPACE}){SPACE}++\\z", "")
+    return F.btrim(x, F.lit(SPACE))
 
 
 def half_up(x: Column) -> Column:
@@ -96,7 +96,7 @@ def normalize_whitespace(x: Column) -> Column:
     """LF line ends, at most one blank line, no white space at line ends or around the text."""
     x = F.regexp_replace(x, "\r\n", "\n")
     x = F.regexp_replace(x, "\n{3,}", "\n\n")
-    return trim(F.regexp_replace(x, r"(?<![ \t])[ \t]++(?=\n|\z)", ""))
+    return trim(F.array_join(F.transform(lines(x), lambda r: F.rtrim(r, F.lit(" \t"))), "\n"))
 
 
 def token_estimate(x: Column) -> Column:
@@ -124,19 +124,32 @@ def escape_regex(x: Column) -> Column:
     return F.regexp_replace(x, r"([.*+?^${}()|\[\]\\])", r"\\$1")
 
 
+# Times that a log line begins with, and what stands for ids and addresses in it.
+LOG_TIMES = (
+    r"^\[?[0-9]{4}[-/][0-9]{2}[-/][0-9]{2}[T ][0-9]{2}:[0-9]{2}:[0-9]{2}[0-9.Z:+-]*\]?\s*",
+    r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}",
+    r"^[0-9]{10,13}\s+",
+)
+LOG_MASKS = (
+    (r"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", "<UUID>"),
+    (r"(?<![A-Za-z0-9_])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?![A-Za-z0-9_])", "<IP>"),
+    (r"(?i)(?<![A-Za-z0-9_])[0-9a-f]{24,}(?![A-Za-z0-9_])", "<ID>"),
+)
+
+
 def log_key(line: Column) -> Column:
-    """A log line without leading times, with ids and addresses masked."""
-    x = trim(line)
-    for p in (
-        r"^\[?[0-9]{4}[-/][0-9]{2}[-/][0-9]{2}[T ][0-9]{2}:[0-9]{2}:[0-9]{2}[0-9.Z:+-]*\]?\s*",
-        r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}",
-        r"^[0-9]{10,13}\s+",
-    ):
+    """A log line without leading times, with ids and addresses masked.
+
+    Lines that can't have a time, or a mark of seven characters or more, aren't searched for one.
+    """
+    x = bare = trim(line)
+    for p in LOG_TIMES:
         x = F.regexp_replace(x, p, "")
-    x = trim(x)
-    x = F.regexp_replace(x, r"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", "<UUID>")
-    x = F.regexp_replace(x, r"(?<![A-Za-z0-9_])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?![A-Za-z0-9_])", "<IP>")
-    return F.regexp_replace(x, r"(?i)(?<![A-Za-z0-9_])[0-9a-f]{24,}(?![A-Za-z0-9_])", "<ID>")
+    x = F.when(bare.rlike(r"^[0-9\[]"), trim(x)).otherwise(bare)
+    masked = x
+    for p, name in LOG_MASKS:
+        masked = F.regexp_replace(masked, p, name)
+    return F.when(x.rlike(r"[0-9]\.[0-9]|[0-9A-Fa-f]{8}"), masked).otherwise(x)
 
 
 def staleness_note(scanned: Column, as_of: Column, days: int = 7) -> Column:

@@ -1,9 +1,10 @@
 """Verdicts for queried names: known, fuzzy or unknown, with confidence.
 
-Exact hits are one hash join. Only the rest is matched fuzzily, by a lossless block join
-instead of comparing every pair: a name within ``k`` edits of a query contains at least one of
-the query's ``k + 1`` segments unchanged, shifted by at most ``k``. Segments and substrings
-meet by an equi-join; the edit distance verifies.
+Exact hits are one hash join. Only the rest is matched fuzzily, losslessly and without comparing every pair; the edit
+distance verifies what meets by an equi-join. A name within ``k`` edits of a query contains at least one of the query's
+``k + 1`` segments unchanged, shifted by at most ``k``. Where these segments would have fewer than SEGMENT letters, nearly all names
+share one: such short queries (k <= 2) meet names by a deletion neighbourhood. Of two words within k edits, what is left
+after at most k deletions from either is equal for some choice, and a short word has some fifty such rests at most.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from symbolith.functions import text as T
-from symbolith.session import materialize
+from symbolith.session import materialize, small
 
 from .registry import ESTABLISHED
 
@@ -38,16 +39,42 @@ def block_candidates(queries: DataFrame, names: DataFrame) -> DataFrame:
     return pairs.select("q", "qkey", "k", "name", "nkey").distinct()
 
 
-def short_queries(queries: DataFrame, names: DataFrame) -> DataFrame:
-    """Pairs for queries with fewer characters than segments, by length only."""
-    q = queries.where("k > 0 and char_length(qkey) <= k").withColumn("nlen", F.explode(F.expr("sequence(greatest(char_length(qkey) - k, 0), char_length(qkey) + k)")))
-    return q.join(names.withColumn("nlen", F.char_length("nkey")), "nlen").select("q", "qkey", "k", "name", "nkey")
+#: Edits of a short query at most, and letters of a segment from which segments tell names apart.
+SHORT, SEGMENT = 2, 3
+
+
+def is_short() -> Column:
+    return (F.col("k") <= SHORT) & (F.char_length("qkey") < SEGMENT * (F.col("k") + 1))
+
+
+def deletions(rows: DataFrame, key: str, most: Column) -> DataFrame:
+    """``rows`` with ``rest``, the hash of what is left of ``key`` after up to ``most`` deletions, SHORT at most; once for each rest."""
+    n, text = F.char_length(key), F.col(key)
+    cut = lambda x, at: F.concat(F.left(x, at - 1), F.substring(x, at + 1, F.char_length(x)))
+    none = rows.withColumn("_left", text)
+    one = rows.where((most >= 1) & (n >= 1)).withColumn("_at", F.explode(F.sequence(F.lit(1), n))).withColumn("_left", cut(text, F.col("_at")))
+    # the second deletion stands at or behind the first
+    two = one.where((most >= 2) & (n >= 2) & (F.col("_at") < n)).withColumn("_next", F.explode(F.sequence(F.col("_at"), n - 1)))
+    two = two.withColumn("_left", cut(F.col("_left"), F.col("_next"))).drop("_next")
+    all_ = none.unionByName(one.drop("_at")).unionByName(two.drop("_at"))
+    return all_.withColumn("rest", F.xxhash64("_left")).drop("_left")
+
+
+def deletion_candidates(queries: DataFrame, names: DataFrame) -> DataFrame:
+    """Pairs (q, name) that may lie within k edits, for k <= SHORT."""
+    q = materialize(queries.where(F.col("k").between(1, SHORT)))
+    # names whose length no query allows aren't looked at: there are few lengths
+    lengths = q.select(F.explode(F.sequence(F.char_length("qkey") - F.col("k"), F.char_length("qkey") + F.col("k"))).alias("nlen")).distinct()
+    n = names.join(F.broadcast(lengths), F.char_length("nkey") == F.col("nlen"), "left_semi")  # at most one row a length
+    asked = small(deletions(q.select("q", "qkey", "k"), "qkey", F.col("k")).distinct())
+    pairs = deletions(n.select("name", "nkey"), "nkey", F.lit(SHORT)).join(asked, "rest")
+    return pairs.where(F.abs(F.char_length("qkey") - F.char_length("nkey")) <= F.col("k")).select("q", "qkey", "k", "name", "nkey").distinct()
 
 
 def within_distance(queries: DataFrame, names: DataFrame, blocked: bool = True) -> DataFrame:
     """(q, k, name, distance) of all pairs within k edits."""
     if blocked:
-        pairs = block_candidates(queries.where("char_length(qkey) > k"), names).unionByName(short_queries(queries, names))
+        pairs = deletion_candidates(queries.where(is_short()), names).unionByName(block_candidates(queries.where(~is_short()), names))
     else:
         near = F.abs(F.char_length("qkey") - F.char_length("nkey")) <= F.col("k")
         pairs = queries.where("k > 0").join(names, near)

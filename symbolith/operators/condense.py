@@ -1,13 +1,12 @@
 """Condensing captured outputs: line operators as relations, and the whole chain per output.
 
 Relations of lines carry (doc, line_no, text): order is explicit, and a document's lines are the
-only rows that a window gathers. The chain of :func:`condense` works on one output at a time,
-so it is an Arrow-batched UDF over outputs, in parallel over rows.
+only rows that a window gathers. Reports of tests, diagnostics, logs and builds are such
+relations (``reports``). The rest of the chain of :func:`condense` works on one output at a time, an Arrow-batched UDF over outputs.
 """
 
 from __future__ import annotations
 
-import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -16,6 +15,9 @@ from pyspark.sql import types as Y
 
 from symbolith.functions import documents as D
 from symbolith.functions import text as T
+from symbolith.session import materialize
+
+from . import reports as R
 
 # Markers of redacted secrets and what they stand for, in order.
 SECRETS = (
@@ -130,67 +132,6 @@ def adjacent_runs(lines: DataFrame, least: int = 3) -> DataFrame:
     return runs.where(F.col("n") >= least).select("doc", "line_no", "text", "n", label.alias("condensed"))
 
 
-def log_groups(lines: DataFrame) -> DataFrame:
-    """Lines grouped by what is left without times, ids and addresses, over all of a document."""
-    rows = lines.where(F.col("text").rlike(r"\S")).withColumns({"key": T.log_key(F.col("text")), "text": T.trim(F.col("text"))})
-    return rows.groupBy("doc", "key").agg(F.count("*").alias("n"), F.min_by("text", "line_no").alias("first_line"), F.min("line_no").alias("line_no"))
-
-
-def build_lines(lines: DataFrame) -> DataFrame:
-    """Distinct error and warning lines in the order of their first occurrence."""
-    bare = T.trim(F.col("text"))
-    any_of = lambda ps: F.greatest(*[bare.rlike(p) for p in ps])
-    kind = F.when(any_of(D.BUILD_ERROR), "error").when(any_of(D.BUILD_WARNING), "warning")
-    rows = lines.withColumns({"kind": kind, "text": bare}).where("kind is not null and text <> ''")
-    return rows.groupBy("doc", "kind", "text").agg(F.count("*").alias("n"), F.min("line_no").alias("line_no"))
-
-
-def lint_rules(lines: DataFrame) -> DataFrame:
-    """Diagnostics by rule: number, files and first line; a stylish row belongs to the path above it."""
-    bare = T.trim(F.col("text"))
-    java = {k: p.replace("(?P<l>", "(?:").replace("(?P<", "(?<") for k, p in D.LINT}
-    header = bare.rlike(r"^[^ ]*[\\/][^ ]*\.\w+\z")
-    part = {}
-    kind = F.lit(None).cast("string")
-    for name in reversed([k for k, _ in D.LINT]):
-        kind = F.when(bare.rlike("^" + java[name]), name).otherwise(kind)
-        if name == "tsc":
-            kind = F.when(header, "path").otherwise(kind)
-    rows = lines.where(F.col("text").rlike(r"\S")).withColumns({"kind": kind, "bare": bare})
-    w = Window.partitionBy("doc").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("path", F.last(F.when(F.col("kind") == "path", F.col("bare")), ignorenulls=True).over(w))
-    rows = rows.where("kind is not null and kind <> 'path'")
-
-    for field in ("file", "sev", "code", "msg"):
-        value = F.lit(None).cast("string")
-        for name, p in java.items():
-            groups = [g for g in _groups(p) if g]
-            if field in groups:
-                got = F.nullif(F.regexp_extract("bare", "^" + p, groups.index(field) + 1), F.lit(""))
-                value = F.when(F.col("kind") == name, got).otherwise(value)
-        part[field] = value
-    rows = rows.withColumns(part)
-    rows = rows.withColumns(
-        {
-            "rule": F.concat_ws(": ", "code", "msg"),
-            "sev": F.lower(F.coalesce("sev", F.lit("error"))),
-            "file": F.when(F.col("kind") == "stylish", F.col("path")).otherwise(F.col("file")),
-        }
-    )
-    return rows.groupBy("doc", "rule").agg(
-        F.count("*").alias("n"),
-        F.count_distinct("file").alias("files"),
-        F.count(F.when(F.col("sev") == "error", 1)).alias("errors"),
-        F.count(F.when(F.col("sev") == "warning", 1)).alias("warnings"),
-        F.min("line_no").alias("line_no"),
-    )
-
-
-def _groups(pattern: str) -> list[str]:
-    """Names of the capturing groups of a pattern, in order; '' for unnamed ones."""
-    return [m[1] or "" for m in re.finditer(r"(?<!\\)\((?:\?<([a-z]+)>|(?!\?))", pattern)]
-
-
 def status_entries(lines: DataFrame) -> DataFrame:
     """Files of a status report with the section that they stand in."""
     bare = T.trim(F.col("text"))
@@ -234,18 +175,19 @@ CONDENSED = Y.StructType(
 LEAST_TOKENS, LEAST_SAVING = 50, 10
 
 
-def condense_one(category: str, args: list[str], base: str, clean: str, raw_chars: int, max_tokens: int) -> tuple:
-    """The chain for one output that is free of escapes and secrets already."""
+def condense_one(category: str, args: list[str], base: str, clean: str, raw_chars: int, max_tokens: int, report: str | None = None) -> tuple:
+    """The chain for one output that is free of escapes and secrets already; ``report``: of its lines, if its category has one."""
     tokens = -(-len(clean) // 4)
     if tokens < LEAST_TOKENS and category != "git":
         out, pct = D.generic(clean, max_tokens)
     else:
-        by = {"test": D.test_report, "lint": D.lint_report, "log": D.log_report, "json": D.json_report, "build": D.build_report}
         files = {"tree": D.tree_listing, "cat": D.file_content, "type": D.file_content}
         try:
-            got = D.git(clean, args) if category == "git" else files.get(base, D.dir_listing)(clean) if category == "file" else by[category](clean) if category in by else None
+            got = D.git(clean, args) if category == "git" else files.get(base, D.dir_listing)(clean) if category == "file" else D.json_report(clean) if category == "json" else None
         except Exception:  # a parser that gives up leaves the text to the generic one
             got = None
+        if report is not None:
+            got = report, D.saved(report, clean) if clean.strip() else 100
         out, pct = got or D.generic(clean, max_tokens)
         if category != "git":
             for step in (D.collapse_runs, D.group_similar):
@@ -261,18 +203,26 @@ def condense_one(category: str, args: list[str], base: str, clean: str, raw_char
 def condense(df: DataFrame, command: str = "command", raw: str = "raw", max_tokens: int = 500, redacted: bool = True) -> DataFrame:
     """``df`` with category, redacted_count and the condensed output as a struct.
 
-    A NULL output counts as empty. Escapes and secrets go natively first, so no UDF sees them.
+    A NULL output counts as empty. Escapes and secrets go natively first, so no UDF sees them. Reports of tests, diagnostics,
+    logs and builds are relations of lines (``reports``), made once for equal outputs, which a hash of 128 bits tells apart.
     """
 
-    def run(category: pd.Series, words: pd.Series, clean: pd.Series, chars: pd.Series) -> pd.DataFrame:
-        rows = [condense_one(c, list(w)[1:], w[0].lower() if len(w) else "", x, n, max_tokens) for c, w, x, n in zip(category, words, clean, chars)]
+    def run(category: pd.Series, words: pd.Series, clean: pd.Series, chars: pd.Series, report: pd.Series) -> pd.DataFrame:
+        rows = [condense_one(c, list(w)[1:], w[0].lower() if len(w) else "", x, n, max_tokens, r) for c, w, x, n, r in zip(category, words, clean, chars, report)]
         return pd.DataFrame(rows, columns=[f.name for f in CONDENSED])
 
-    run.__annotations__ = {"category": pd.Series, "words": pd.Series, "clean": pd.Series, "chars": pd.Series, "return": pd.DataFrame}
+    run.__annotations__ = {"category": pd.Series, "words": pd.Series, "clean": pd.Series, "chars": pd.Series, "report": pd.Series, "return": pd.DataFrame}
     text = F.coalesce(F.col(raw), F.lit(""))
     bare = T.strip_ansi(text)
     rows = df.withColumns({"category": command_category(F.col(command)), "_w": words_of(F.col(command)), "_bare": bare, "_n": F.char_length(text)})
     rows = rows.withColumns({"_clean": redact(F.col("_bare")) if redacted else F.col("_bare")})
     rows = rows.withColumn("redacted_count", (redactions(F.col("_clean")) - redactions(F.col("_bare"))).cast("long"))
-    rows = rows.withColumn("condensed", F.pandas_udf(run, CONDENSED)("category", "_w", "_clean", "_n"))
-    return rows.drop("_w", "_bare", "_clean", "_n")
+    rows = rows.withColumn("_key", F.when(F.col("category").isin(*R.REPORTS), F.md5("_clean")))
+    lines = explode_lines(rows.where("_key is not null").groupBy("category", "_key").agg(F.first("_clean").alias("_clean")).withColumn("_doc", F.struct("category", "_key")), "_doc", "_clean")
+    made = None
+    for name, report in R.REPORTS.items():
+        own = report(lines.where(F.col("doc.category") == name)).select(F.lit(name).alias("_category"), F.col("doc._key").alias("_made_of"), F.col("out").alias("_report"))
+        made = own if made is None else made.unionByName(own)
+    rows = rows.join(materialize(made), (F.col("category") == F.col("_category")) & (F.col("_key") == F.col("_made_of")), "left")
+    rows = rows.withColumn("condensed", F.pandas_udf(run, CONDENSED)("category", "_w", "_clean", "_n", "_report"))
+    return rows.drop("_w", "_bare", "_clean", "_n", "_key", "_category", "_made_of", "_report")

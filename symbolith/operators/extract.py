@@ -12,7 +12,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from symbolith.functions import text as T
@@ -36,13 +36,38 @@ def source_lines(files: DataFrame) -> DataFrame:
     )
 
 
+#: What holds braces that open nothing: strings, characters and the rest of a line behind a comment.
+QUOTED = r'"(?:[^"\\]|\\.)*+"|`[^`]*+`|' + r"'(?:[^'\\]|\\[^']++)'|//.*+"
+
+
+def depths(lines: DataFrame) -> DataFrame:
+    """``lines`` with ``depth``, the braces of their file that are open where a line begins, never below 0.
+
+    A running sum over a file's lines. Its least value so far says how many braces were closed that nothing had opened:
+    these don't make what follows outer. A string or comment that goes on to the next line is taken as code there.
+    """
+    code = F.regexp_replace("text", QUOTED, "")
+    count = lambda c: F.char_length(code) - F.char_length(F.replace(code, F.lit(c), F.lit("")))
+    own = Window.partitionBy("file").orderBy("line")
+    above = own.rowsBetween(Window.unboundedPreceding, -1)
+    rows = lines.withColumn("_sum", F.sum(count("{") - count("}")).over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumns({"_open": F.coalesce(F.last("_sum").over(above), F.lit(0)), "_low": F.least(F.coalesce(F.min("_sum").over(above), F.lit(0)), F.lit(0))})
+    return rows.withColumn("depth", (F.col("_open") - F.col("_low")).cast("int")).drop("_sum", "_open", "_low")
+
+
+def top_level(lines: DataFrame, langs: tuple[str, ...] = tuple(NESTED)) -> DataFrame:
+    """Lines of ``langs`` outside all braces, and all lines of other languages."""
+    outer = depths(lines.where(F.col("lang").isin(*langs))).where("depth = 0").drop("depth")
+    return outer.unionByName(lines.where(~F.col("lang").isin(*langs)))
+
+
 def by_rules(lines: DataFrame, nested: bool = True, fallback: bool = False) -> DataFrame:
-    """Definitions by line rules; ``nested`` also sees inner ones of Go and Rust.
+    """Definitions by line rules; without ``nested`` only those of Go and Rust that stand outside all braces.
 
     The first rule that matches a line gives its symbol. The cascade is long, so it runs inside a
     higher-order function, which Spark evaluates without generating code for every branch.
     """
-    rules = RULES | (NESTED if nested else {}) | ({"javascript": JS_FALLBACK, "typescript": JS_FALLBACK} if fallback else {})
+    rules = RULES | NESTED | ({"javascript": JS_FALLBACK, "typescript": JS_FALLBACK} if fallback else {})
 
     def cascade(x: Column) -> Column:
         lang, text, out = x["lang"], x["text"], None
@@ -55,6 +80,7 @@ def by_rules(lines: DataFrame, nested: bool = True, fallback: bool = False) -> D
                 out = F.when(hit, value) if out is None else out.when(hit, value)
         return out
 
+    lines = lines if nested else top_level(lines)
     comment = (F.col("lang") == "bash") & F.col("text").rlike(r"^\s*#")
     found = F.transform(F.array(F.struct("lang", "text")), cascade)
     rows = lines.where(F.col("lang").isin(*rules) & ~comment).select("file", "line", F.inline(F.filter(found, lambda f: f.isNotNull())))
@@ -112,9 +138,22 @@ def python_parsed(files: DataFrame) -> DataFrame:
     return files.where("lang = 'python'").select("path", "content").mapInPandas(run, DEFS)
 
 
-def definitions(files: DataFrame) -> DataFrame:
-    """All definitions of files (path, lang, content). JSON and Markdown give none."""
-    return by_rules(source_lines(files)).unionByName(javascript(files)).unionByName(page_scripts(files.where("lang = 'html'")))
+def definitions(files: DataFrame, nested: bool = True, parsers: tuple[str, ...] = ()) -> DataFrame:
+    """All definitions of files (path, lang, content). JSON and Markdown give none.
+
+    ``parsers`` names languages that are parsed where the task has a parser for them: ``python``. Texts that it
+    refuses, and constants, go by line rules.
+    """
+    lines = source_lines(files)
+    if "python" in parsers:
+        parsed = python_parsed(files)
+        refused = files.where("lang = 'python'").select(F.col("path").alias("file")).join(parsed.select("file").distinct(), "file", "left_anti")
+        own = by_rules(lines.where("lang = 'python'"))
+        own = own.where("category = 'variables'").unionByName(own.where("category <> 'variables'").join(refused, "file", "left_semi"))
+        ruled = by_rules(lines.where("lang <> 'python'"), nested).unionByName(own).unionByName(parsed)
+    else:
+        ruled = by_rules(lines, nested)
+    return ruled.unionByName(javascript(files)).unionByName(page_scripts(files.where("lang = 'html'")))
 
 
 def routes(lines: DataFrame) -> DataFrame:

@@ -12,6 +12,8 @@ import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
+from .rules import MEMBER_EXPORT
+
 _TOKEN = re.compile(
     r"""(?P<space>\s+|//[^\n]*|/\*.*?\*/)|(?P<str>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`)|(?P<id>[A-Za-z_$][\w$]*|\#[A-Za-z_$][\w$]*)"""
     r"""|(?P<num>\d[\w.]*)|(?P<op>=>|===?|!==?|<=|>=|\.\.\.|\?\.|&&|\|\||\?\?|[{}()\[\];,.:?=<>+\-*/%!&|^~@])""",
@@ -76,6 +78,7 @@ class Found(NamedTuple):
     at: int = 0
     end: int = 0
     owner: str = ""
+    signature: str = ""  # if it isn't what stands from ``at`` to ``end``
 
 
 def _pattern_names(ts: list[Token], a: int, z: int) -> Iterator[Token]:
@@ -88,8 +91,8 @@ def _pattern_names(ts: list[Token], a: int, z: int) -> Iterator[Token]:
             yield t
 
 
-def _declarators(ts: list[Token], pair: dict[int, int], i: int) -> Iterator[tuple[list[Token], bool, int]]:
-    """Names, whether a function is assigned, and the end of each declarator from ``i`` on."""
+def _declarators(ts: list[Token], pair: dict[int, int], i: int) -> Iterator[tuple[list[Token], bool, tuple[int, int] | None]]:
+    """Names, whether a function is assigned, and the tokens of its parameters, for each declarator from ``i`` on."""
     while i < len(ts):
         if ts[i].text in ("{", "["):
             names, i = list(_pattern_names(ts, i, pair[i])), pair[i] + 1
@@ -100,12 +103,15 @@ def _declarators(ts: list[Token], pair: dict[int, int], i: int) -> Iterator[tupl
         if i < len(ts) and ts[i].text == ":":  # a type
             while i < len(ts) and ts[i].text not in ("=", ",", ";"):
                 i = pair.get(i, i) + 1
-        function = False
+        function, given = False, None
         if i < len(ts) and ts[i].text == "=":
             i += 1
             j = i + (i < len(ts) and ts[i].text == "async")
             function = j < len(ts) and ts[j].text == "function"
             k = j
+            opening = next((z for z in range(j + 1, min(j + 4, len(ts))) if ts[z].text == "("), None) if function else j
+            if opening is not None and opening < len(ts):
+                given = (opening, pair.get(opening, opening) + 1)  # the parameters, or the only one
             if k < len(ts) and ts[k].text == "(":
                 k = pair[k] + 1
                 if k < len(ts) and ts[k].text == ":":
@@ -122,7 +128,7 @@ def _declarators(ts: list[Token], pair: dict[int, int], i: int) -> Iterator[tupl
                 i = pair.get(i, i)
                 line = ts[i].line
                 i += 1
-        yield names, function, i
+        yield names, function, given
         if i >= len(ts) or ts[i].text != ",":
             return
         i += 1
@@ -141,13 +147,16 @@ def parse(code: str) -> list[Found]:
         if t.text == "function":
             j = i + 1 + (text(i + 1) == "*")
             named = j < len(ts) and ts[j].kind == "id"
-            statement = text(i - 1 - (text(i - 1) == "async")) in ("", ";", "{", "}", "export", "default", ")") or (i and ts[i - 1].line != t.line)
+            first = i - (text(i - 1) == "async")
+            statement = text(first - 1) in ("", ";", "{", "}", "export", "default", ")") or (i and ts[i - 1].line != t.line)
             if named and statement:
-                out.append(Found("functions", ts[j].text, ts[j].line, 0, t.at, end(pair.get(j + 1, j + 1) + 1)))
+                out.append(Found("functions", ts[j].text, ts[j].line, 0, ts[first].at, end(pair.get(j + 1, j + 1) + 1)))
         elif t.text in ("const", "let", "var") and text(i + 1) not in ("enum", ":"):
-            for names, function, _ in _declarators(ts, pair, i + 1):
+            for names, function, given in _declarators(ts, pair, i + 1):
+                sig = code[ts[given[0]].at : end(given[1])].strip() if function and given else "()"
                 for n in names:
-                    out.append(Found("functions" if function else "variables", n.text, n.line, 1 if t.text != "var" else 2, t.at, end(i + 8)))
+                    sort = ("functions", f"const {n.text} = {sig} =>") if function else ("variables", "")
+                    out.append(Found(sort[0], n.text, n.line, 1 if t.text != "var" else 2, t.at, n.at, signature=sort[1]))
         elif t.text == "class" and i + 1 < len(ts) and ts[i + 1].kind == "id" and text(i + 1) != "extends":
             name = ts[i + 1].text
             j = i + 2
@@ -203,13 +212,16 @@ def symbols(code: str) -> tuple[list[tuple[str, str, int, int]], bool]:
 
 
 def skeleton(code: str) -> list[tuple[str, str, str, int]]:
-    """(kind, owner, signature, line) of functions, classes, methods and exports."""
-    out = []
-    for f in parse(code):
+    """(kind, owner, signature, line) of functions, classes, methods and exports, each export once."""
+    out, exported = [], set()
+    members = [Found("exports", m[1], k + 1, 7, 0, 0) for k, x in enumerate(code.split("\n")) if (m := re.match(MEMBER_EXPORT, x))]
+    for f in [*parse(code), *members]:
         if f.category == "exports":
-            out.append(("export", "", f.name, f.line))
+            if f.name not in exported:
+                out.append(("export", "", f.name, f.line))
+                exported.add(f.name)
         elif f.category in ("functions", "classes"):
-            sig = re.sub(r"\s+", " ", code[f.at : f.end]).split("=>")[0].strip(" {")
+            sig = re.sub(r"\s+", " ", f.signature or code[f.at : f.end]).strip(" {")
             kind = "class" if f.category == "classes" else "method" if f.owner else "function"
             out.append((kind, f.owner, sig if kind != "class" else f.name, f.line))
     return out

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from symbolith.functions import text as T
+from symbolith.session import materialize
 
 MAX_CLASSES, MAX_EXPORTS = 50, 80
 
@@ -23,12 +24,6 @@ def tree(files: DataFrame, max_files: int = 100) -> DataFrame:
     return rows.select("dir", "files", shown.alias("shown"), (shown < F.col("files")).alias("partial"))
 
 
-def tree_files(files: DataFrame, max_files: int = 100) -> DataFrame:
-    """The files that the tree shows, by directory and name."""
-    rows = files.withColumn("dir", T.dirname(F.col("path"))).orderBy("dir", "path").limit(max_files)
-    return rows.select("dir", T.basename(F.col("path")).alias("name"))
-
-
 def symbol_lists(reg: DataFrame) -> DataFrame:
     """Names of classes and of exports, each only if there are few enough, sorted."""
     caps = {"classes": MAX_CLASSES, "exports": MAX_EXPORTS}
@@ -40,13 +35,33 @@ def symbol_lists(reg: DataFrame) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def _grams(x: F.Column, size: F.Column) -> F.Column:
+    """Distinct runs of ``size`` characters."""
+    last = F.char_length(x) - size + 1
+    return F.when(last < 1, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(x, i, size))))
+
+
+def containing(parts: DataFrame, wholes: DataFrame, part: str, whole: str, size: int = 3) -> DataFrame:
+    """Pairs of rows of which the one's text contains the other's, by an index of runs of ``size`` characters.
+
+    A text meets those that hold the rarest of its runs; a text shorter than that is a run itself. An empty text is in none.
+    """
+    sizes = F.array(*map(F.lit, range(1, size + 1)))
+    index = wholes.withColumn("_size", F.explode(sizes)).withColumn("_gram", F.explode(_grams(F.col(whole), F.col("_size")))).drop("_size")
+    index = materialize(index)
+    held = index.groupBy("_gram").agg(F.count("*").alias("_n"))
+    asked = parts.select(part).distinct().where(F.char_length(part) > 0)
+    asked = asked.withColumn("_gram", F.explode(_grams(F.col(part), F.least(F.char_length(part), F.lit(size)))))
+    rarest = asked.join(held, "_gram", "left").groupBy(part).agg(F.min_by("_gram", F.struct(F.coalesce("_n", F.lit(0)), "_gram")).alias("_gram"))
+    return parts.join(rarest, part).join(index, "_gram").where(F.contains(F.col(whole), F.col(part))).drop("_gram")
+
+
 def routes_by_file(routes: DataFrame) -> DataFrame:
     """Files with the number and the distinct methods of their routes, and the mount that fits the name."""
     own = routes.where("method <> 'MOUNT'").groupBy("file").agg(F.count("*").alias("routes"), F.array_join(F.array_sort(F.collect_set("method")), ",").alias("methods"))
     stem = F.lower(F.regexp_replace(F.regexp_replace(T.basename(F.col("file")), r"\.[^.]*\z", ""), "[-_]", ""))
     mounts = routes.where("method = 'MOUNT'").select(F.col("path").alias("mount"), F.lower(F.regexp_replace("path", "[/-]", "")).alias("_m"), F.col("line").alias("_l"))
-    rows = own.withColumn("_s", stem)
-    fit = rows.join(mounts, F.contains(F.col("_m"), F.col("_s"))).groupBy("file").agg(F.min_by("mount", F.struct("_l", "mount")).alias("mount"))
+    fit = containing(own.select("file", stem.alias("_s")), mounts, "_s", "_m").groupBy("file").agg(F.min_by("mount", F.struct("_l", "mount")).alias("mount"))
     return own.join(fit, "file", "left")
 
 

@@ -25,7 +25,8 @@ CONTROL = (
     "await", "yield", "when", "match", "guard", "defer", "repeat",
 )
 
-# Notation. Java's \w and \b are used as they are: ASCII letters, digits and the underscore.
+# Notation. Java's \w and \b are used as they are: ASCII letters, digits and the underscore. A repeated group is possessive
+# (``++``), so Java runs it as a loop, not as a recursion, and no line is tried in more ways than its length.
 W = r"\w"
 NAME = r"[A-Za-z_]\w*"
 JS_NAME = r"[A-Za-z_$][\w$]*"
@@ -35,10 +36,13 @@ def either(words: str) -> str:
     return "(?:" + "|".join(words.split()) + ")"
 
 
-def declared(keywords: str, name: str = NAME, before: str = "", after: str = "", between: str = "") -> str:
+def declared(keywords: str, name: str = NAME, before: str = "", after: str = "", between: str = "", start: str = r"^\s*+") -> str:
     """A line that declares ``name``: annotations and modifiers, one key word or several, what stands between, the name."""
-    lead = rf"(?:@\w[\w.]*(?:\([^)]*\))?\s+|{either(before)}(?:\([a-z ]+\))?\s+)*" if before else ""
-    return rf"^\s*{lead}(?:{either(keywords)}\s+)+{between}({name}){after}"
+    own = set(keywords.split())
+    words = " ".join(w for w in before.split() if w not in own)  # a key word ends the modifiers
+    lead = rf"(?:@\w[\w.]*+(?:\([^)]*+\))?+\s++|{either(words)}(?:\([a-z ]++\))?+\s++)*+" if words else ""
+    several = "++" if start.startswith("^") else ""  # a start that isn't anchored would try each of many key words
+    return rf"{start}{lead}(?:{either(keywords)}\s++){several}{between}({name}){after}"
 
 
 # Modifiers of each language's grammar.
@@ -47,18 +51,26 @@ _METHOD_MODIFIERS = _CLASS_MODIFIERS + " override virtual async extern native sy
 _SWIFT = "public private fileprivate internal open static class final override mutating nonmutating required convenience indirect dynamic lazy weak"
 _PHP = "public private protected static final abstract readonly"
 _RUST = "pub async unsafe const extern default"
-_TYPE = r"[\w<>\[\],?.&*]+"  # a type with its arguments, written without spaces
+# a type with its arguments: white space stands only behind a comma
+_TYPE = r"(?:[\w<>\[\]?.&*]++(?:\s*+,\s*+)?+)++"
+
+
+def _created(what: str, after: str = "") -> str:
+    """A statement that creates something of a kind, replaced or temporary or not, quoted or not."""
+    options = r"(?:OR\s++REPLACE\s++|TEMP(?:ORARY)?\s++)*+"
+    return rf"(?i)\bCREATE\s++{options}{either(what)}\s++(?:IF\s++NOT\s++EXISTS\s++)?+[\"'`]?+({W}++)[\"'`]?+{after}"
+
 
 # Definitions by language, in the order in which they are tried.
 _OOP = (
     Rule("classes", declared("class interface enum record struct trait object", before=_CLASS_MODIFIERS)),
     Rule("variables", declared("namespace", r"[A-Za-z_][\w.]*")),
-    Rule("functions", rf"^\s*(?:@\w+\s+)*(?:{either(_METHOD_MODIFIERS)}\s+)+(?:<[^>]*>\s*)?(?:{_TYPE}(?:\s*,\s*{_TYPE})*\s+)?({NAME})\s*\(", CONTROL),
+    Rule("functions", rf"^\s*+(?:@\w++\s++)*+(?:{either(_METHOD_MODIFIERS)}\s++(?!\())++(?:<[^>]*+>\s*+)?+(?:{_TYPE}\s++(?!\())?({NAME})\s*+\(", CONTROL),
 )
 _C = (
     Rule("classes", declared("struct class enum union", before="typedef static extern template")),
     # a type, the name, parameters without an end of statement, and a body that opens on the line
-    Rule("functions", rf"^(?![\s#])(?:[\w:<>,]+[\s*&]+)+(?:{NAME}::)*({NAME})\s*\([^;{{]*\)\s*(?:const\s*|noexcept\s*|override\s*)*\{{\s*\}}?\s*\z", CONTROL),
+    Rule("functions", rf"^(?![\s#])(?:[\w:<>,]++[\s*&]++(?!\())++(?:\w++::)*+({NAME})\s*+\([^;{{]*\)\s*+(?:(?:const|noexcept|override)\s*+)*+\{{\s*+\}}?+\s*+\z", CONTROL),
 )
 _GO_RECEIVER = rf"(?:\(\s*(?:{W}+\s+)?\*?{W}+(?:\[[^\]]*\])?\s*\)\s*)?"
 RULES: dict[str, tuple[Rule, ...]] = {
@@ -87,29 +99,30 @@ RULES: dict[str, tuple[Rule, ...]] = {
         Rule("variables", rf"^(?:const|var)\s+({W}+)\b(?!\s*\()"),
     ),
     "rust": (
-        Rule("functions", rf"^(?:{either(_RUST)}(?:\([a-z: ]+\))?\s+)*fn\s+({W}+)"),
+        Rule("functions", declared("fn", rf"{W}+", _RUST, start="^")),
         Rule("classes", rf"^(?:pub(?:\([a-z: ]+\))?\s+)?(?:struct|enum|trait|union)\s+({W}+)"),
         Rule("variables", rf"^(?:pub(?:\([a-z: ]+\))?\s+)?(?:const|static(?:\s+mut)?)\s+({W}+)\s*:"),
     ),
+    # a function of a shell has the key word, or parentheses behind its name, or both
     "bash": (
-        Rule("functions", rf"^\s*(?:function\s+)?({W}+)\s*\(\s*\)", ("if", "while", "for", "case", "function")),
-        Rule("functions", rf"^\s*function\s+({W}+)\b"),
-    ),
-    "sql": tuple(
-        Rule(kind, rf"(?i)\bCREATE\s+(?:OR\s+REPLACE\s+)?{mods}{either(what)}\s+(?:IF\s+NOT\s+EXISTS\s+)?[\"'`]?({W}+)[\"'`]?{after}")
-        for kind, mods, what, after in (("classes", r"(?:TEMP(?:ORARY)?\s+)?", "TABLE VIEW", r"\s*\("), ("functions", "", "FUNCTION PROCEDURE", ""))
+        Rule("functions", declared("function", rf"{W}+", after=rf"(?!{W})")),
+        Rule("functions", rf"^\s*+({W}++)\s*+\(\s*+\)", ("if", "while", "for", "case", "until")),
     ),
-    "yaml": (Rule("variables", r"^([A-Za-z_][\w-]*)\s*:"),),
+    "sql": (Rule("classes", _created("TABLE VIEW", r"\s*+\(")), Rule("functions", _created("FUNCTION PROCEDURE"))),
+    "yaml": (Rule("variables", r"^([A-Za-z_][\w-]*+)\s*+:"),),
 }
-# Nested definitions too, as a parser of these languages would see them.
+# Languages whose definitions may be nested, as a parser would see them; which are outer, their braces tell.
 NESTED = {
     "go": (RULES["go"][0], Rule("classes", rf"^type\s+({W}+)\s"), RULES["go"][2]),
-    "rust": (Rule("functions", rf"^\s*(?:{either(_RUST)}(?:\([a-z: ]+\))?\s+)*fn\s+({W}+)"), *RULES["rust"][1:]),
+    "rust": (Rule("functions", declared("fn", rf"{W}+", _RUST)), *RULES["rust"][1:]),
 }
+# Scripts that don't parse, by line: what a statement may start behind, then a declaration.
+_STATEMENT = r"(?:^|[\s;{}(),=!:])"
+_PARAMETERS = rf"(?:\([^()]*+(?:\([^()]*+\)[^()]*+)*+\)|{JS_NAME})"
 JS_FALLBACK = (
-    Rule("functions", rf"\bfunction\s*\*?\s+({JS_NAME})\s*\("),
-    Rule("functions", rf"\b(?:const|let|var)\s+({JS_NAME})\s*=\s*(?:async\s+)?(?:\([^)]*\)|{JS_NAME})\s*=>"),
-    Rule("classes", rf"\bclass\s+([A-Z][\w$]*)"),
+    Rule("functions", rf"{_STATEMENT}function\s*+(?:\*\s*+)?+({JS_NAME})\s*+\("),
+    Rule("functions", declared("const let var", JS_NAME, after=rf"\s*+=\s*+(?:async\b\s*+)?+{_PARAMETERS}\s*+=>", start=_STATEMENT)),
+    Rule("classes", declared("class", r"[A-Z][\w$]*", start=_STATEMENT)),
 )
 
 # Routes, mounts and module exports of JavaScript lines.

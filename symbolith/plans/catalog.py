@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import analytics, condensing, extraction, references, symbols
+from . import analytics, code, condensing, extraction, outputs, project, references, symbols
 
-MODULES = (symbols, extraction, references, condensing, analytics)
+MODULES = (symbols, code, extraction, project, references, outputs, condensing, analytics)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE = {name: sql for m in MODULES for name, sql in m.ORACLE.items()}

@@ -1,4 +1,4 @@
-"""Condensing over ``documents`` as captured outputs, and over small inline outputs."""
+"""Condensing over ``documents`` as captured outputs; reports of outputs made of their words are in ``outputs``."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from symbolith.functions import documents as D
 from symbolith.functions import text as T
-from symbolith.operators import condense
+from symbolith.operators import condense, reports
 
 from .base import Catalog, table
 
@@ -17,39 +17,6 @@ QUERIES, ORACLE = _c.queries, _c.oracle
 LINES = """lns AS (SELECT doc_id AS doc, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents)"""
 BARE = r"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
 
-LINT_TEXT = [
-    "src/a.ts(3,5): error TS2322: Type 'string' is not assignable.",
-    "src/b.ts(9,1): error TS2322: Type 'string' is not assignable.",
-    "src/b.ts(10,1): warning TS6133: 'unused' is never read.",
-    "/work/src/c.js",
-    "  12:5  error  'x' is not defined  no-undef",
-    "  14:5  warning  Unexpected console statement  no-console",
-    "d.py:1:1: F401 os imported but unused",
-    "error[E0382]: use of moved value",
-    "Warning: deprecated option",
-]
-STATUS_TEXT = [
-    "On branch main", "Changes to be committed:", '  (use "git restore --staged <file>..." to unstage)', "\tmodified:   a.js", "\tnew file:   b.js", "",
-    "Changes not staged for commit:", "\tmodified:   README.md", "\tdeleted:    old.txt", "", "Untracked files:", "\tnotes.txt", "\tbuild/",
-]
-LOG_TEXT = [
-    "commit 0123456789abcdef", "Author: A <a@b.c>", "Date:   Mon Jan 1", "", "    First message", "    more", "commit fedcba9876543210", "Author: B <b@b.c>", "", "    Second message",
-]
-BUILD_TEXT = ["[1/3] compiling", "src/a.c:3: error: missing ;", "src/a.c:3: error: missing ;", "src/b.c:9: warning: unused x", "WARN cache is cold", "✖ build failed", "done"]
-COMMANDS = [
-    "git status", "NODE_ENV=test npm test", "npm run test", "pytest -q", "cargo clippy", "ls -la", "cat a.js", "kubectl get pods -o json", "tail -f x.log", "docker logs web",
-    "docker build .", "npm run build", "npm install", "pip install x", "unknown-command --x", "go test ./...", "A=1 B=2 make", "yarn test", "jq .", "vite build", "",
-]
-
-
-def _values(rows: list[str]) -> str:
-    return ", ".join("(1, {}, '{}')".format(i, x.replace("'", "''")) for i, x in enumerate(rows))
-
-
-def _lines(spark: SparkSession, rows: list[str]) -> DataFrame:
-    return spark.createDataFrame([(1, i, x) for i, x in enumerate(rows)], "doc long, line_no int, text string")
-
-
 def _doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return condense.explode_lines(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -72,33 +39,7 @@ for _p, _v in ((r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}",
 @_c.query(f"""WITH {LINES}, k AS (SELECT doc, line_no, {KEY} AS key, {BARE.format(x='text')} AS text FROM lns WHERE regexp_matches(text, '\\S'))
 SELECT doc, key, count(*) AS n, arg_min(text, line_no) AS first_line, min(line_no) AS line_no FROM k GROUP BY doc, key""")
 def log_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return condense.log_groups(_doc_lines(spark, sf_dir))
-
-
-@_c.query("""SELECT * FROM (VALUES (1, 'TS2322: Type ''string'' is not assignable.', 2, 2, 2, 0, 0), (1, 'TS6133: ''unused'' is never read.', 1, 1, 0, 1, 2),
- (1, 'no-undef: ''x'' is not defined', 1, 1, 1, 0, 4), (1, 'no-console: Unexpected console statement', 1, 1, 0, 1, 5), (1, 'F401: os imported but unused', 1, 1, 1, 0, 6),
- (1, 'E0382: use of moved value', 1, 0, 1, 0, 7), (1, 'deprecated option', 1, 0, 0, 1, 8)) AS t(doc, rule, n, files, errors, warnings, line_no)""")
-def lint_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return condense.lint_rules(_lines(spark, LINT_TEXT))
-
-
-@_c.query(f"""WITH l(doc, line_no, text) AS (VALUES {_values(BUILD_TEXT)}), k AS (SELECT doc, line_no, trim(text) AS text,
- CASE WHEN regexp_matches(text, '(^|\\s)(error|ERROR|FAILED)\\b') OR regexp_matches(text, '\\berror\\s*:', 'i') OR regexp_matches(text, '^[✖×✗]') THEN 'error'
-      WHEN regexp_matches(text, '(^|\\s)(warning|warn(ing)?)\\b', 'i') OR regexp_matches(text, '\\bwarning\\s*:', 'i') THEN 'warning' END AS kind FROM l)
-SELECT doc, kind, text, count(*) AS n, min(line_no) AS line_no FROM k WHERE kind IS NOT NULL GROUP BY ALL""")
-def build_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return condense.build_lines(_lines(spark, BUILD_TEXT))
-
-
-@_c.query("""SELECT * FROM (VALUES (1, 3, 'staged', 'modified: a.js'), (1, 4, 'staged', 'new file: b.js'), (1, 7, 'modified', 'modified: README.md'), (1, 8, 'modified', 'deleted: old.txt'),
- (1, 11, 'untracked', 'notes.txt'), (1, 12, 'untracked', 'build/')) AS t(doc, line_no, section, entry)""")
-def git_status_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return condense.status_entries(_lines(spark, STATUS_TEXT))
-
-
-@_c.query("SELECT * FROM (VALUES (1, 1, '0123456', 'First message'), (1, 2, 'fedcba9', 'Second message')) AS t(doc, block, hash, message)")
-def git_log_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return condense.log_commits(_lines(spark, LOG_TEXT))
+    return reports.log_groups(_doc_lines(spark, sf_dir))
 
 
 @_c.query(r"""SELECT doc_id, regexp_replace(chr(27) || '[31m' || text || chr(27) || '[0m', chr(27) || '\[[0-?]*[ -/]*[@-~]', '', 'g') AS text FROM documents""")
@@ -138,33 +79,12 @@ def redact_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("redactions", condense.redactions(F.col("text")))
 
 
-_WANT = ["git", "test", "test", "test", "lint", "file", "file", "json", "log", "log", "build", "build", "package", "package", "unknown", "test", "build", "test", "json", "build", "unknown"]
-
-
-@_c.query("SELECT * FROM (VALUES " + ", ".join(f"({i}, '{c}', '{w}')" for i, (c, w) in enumerate(zip(COMMANDS, _WANT))) + ") AS t(id, command, category)")
-def command_category(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(list(enumerate(COMMANDS)), "id int, command string")
-    return rows.withColumn("category", condense.command_category(F.col("command")))
-
-
-@_c.query()
-def compress_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("tail "), "source", F.lit(".log")).alias("command"), F.col("text").alias("raw"))
-    return condense.condense(rows).select("doc_id", "category", "redacted_count", "condensed.*")
-
-
 @_c.query()
 def group_similar_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = D.per_document(lambda x: D.group_similar(x)[0], "string")
     return table(spark, sf_dir, "documents").select("doc_id", f("text").alias("text"))
 
 
-@_c.query()
-def test_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = D.per_document(lambda x: D.test_report(x)[0], "string")
-    return table(spark, sf_dir, "documents").select("doc_id", f("text").alias("report"))
-
-
 @_c.query()
 def identifier_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = D.per_document(lambda x: D.rename(x, "the", "THE"), "string")

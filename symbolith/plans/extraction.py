@@ -1,4 +1,4 @@
-"""Extraction over ``pages`` and over the labelled corpus, and overviews of ``documents``."""
+"""Extraction over ``pages``, and overviews of ``documents``."""
 
 from __future__ import annotations
 
@@ -6,30 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symbolith.functions import text as T
-from symbolith.operators import analytics, extract, report
+from symbolith.operators import extract, registry, report
 from symbolith.sources import files as scan_files
 
 from .base import Catalog, table
-from .corpus import CORPUS
 
 _c = Catalog()
 QUERIES, ORACLE = _c.queries, _c.oracle
-TRUTH = ", ".join(f"('{lang}', '{name}')" for lang, _, _, names in CORPUS for name in names)
-
-
-def corpus(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([x[:3] for x in CORPUS], "lang string, path string, content string")
-
-
-@_c.query(f"""WITH t(lang, name) AS (VALUES {TRUTH}) SELECT lang, count(*) AS hits, count(*) AS found, count(*) AS expected, CAST(grouping(lang) AS TINYINT) AS is_total,
- CAST(100 AS BIGINT) AS precision_pct, CAST(100 AS BIGINT) AS recall_pct FROM t GROUP BY ROLLUP (lang)""")
-def extract_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = corpus(spark)
-    found = extract.definitions(files).where("category in ('functions', 'classes')").join(files.select(F.col("path").alias("file"), "lang"), "file")
-    truth = spark.createDataFrame([(x[0], name) for x in CORPUS for name in x[3]], "lang string, name string")
-    return analytics.score(found, truth)
-
-
 @_c.query(r"""SELECT page_id, CASE WHEN t = '' THEN page_id || '.html' ELSE t END AS title, CAST(len(list_filter(regexp_extract_all(html, '(?is)<script[^>]+src\s*=\s*["'']([^"'']+)["''][^>]*>', 1),
   lambda x: NOT starts_with(x, 'http') AND NOT starts_with(x, '//'))) AS INT) AS scripts
 FROM (SELECT page_id, html, regexp_replace(regexp_extract(html, '(?is)<title[^>]*>([^<]+)</title>', 1), '^\s+|\s+$', '', 'g') AS t FROM pages)""")
@@ -45,14 +28,9 @@ def page_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.page_scripts(rows)
 
 
-@_c.query()
-def skeleton(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.skeletons(corpus(spark))
-
-
 @_c.query("""SELECT lang, count(*) AS files, CAST(sum(len(string_split(text, chr(10)))) AS BIGINT) AS lines FROM documents GROUP BY lang""")
 def lang_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("files"), F.sum(F.size(T.lines(F.col("text")))).alias("lines"))
+    return registry.language_breakdown(table(spark, sf_dir, "documents").select("lang", F.size(T.lines(F.col("text"))).alias("lines")))
 
 
 @_c.query("""WITH f AS (SELECT source AS dir, lpad(CAST(doc_id AS VARCHAR), 12, '0') AS name, row_number() OVER (ORDER BY source, lpad(CAST(doc_id AS VARCHAR), 12, '0')) AS n FROM documents)

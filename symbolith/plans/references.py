@@ -1,4 +1,4 @@
-"""Reference checks over ``pages`` as files with links, and over a small inline project."""
+"""Reference checks over ``pages`` as files with links; those over scripts are in ``project``."""
 
 from __future__ import annotations
 
@@ -6,29 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symbolith.functions import text as T
-from symbolith.operators import extract, references, registry
-from symbolith.operators.report import routes_by_file
+from symbolith.operators import references
 
 from .base import Catalog, table
 
 _c = Catalog()
 QUERIES, ORACLE = _c.queries, _c.oracle
 
-PROJECT = [
-    ("apps/web/main.js", "import { load, save as keep } from './store';\nimport Panel from './panel.js';\nimport './missing-style';\nconst { helper } = require('../util');\n"
-     "function start(cb) {\n  load(); keep(); helper(); chargeCart(1); renderPag(2); cb(); ghostCall();\n  fetch('/api/users/12'); fetch('/api/nothing');\n}\n"),
-    ("apps/web/store.js", "export function load() {}\nfunction save() {}\nexport const size = 1;\n"),
-    ("apps/web/panel.js", "export default class Panel { draw() {} }\nexport * from './store';\n"),
-    ("apps/util/index.js", "module.exports = { helper: 1, other };\n"),
-    ("packages/pay/cart.js", "export function chargeCart(n) { return n; }\nrouter.get('/api/users/:id', x);\nrouter.post('/api/users', y);\napp.use('/api/opaque', z);\n"),
-    ("lib/page.js", "export function renderPage(n) { return n; }\nconst s = load2('x');\nimport { load2 } from './none';\n"),
-]
-
-
-def project(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(PROJECT, "path string, content string")
-
-
 def hrefs(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("href"))
@@ -67,50 +51,6 @@ def route_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return references.bad_routes(literals, routes)
 
 
-@_c.query("SELECT * FROM (VALUES ('apps/web/main.js', './missing-style'), ('lib/page.js', './none')) AS t(path, import_path)")
-def import_paths_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = project(spark)
-    return references.missing_imports(references.import_paths(files), files.select("path"))
-
-
-@_c.query("SELECT * FROM (VALUES ('apps/web/main.js', 'save', './store')) AS t(path, name, import_path)")
-def imports_not_exported(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = project(spark)
-    sites = references.named_imports(files)
-    modules = references.resolved(references.import_paths(files), files.select("path"))
-    return references.not_exported(sites, modules, references.module_exports(files))
-
-
-@_c.query("""SELECT * FROM (VALUES ('apps/web/main.js', 'chargeCart', 'namespace', 'packages/pay'), ('apps/web/main.js', 'renderPag', 'typo', 'renderPage'),
- ('apps/web/main.js', 'ghostCall', 'unknown', NULL)) AS t(path, name, finding, detail)""")
-def reference_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = project(spark).withColumn("lang", extract.language(F.col("path")))
-    reg = registry.lookup(registry.entries(extract.definitions(files)))
-    reg = reg.select("name", "namespace", F.concat_ws("|", F.col("cat_rank"), "file", F.lpad(F.col("line").cast("string"), 9, "0")).alias("ord"))
-    none = spark.createDataFrame([], "name string")
-    return references.name_report(files, reg, none, none)
-
-
-@_c.query("SELECT 'apps/web/main.js' AS path, true AS renamed, true AS rest_kept")
-def autofix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = project(spark)
-    report = spark.createDataFrame([("apps/web/main.js", "renderPag", "typo", "renderPage")], "path string, name string, finding string, detail string")
-    fixed = references.autofix(files, report).withColumnRenamed("content", "new").join(files, "path")
-    return fixed.select("path", F.col("new").contains("renderPage(2)").alias("renamed"), (F.replace("new", F.lit("renderPage"), F.lit("renderPag")) == F.col("content")).alias("rest_kept"))
-
-
-@_c.query("SELECT * FROM (VALUES ('packages/pay/cart.js', 2, 'GET,POST', CAST(NULL AS VARCHAR))) AS t(file, routes, methods, mount)")
-def routes_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = project(spark).withColumn("lang", extract.language(F.col("path")))
-    return routes_by_file(extract.routes(extract.source_lines(files)))
-
-
-@_c.query("SELECT * FROM (VALUES ('apps/web/main.js', '/api/nothing')) AS t(path, literal)")
-def project_routes_bad(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = project(spark).withColumn("lang", extract.language(F.col("path")))
-    return references.bad_routes(references.route_literals(files), extract.routes(extract.source_lines(files)).select("method", "path"))
-
-
 @_c.query(r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?s)/\*.*?\*/', '', 'g'), '(?m)//.*$', '', 'g'), '(?s)`(?:[^`\\]|\\.)*`', '""', 'g'),
   '(?s)"(?:[^"\\]|\\.)*"', '""', 'g'), '(?s)''(?:[^''\\]|\\.)*''', '''''', 'g') AS code FROM documents""")
 def strip_code(spark: SparkSession, sf_dir: str) -> DataFrame:

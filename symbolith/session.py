@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -28,3 +29,13 @@ def materialize(df: DataFrame) -> DataFrame:
         local = sc.master.startswith("local")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="symbolith-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
     return df.checkpoint(eager=True)
+
+
+#: Narrow rows that are broadcast at most; a side of more is joined by key.
+BROADCAST_ROWS = 250_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df``, materialised, with a hint to broadcast it if it has been counted to be small."""
+    df = materialize(df)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df

@@ -33,20 +33,6 @@ def test_status_and_log():
     assert D.git("x", ["stash"]) is None
 
 
-def test_reports():
-    out = D.test_report("✔ a\n✖ b (4ms)\n  Error: x\nℹ tests 3\nℹ pass 2\nℹ fail 1\n")[0]
-    assert out.startswith("3 tests: 1 failed, 2 passed\nFAILURES:\n✖ b (4ms)")
-    assert D.test_report("ok pkg/a 0.1s\nFAIL pkg/b 0.2s\n")[0].startswith("2 tests: 1 failed, 1 passed")
-    assert D.test_report("Tests: 2 failed, 18 passed, 20 total")[0] == "20 tests: 2 failed, 18 passed"
-    assert D.test_report("") == ("no output", 100)
-    out = D.lint_report("a.ts(1,2): error TS1: m\nb.ts(1,2): error TS1: m\nc.ts(1,1): warning TS2: n\n")[0]
-    assert out.splitlines()[0] == "2 errors, 1 warnings (2 unique rules)" and "TS1: m (×2 in 2 files)" in out
-    out = D.log_report("2024-01-01 10:00:00 a\n2024-01-01 10:00:01 a\nb 10.0.0.1\nb 10.0.0.2\n")[0]
-    assert out.splitlines() == ["4 lines → 2 unique (2 duplicates collapsed)", "2024-01-01 10:00:00 a (×2)", "b 10.0.0.1 (×2)"]
-    out = D.build_report("step\nx: error: y\nx: error: y\nwarning: z\n")[0]
-    assert out.splitlines() == ["2 error line(s) (1 unique):", "x: error: y", "1 warning line(s):", "warning: z"]
-
-
 def test_files_and_json():
     assert D.dir_listing("total 3\ndrwxr-xr-x 2 u g 4 Jan 1 10:00 src\n-rw-r--r-- 1 u g 4 Jan 1 10:00 a.js")[0] == "1 dirs, 1 files\n📁 src/\n  a.js"
     assert D.file_content("// c\nx = 1\n\n/* a\nb */\ny")[0] == "x = 1\ny"
