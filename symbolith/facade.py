@@ -26,7 +26,7 @@ EVENTS = "symbol string, file string, type string, ts timestamp, session long, s
 
 class Engine:
     TOOLS = ("reindex", "refresh", "check", "references", "condense", "overview", "skeleton", "event_report", "clear_events", "notes", "watchlist",
-             "autofix", "agent_notes", "prompt", "condensing_report", "reset_condensing", "check_report", "watch", "watch_health")
+             "autofix", "agent_notes", "prompt", "condensing_report", "reset_condensing", "check_report", "watch", "watch_health", "blocked", "setup")
 
     def __init__(self, spark: SparkSession, home: str, as_of: str, disabled: Iterable[str] = (), nested: bool = True, parsers: tuple[str, ...] = ()):
         unknown = set(disabled) - set(self.TOOLS)
@@ -206,7 +206,11 @@ class Engine:
 
         With ``diffs`` (diff), unified diffs that led to the files, only what added lines refer to is looked at.
         """
-        scan = files if diffs is None else diff.added_content(files, diff.added(diffs))
+        noted = F.lower("path").endswith(".md")
+        files = files.withColumn("content", F.when(noted, references.fences(F.col("content"))).otherwise(F.col("content")))  # of notes, their scripts
+        scan = files
+        if diffs is not None:
+            scan = diff.added_content(files.where(~noted), diff.added(diffs)).unionByName(files.where(noted).select("path", "content"))
         reg = registry.lookup(self._table("registry")).select("name", "namespace", F.concat_ws("|", F.col("cat_rank"), "file", F.lpad(F.col("line").cast("string"), 9, "0")).alias("ord"))
         more = self._routes().select(F.col("route").alias("name")).unionByName(self._pages().select(F.col("page").alias("name")))
         names = references.name_report(files, reg, more, self._ledger(files), scan=scan)
@@ -276,6 +280,14 @@ class Engine:
     def skeleton(self, files: DataFrame) -> DataFrame:
         return extract.skeletons(files.withColumn("lang", extract.language(F.col("path"))))
 
+    def setup(self, configs: DataFrame, profiles: DataFrame, backups: DataFrame | None = None) -> dict[str, DataFrame]:
+        """What a set-up of tools would find: the servers of all configurations (source, kind, content) with those that a server of the same
+        profile (profile, pattern) replaces, and the backups (file, ts, name) that stay."""
+        servers = tables.server_entries(configs)
+        scored = servers.select("source", "name", F.col("name").alias("command"), F.lit("repo").alias("scope"), F.char_length("name").alias("score"))
+        out = {"servers": servers, "redundant": tables.redundant_servers(scored, profiles)}
+        return out if backups is None else out | {"backups": tables.keep_newest(backups)}
+
     def event_report(self) -> DataFrame:
         return analytics.report(analytics.newest(self.events()))
 

@@ -31,6 +31,8 @@ SECRETS = (
     ("CONNECTION_STRING", r"[a-z][a-z0-9+]*://[^\s:/@]+:[^\s:/@]+@[^\s]+"),
     ("BEARER", r"Bearer [A-Za-z0-9._~+/=-]{16,}"),
     ("SECRET", r"(?i:api_key|apikey|secret|token|password|passwd)\s*[=:]\s*[\"'][^\"'\s]{6,}[\"']"),
+    # without quotes, as in an environment: nothing that is redacted already
+    ("SECRET", r"(?i:api_key|apikey|secret|token|password|passwd)=[^\s\"'\[&;,]{8,}"),
 )
 
 # Commands by category, in the order in which categories are tried.

@@ -68,17 +68,33 @@ def token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.token_estimate(text).alias("tokens"), T.savings_percent(T.normalize_whitespace(text), text).alias("savings"))
 
 
-_SECRET = "text"
-for _k, _p in condense.SECRETS:
-    _SECRET = "regexp_replace({}, '{}', '[REDACTED:{}]', 'g')".format(_SECRET, _p.replace("(?s)", "(?s)").replace("'", "''"), _k)
+# Written apart from the engine's own list, in DuckDB's notation.
+_KEYS = "(?i)(api_key|apikey|secret|token|password|passwd)(?-i)"
+_SECRET = "text || chr(10) || 'API_KEY=' || md5(text) || ' password=short'"
+for _k, _p in (
+    ("PRIVATE_KEY", "(?s)-----BEGIN [A-Z ]*PRIVATE KEY-----.*?-----END [A-Z ]*PRIVATE KEY-----"), ("OPENAI_KEY", r"sk-(proj-)?[\w-]{20,}"), ("GITHUB_TOKEN", "gh[oprsu]_[0-9A-Za-z]{36,}"),
+    ("AWS_KEY", "A[KS]IA[0-9A-Z]{16}"), ("STRIPE_KEY", "(sk|rk)_(live|test)_[0-9A-Za-z]{16,}"), ("SLACK_TOKEN", "xox[abprs]-[0-9A-Za-z-]{10,}"), ("NPM_TOKEN", "npm_[0-9A-Za-z]{36}"),
+    ("CONNECTION_STRING", r"[a-z][0-9a-z+]*://[^\s:/@]+:[^\s:/@]+@\S+"), ("BEARER", "Bearer [0-9A-Za-z._~+/=-]{16,}"), ("SECRET", _KEYS + r"""\s*[:=]\s*["''][^"''\s]{6,}["'']"""), ("SECRET", _KEYS + r"""=[^\s"''&,;\[]{8,}"""),
+):
+    _SECRET = f"regexp_replace({_SECRET}, '{_p}', '[REDACTED:{_k}]', 'g')"
 
 
 @_c.query(f"SELECT doc_id, {_SECRET} AS text, CAST(len(regexp_extract_all({_SECRET}, '\\[REDACTED:')) AS INT) AS redactions FROM documents")
 def redact_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", condense.redact(F.col("text")).alias("text"))
+    text = F.concat("text", F.lit("\nAPI_KEY="), F.md5("text"), F.lit(" password=short"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", condense.redact(text).alias("text"))
     return rows.withColumn("redactions", condense.redactions(F.col("text")))
 
 
+@_c.query(r"""SELECT doc_id, regexp_replace(text, '([][.*+?^${}()|\\])', '\\\1', 'g') AS escaped, CAST(to_json(text) AS VARCHAR) AS quoted,
+  coalesce(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\S'))[1], '') AS first_line, 1 - levenshtein(lang, source) / greatest(length(lang), length(source)) AS alike FROM documents""")
+def text_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts for a pattern and for a configuration file, their first visible line, and how alike two names are."""
+    text = F.col("text")
+    alike = T.similarity(F.col("lang"), F.col("source"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.escape_regex(text).alias("escaped"), T.toml_string(text).alias("quoted"), T.first_line(text).alias("first_line"), alike.alias("alike"))
+
+
 @_c.query()
 def group_similar_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = D.per_document(lambda x: D.group_similar(x)[0], "string")

@@ -22,7 +22,8 @@ def html_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.regexp_extract("file", r"^(\d+)", 1).cast("long").alias("page_id"), "title", F.size("scripts").alias("scripts"))
 
 
-@_c.query()
+@_c.query("""WITH p AS (SELECT page_id, html, split_part(html, '<script>', 1) AS above FROM pages)
+SELECT 'variables' AS category, 't' AS name, CAST(page_id AS VARCHAR) AS file, CAST(1 + length(above) - length(replace(above, chr(10), '')) AS INT) AS line, 0 AS pass FROM p WHERE contains(html, '<script>var t=')""")
 def page_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("path"), F.col("html").alias("content"))
     return extract.page_scripts(rows)

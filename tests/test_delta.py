@@ -351,3 +351,18 @@ def test_event_log_keeps_the_newest(rocks, tmp_path):
     for p in "pq":
         own = [r[1] for r in rows if r[0] == p]
         assert sorted(last[p]) == list(zip(range(len(own) - 49, len(own) + 1), own[-50:]))
+
+
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
+    from symbolith import __main__ as cli
+
+    monkeypatch.setattr(cli, "local_session", lambda: spark)
+    src, home = tmp_path / "p", str(tmp_path / "home")
+    put(src, {"src/a.js": "export function makeWidget() {}\n", "n.md": "text ghost()\n```js\nghostCall();\n```\n", "c.json": '{"mcpServers": {"git-a": {}, "git-long": {}}}'})
+    assert cli.main([home]) == 2 and cli.main([home, "nothing"]) == 2
+    assert cli.main([home, "index", str(src)]) == 0
+    assert cli.main([home, "check", "makeWidget"]) == 0 and "All 1 names are in the registry" in capsys.readouterr().out
+    assert cli.main([home, "references", str(src / "n.md")]) == 2 and "unknown: ghostCall" in capsys.readouterr().err
+    assert cli.main([home, "setup", str(src / "c.json"), "--profile", "git=git"]) == 0
+    out = capsys.readouterr().out
+    assert "git-long" in out and "redundant" in out
