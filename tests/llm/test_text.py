@@ -459,3 +459,80 @@ def test_url_filter_keeps_large_ids(spark):
     rules = spark.createDataFrame([("com", "/en/", "block"), ("org", "/ppp", "block")], "host string, path string, action string")
     got = {(r["page_id"], r["verdict"]) for r in url_filter.judge(pages, rules).collect()}
     assert got == {(big + 1, "block"), (None, "block"), (big + 3, "allow"), (-(2**63), "allow"), (2**63 - 1, "block")}
+
+
+def test_quality_scores_equal_a_plain_forward_pass(spark):
+    rng = random.Random(9)
+    model = quality.fit([(prose(rng, 30), 1) for _ in range(20)] + [(prose(rng, 30) + "$$$ !!", 0) for _ in range(20)])
+    texts = [None, "", "a", "é" * 5, "x" * 12, "x" * 13, prose(rng, 50), prose(rng, 20) + "$$$", "w " * 400_000]
+
+    def plain(text):
+        data = (text or "").encode()
+        kernel = model["kernel"].reshape(quality.WIDTH, quality.DIM, quality.FILTERS).astype(float)
+        best = np.full(quality.FILTERS, -np.inf)
+        for start in range(0, max(len(data) - quality.WIDTH + quality.STRIDE, 1), quality.STRIDE):
+            chunk = data[start : start + quality.WIDTH].ljust(quality.WIDTH, b"\0")
+            best = np.maximum(best, sum(model["embed"][c].astype(float) @ kernel[k] for k, c in enumerate(chunk)))
+        z = float(np.maximum(best + model["bias"], 0) @ model["out"].astype(float) + model["shift"][0])
+        return 1 / (1 + np.exp(-z))
+
+    short = {i: plain(t if t is None or len(t) < 10_000 else t[:600]) for i, t in enumerate(texts)}  # a period repeats
+    got = {r["doc_id"]: r["score"] for r in quality.classify(spark.createDataFrame(list(enumerate(texts)), TEXT), model).collect()}
+    assert all(abs(got[i] - short[i]) < 1e-4 for i in short)
+
+
+def test_toxicity_scores_equal_a_plain_tree_walk(spark):
+    rng = random.Random(10)
+    bad = lambda: " ".join(w if rng.random() > 0.15 else rng.choice(["blarg", "zonk"]) for w in prose(rng, 40).split())
+    model = toxicity.fit([(prose(rng, 40), 0) for _ in range(80)] + [(bad(), 1) for _ in range(80)])
+    texts = [None, "", "a", prose(rng, 30), bad(), bad().upper() + "!!", "you zonk", "é" * 3000]
+    buf, off = toxicity._join([(t or "").encode() for t in texts])
+    features = toxicity.features(buf, off, model["lexicon"], model["you"])
+
+    def plain(x):
+        z = 0.0
+        for feature, cut, leaf in model["gbt"]["trees"]:
+            node = 0
+            while node < len(feature):
+                below = sum(1 for e in model["gbt"]["edges"][feature[node]] if e < x[feature[node]])
+                node = 2 * node + (2 if below > cut[node] else 1)
+            z += leaf[node - len(feature)]
+        xs, ys = model["xs"], model["ys"]
+        if z <= xs[0] or z >= xs[-1]:
+            at = ys[0] if z <= xs[0] else ys[-1]
+        else:
+            k = next(i for i in range(1, len(xs)) if xs[i] >= z and xs[i] > xs[i - 1])
+            at = ys[k - 1] + (ys[k] - ys[k - 1]) * (z - xs[k - 1]) / (xs[k] - xs[k - 1])
+        return min(max(0.999 * at + 0.001 / (1 + np.exp(-z)), 0), 1)
+
+    got = {r["doc_id"]: r["score"] for r in toxicity.classify(spark.createDataFrame(list(enumerate(texts)), TEXT), model).collect()}
+    assert all(abs(got[i] - plain(x)) < 1e-9 for i, x in enumerate(features))
+    for t, x in zip(texts, features):  # some features by hand
+        own = dict(zip(toxicity.NAMES, x))
+        data, words = (t or "").encode(), (t or "").split()
+        assert abs(own[toxicity.NAMES[-1]] - np.log1p(max(len(words), 1))) < 1e-9
+        assert abs(own[toxicity.NAMES[10]] - sum(65 <= c <= 90 for c in data) / max(len(data), 1)) < 1e-9
+        assert abs(own[toxicity.NAMES[13]] - data.count(b"!") / max(len(data), 1)) < 1e-9
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    """Null and repeated ids, ties, empty and null texts, a long text, clashing columns; then an empty table."""
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    rows = [(i, prose(rng, 60), "en", f"s{i % 3}") for i in range(30)]
+    rows += [(3, rows[3][1], "en", "s0"), (3, prose(rng, 60), None, None), (None, prose(rng, 60), "en", "s1"), (None, None, None, None), (40, None, "de", "s2"), (41, "", "de", "s2"), (42, prose(rng, 60_000), "en", "s1")]
+    kind = TEXT + ", lang string, source string"
+    clash = {c: F.lit("x") for c in ("epoch_", "k", "label", "size", "_u", "score")}
+    for name, docs in (("odd", rows), ("none", [])):
+        at = str(tmp_path / name)
+        df = spark.createDataFrame(docs, kind).withColumns(clash)
+        df.write.parquet(f"{at}/documents.parquet")
+        labels = [(i, int(i % 4 > 0), 0) for i in range(30)] if docs else []
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+        spark.createDataFrame([(1, " ".join(rows[5][1].split()[:40]))], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+        mixed = corpus_pipeline.run(spark, at)
+        out = mixed.collect()
+        assert {r["text"] for r in out} <= {r[1] for r in docs} and set(df.columns) <= set(mixed.columns)
+        assert not docs or all(r["text"] != rows[5][1] for r in out)
+    assert not out
