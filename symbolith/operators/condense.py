@@ -220,11 +220,13 @@ def condense(df: DataFrame, command: str = "command", raw: str = "raw", max_toke
     rows = rows.withColumns({"_clean": redact(F.col("_bare")) if redacted else F.col("_bare")})
     rows = rows.withColumn("redacted_count", (redactions(F.col("_clean")) - redactions(F.col("_bare"))).cast("long"))
     rows = rows.withColumn("_key", F.when(F.col("category").isin(*R.REPORTS), F.md5("_clean")))
-    lines = explode_lines(rows.where("_key is not null").groupBy("category", "_key").agg(F.first("_clean").alias("_clean")).withColumn("_doc", F.struct("category", "_key")), "_doc", "_clean")
+    texts = rows.where("_key is not null").groupBy("category", "_key").agg(F.first("_clean").alias("_clean"))
+    lines = materialize(explode_lines(texts.withColumn("_doc", F.concat_ws(":", "category", "_key")), "_doc", "_clean"))  # each report reads them several times
     made = None
     for name, report in R.REPORTS.items():
-        own = report(lines.where(F.col("doc.category") == name)).select(F.lit(name).alias("_category"), F.col("doc._key").alias("_made_of"), F.col("out").alias("_report"))
+        own = materialize(report(lines.where(F.col("doc").startswith(f"{name}:"))))
         made = own if made is None else made.unionByName(own)
-    rows = rows.join(materialize(made), (F.col("category") == F.col("_category")) & (F.col("_key") == F.col("_made_of")), "left")
+    made = made.select(F.col("doc").alias("_made_of"), F.col("out").alias("_report"))
+    rows = rows.join(made, F.concat_ws(":", "category", "_key") == F.col("_made_of"), "left")
     rows = rows.withColumn("condensed", F.pandas_udf(run, CONDENSED)("category", "_w", "_clean", "_n", "_report"))
-    return rows.drop("_w", "_bare", "_clean", "_n", "_key", "_category", "_made_of", "_report")
+    return rows.drop("_w", "_bare", "_clean", "_n", "_key", "_made_of", "_report")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from symbolith.functions import text as T
+from symbolith.session import materialize
 
 NOTHING = "no output"
 
@@ -40,7 +41,10 @@ def _more(shown: DataFrame, limit: int, what: str, part: int, indent: str = "")
 
 def _otherwise(lines: DataFrame, report: DataFrame, shown: int, last: bool, empty: str, note: str | None = None) -> DataFrame:
     """``report``, and for documents without one some of their visible lines, or ``empty`` where none is visible."""
-    rest = lines.join(report.select("doc"), "doc", "left_anti")
+    report = materialize(report)
+    rest = materialize(lines.join(report.select("doc"), "doc", "left_anti"))
+    if rest.isEmpty():
+        return report
     visible = rest.where(F.col("text").rlike(r"\S")).withColumn("text", F.col("text") if not last else T.trim(F.col("text")))
     order = F.col("line_no").desc() if last else F.col("line_no")
     some = _first(visible, shown, order)
@@ -128,7 +132,7 @@ def test_failures(rows: DataFrame, context: int = 10) -> DataFrame:
 
 def tests(lines: DataFrame, failures: int = 5, errors: int = 3, last: int = 5) -> DataFrame:
     """Totals, the first failures with their context, the first errors; the last lines where none of these is found."""
-    rows = test_lines(lines)
+    rows = materialize(test_lines(lines))
     part = lambda c: F.when(F.col(c) > 0, F.format_string(f"%d {c}", c))
     counts = test_counts(rows).where("total > 0")
     head = _line(counts, 0, F.concat(F.format_string("%d tests: ", "total"), F.concat_ws(", ", *map(part, COUNTED[2:3] + COUNTED[1:2] + COUNTED[3:]))))
@@ -186,7 +190,7 @@ def lint_rules(lines: DataFrame) -> DataFrame:
 
 def lint(lines: DataFrame, rules: int = 10, first: int = 15) -> DataFrame:
     """Totals and the commonest rules; the first lines where there is no diagnostic."""
-    found = lint_rules(lines)
+    found = materialize(lint_rules(lines))
     sums = found.groupBy("doc").agg(F.sum("errors").alias("e"), F.sum("warnings").alias("w"), F.count("*").alias("k"))
     out = _line(sums, 0, F.format_string("%d errors, %d warnings (%d unique rules)", "e", "w", "k")).unionByName(_line(sums, 1, F.lit("")))
     best = _first(found, rules, F.col("n").desc(), F.col("line_no"))
@@ -206,7 +210,7 @@ def log_groups(lines: DataFrame) -> DataFrame:
 
 def logs(lines: DataFrame, shown: int = 30) -> DataFrame:
     """Lines without their repeats, in the order of their first occurrence."""
-    groups = log_groups(lines)
+    groups = materialize(log_groups(lines))
     sums = groups.groupBy("doc").agg(F.sum("n").alias("n"), F.count("*").alias("k")).where("n > k")
     out = _line(sums, 0, F.format_string("%d lines → %d unique (%d duplicates collapsed)", "n", "k", F.col("n") - F.col("k")))
     some = _first(groups, shown, F.col("line_no"))
@@ -232,7 +236,7 @@ def build_lines(lines: DataFrame) -> DataFrame:
 
 def builds(lines: DataFrame, errors: int = 12, warnings: int = 6, last: int = 4) -> DataFrame:
     """Numbers of error and warning lines and the first of them, each once; the last lines where there are none."""
-    found, out = build_lines(lines), None
+    found, out = materialize(build_lines(lines)), None
     for part, (kind, cap) in enumerate((("error", errors), ("warning", warnings))):
         own = found.where(F.col("kind") == kind)
         sums = own.groupBy("doc").agg(F.sum("n").alias("n"), F.count("*").alias("k"))
