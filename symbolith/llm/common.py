@@ -45,6 +45,14 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Have the driver's JVM give back broadcasts, plans and generated classes that nothing refers to any more.
+
+    Operators of many small jobs leave these behind with every step, and the heap grows to its limit before it is tidied.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 def text_of(col: str) -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
@@ -265,7 +273,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     while n:
         e = e.coalesce(tasks)
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).coalesce(tasks))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).coalesce(tasks)
+        low = materialize(low) if tasks > 1 else low  # one task has no hub to split
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(tasks).distinct().coalesce(tasks)
         low = large.groupBy("u").agg(F.min("v").alias("m")).coalesce(tasks)
         small = large.join(low, "u")

@@ -221,11 +221,15 @@ def _verify(num: int, den: int):
 
 
 def exact_links(pairs: DataFrame, texts: DataFrame, rows: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of classes that are linked, as (src, dst); ``rows``: (s, k), the row that a class is read from.
+    """Pairs (a, b) of classes that are linked, as (src, dst); ``rows``: (s, k), the row that a class is read from."""
+    return links_among(small(pairs.select("a", "b").distinct()), texts, rows, shingle, num, den)
+
+
+def links_among(pairs: DataFrame, texts: DataFrame, rows: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
+    """``exact_links`` of distinct pairs that are ``small`` already.
 
     Texts, and then sets, move by key only if the pairs are more than can be broadcast.
     """
-    pairs = small(pairs.select("a", "b").distinct())
     wanted = pairs.select(F.col("a").alias("s")).unionByName(pairs.select(F.col("b").alias("s"))).distinct().join(rows, "s")
     sets = materialize(texts.select("k", "text").join(small(wanted), "k").select("text", "s").mapInArrow(_fetch(shingle), "s long, shingles binary"))
     sides = [sets.select(F.col("s").alias(k), F.col("shingles").alias(f"set_{k}")) for k in "ab"]

@@ -34,8 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize, mix64, row_key, text_of
-from .jaccard_join import PARITIES, PARITY, SET_SEEDS, exact_links, near, one_row_each, parities, row_sets, set_hash, steps, text_pieces, unique
+from .common import connected_components, materialize, mix64, release, row_key, small, text_of
+from .jaccard_join import PARITIES, PARITY, SET_SEEDS, links_among, near, one_row_each, parities, row_sets, set_hash, steps, text_pieces, unique
 
 #: Bins of a band, and bands.
 ROWS, BANDS = 6, 40
@@ -140,12 +140,17 @@ def _labelled(docs: DataFrame, shingle: int, num: int, den: int, id_col: str, te
 
     def settle(pairs: DataFrame, labels: DataFrame) -> DataFrame:
         """(s, label) after the links among ``pairs`` (a, b) of classes are added."""
-        found = exact_links(pairs, texts, reads, shingle, num, den)
+        pairs = small(pairs.distinct())
+        if pairs.isEmpty():
+            return labels
+        found = links_among(pairs, texts, reads, shingle, num, den)
         u, v = (labels.select(F.col("s").alias(c), F.col("label").alias(f"{c}_label")) for c in ("src", "dst"))
         met = found.join(u, "src").join(v, "dst").select(F.col("src_label").alias("src"), F.col("dst_label").alias("dst"))
         roots = connected_components(met)
         out = labels.join(roots, F.col("label") == F.col("node"), "left").select("s", F.coalesce("root", "label").alias("label"))
-        return materialize(out)
+        out = materialize(out)
+        release(docs.sparkSession)
+        return out
 
     labels = able.select("s", F.col("s").alias("label"))
     one = stars.groupBy(F.col("s").alias("a")).agg(F.max_by("centre", F.struct("centre_met", "centre")).alias("b"))
@@ -163,7 +168,7 @@ def _labelled(docs: DataFrame, shingle: int, num: int, den: int, id_col: str, te
     other = left.select("band", F.col("label").alias("other"), F.col("x").alias("y"))
     cross = (F.col("label") != F.col("other")) & ((F.col("other") == F.col("main")) | (F.col("x.s") < F.col("y.s")))
     pairs = left.where("label <> main").join(other, "band").where(cross & near("x", "y", num, den))
-    pairs = pairs.select(F.least("x.s", "y.s").alias("a"), F.greatest("x.s", "y.s").alias("b")).distinct()
+    pairs = pairs.select(F.least("x.s", "y.s").alias("a"), F.greatest("x.s", "y.s").alias("b"))
     labels = settle(pairs, labels)
 
     known = materialize(classes.select("s", "s2", "id", "copies").join(labels, "s", "left").withColumn("label", F.coalesce("label", "s")))

@@ -261,3 +261,14 @@ def test_jaccard_join_of_parts(spark, seed):
     docs = [(k, t) for k, (_, t) in enumerate(docs)]
     rows = jaccard_join.components(spark.createDataFrame(docs, TEXT), 3, 90, 100).collect()
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in rows), key=repr) == components_by_brute_force(docs, 3, 90, 100)
+
+
+def test_minhash_runs_no_graph_where_no_pair_is_left(spark, monkeypatch):
+    from symbolith.llm import minhash
+
+    calls, own = [], minhash.connected_components
+    monkeypatch.setattr(minhash, "connected_components", lambda *a: calls.append(1) or own(*a))
+    words = [f"w{k}" for k in range(60)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join([*words, "x"])), (3, "a b c d")], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in minhash.components(docs, shingle=3, num=85, den=100).collect()}
+    assert got == {1: 1, 2: 1, 3: 3} and len(calls) == 1
