@@ -7,10 +7,18 @@ per (category, name), never nested maps.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import re
+from collections.abc import Iterator
+from itertools import chain
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from symbolith.functions import text as T
+from symbolith.session import materialize, small
 
 # Categories that names are looked up in, first one wins.
 CATEGORIES = ("functions", "classes", "variables", "exports")
@@ -57,6 +65,90 @@ def of_contributions(files: DataFrame, limit: int = MAX_LOCATIONS) -> DataFrame:
     return out.withColumn("locations", F.when(F.col("files") > 1, F.col("all"))).drop("all", "files")
 
 
+#: Characters of text that a task counts at a time; a longer file is counted by itself.
+PIECE = 1 << 23
+TALLY = "name string, file string, line int, pass int, usages long, files long"
+
+
+def _tally(pattern: str, most: int):
+    find = re.compile(f"{pattern}|\n", re.A).findall
+
+    def count(files: list[str], texts: list[str]) -> pa.RecordBatch:
+        order = sorted(range(len(files)), key=files.__getitem__)
+        files, found = [files[k] for k in order], [["\n", *find(texts[k])] for k in order]  # each line begins with its mark
+        doc = np.repeat(np.arange(len(files)), [len(x) for x in found])
+        code, names = pd.factorize(np.array(list(chain.from_iterable(found)), object))  # the mark is 0
+        at = np.arange(len(code))
+        mark = code == 0
+        last = np.maximum.accumulate(np.where(mark, at, 0))  # the mark of each name's line
+        lines = np.cumsum(mark)
+        begins = np.flatnonzero(np.diff(doc, prepend=-1))
+        line, pass_ = lines - lines[begins][doc] + 1, at - last - 1
+        key, first = np.unique(code * len(files) + doc, return_index=True)  # by name, then file
+        own = key // len(files)
+        start = np.searchsorted(own, np.arange(len(names)))
+        rank = np.arange(len(own)) - start[own]
+        keep = (rank < most) & (own > 0)
+        own, first, head = own[keep], first[keep], rank[keep] == 0
+        columns = [
+            pa.array(names[own], pa.string()), pa.array(files, pa.string()).take(pa.array(doc[first])), pa.array(line[first].astype(np.int32)), pa.array(pass_[first].astype(np.int32)),
+            pa.array(np.where(head, np.bincount(code)[own], 0)), pa.array(np.where(head, np.diff(start, append=len(key))[own], 0)),
+        ]
+        return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in TALLY.split(", ")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, texts, held = [], [], 0
+        for b in batches:
+            for file, text in zip(b.column(0), b.column(1)):
+                files.append(file.as_py())
+                texts.append(text.as_py())
+                held += len(texts[-1])
+                if held >= PIECE:
+                    yield count(files, texts)
+                    files, texts, held = [], [], 0
+        if files:
+            yield count(files, texts)
+
+    return run
+
+
+def tallies(files: DataFrame, pattern: str, most: int = 1) -> DataFrame:
+    """(name, file, line, pass, usages, files) of the names that match ``pattern`` in files (file, text), by name.
+
+    A task adds up some megabytes of files before anything moves, so a common name isn't a row a file. Of each name the
+    ``most`` first of these files stay, with its first place there; its counts stand on one of these rows. Files that
+    stand in several rows, or have no name, would be counted twice: they are counted by key. No match goes over a line's end.
+    """
+    several = materialize(files.groupBy("file").count().where("count > 1 or file is null").select("file"))
+    if several.isEmpty():
+        once, again = files, None
+    else:
+        keys = small(several)
+        again = files.join(keys, files["file"].eqNullSafe(keys["file"]), "left_semi")
+        once = files.join(keys, files["file"].eqNullSafe(keys["file"]), "left_anti")
+    rows = once.where("text is not null").select("file", "text").mapInArrow(_tally(pattern, most), TALLY)
+    if again is not None:
+        lines = again.select("file", F.posexplode(T.lines(F.col("text"))).alias("at", "t"))
+        defs = lines.select("file", (F.col("at") + 1).alias("line"), F.posexplode(F.regexp_extract_all("t", F.lit(pattern), F.lit(0))).alias("pass", "name"))
+        own = per_file(defs.withColumn("category", F.lit("")))
+        rows = rows.unionByName(own.select("name", "file", "first.line", "first.pass", "usages", F.lit(1).cast("long").alias("files")))
+    return rows.repartition("name")
+
+
+def entries_of(rows: DataFrame, category: Column) -> DataFrame:
+    """``entries`` of tallies."""
+    first = F.min(F.struct("file", "line", "pass")).alias("f")
+    out = rows.withColumn("category", category).groupBy("category", "name").agg(F.sum("usages").alias("usages"), F.sum("files").alias("files"), first)
+    return out.select("category", "name", "f.file", "f.line", "f.pass", "usages", T.namespace(F.col("f.file")).alias("namespace"), "files")
+
+
+def locations_of(rows: DataFrame, category: Column, limit: int = MAX_LOCATIONS) -> DataFrame:
+    """``locations`` of tallies of ``limit`` places."""
+    w = Window.partitionBy("category", "name").orderBy("file")
+    places = rows.withColumn("category", category).select("category", "name", "file", "line")
+    return places.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+
+
 def first_wins(rows: DataFrame, key: str, *order: str) -> DataFrame:
     """One row per key: the first by ``order``. For routes and pages."""
     rest = [c for c in rows.columns if c != key and c not in order]

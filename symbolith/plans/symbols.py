@@ -25,11 +25,16 @@ def file_name() -> F.Column:
     return F.concat(F.col("source"), F.lit("/"), F.lpad(F.col("doc_id").cast("string"), 12, "0"))
 
 
-def definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(file_name().alias("file"), F.posexplode(T.lines(F.col("text"))).alias("at", "t"))
-    names = F.regexp_extract_all("t", F.lit(NAME), F.lit(0))
-    rows = docs.select("file", (F.col("at") + 1).alias("line"), F.posexplode(names).alias("pass", "name"))
-    return rows.withColumn("category", F.when(F.col("name").rlike("^[A-Z]"), "classes").otherwise("functions"))
+def tallies(spark: SparkSession, sf_dir: str, most: int = 1) -> DataFrame:
+    return registry.tallies(table(spark, sf_dir, "documents").select(file_name().alias("file"), "text"), NAME, most)
+
+
+def category() -> F.Column:
+    return F.when(F.col("name").rlike("^[A-Z]"), "classes").otherwise("functions")
+
+
+def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return registry.entries_of(tallies(spark, sf_dir), category())
 
 
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +43,7 @@ def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def known_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return registry.lookup(registry.entries(definitions(spark, sf_dir)))
+    return registry.lookup(entries(spark, sf_dir))
 
 
 DEFS = f"""
@@ -72,18 +77,18 @@ checked AS (SELECT item_id, pos, asked.q,
 
 @_c.query(f"WITH {DEFS} SELECT category, name, f[1] AS file, f[2][1] AS line, usages, split_part(f[1], '/', 1) AS namespace, files FROM reg")
 def symbol_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return registry.entries(definitions(spark, sf_dir)).drop("pass")
+    return entries(spark, sf_dir).drop("pass")
 
 
 @_c.query(f"""WITH {DEFS}, ranked AS (SELECT category, name, file, first[1] AS line, row_number() OVER (PARTITION BY category, name ORDER BY file) AS rank FROM per_file)
 SELECT category, name, file, line, rank FROM ranked WHERE rank <= 5""")
 def registry_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return registry.locations(registry.per_file(definitions(spark, sf_dir)))
+    return registry.locations_of(tallies(spark, sf_dir, registry.MAX_LOCATIONS), category())
 
 
 @_c.query(f"WITH {DEFS} SELECT category, count(*) AS symbols FROM reg GROUP BY category")
 def category_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return registry.category_counts(registry.per_file(definitions(spark, sf_dir)).select("category", "name").distinct())
+    return registry.category_counts(tallies(spark, sf_dir).select(category().alias("category"), "name").distinct())
 
 
 @_c.query("""SELECT doc_id, CASE WHEN source IN ('apps', 'packages', 'services') THEN source || '/' || doc_id ELSE source END AS namespace FROM documents

@@ -133,3 +133,22 @@ def test_condense_chain(spark):
 def test_tree_stops_at_the_limit(spark):
     files = spark.createDataFrame([(f"d{i}/f{j}",) for i in range(3) for j in range(4)], "path string")
     assert [tuple(r) for r in report.tree(files, 6).orderBy("dir").collect()] == [("d0", 4, 4, False), ("d1", 4, 2, True)]
+
+
+def test_tallies_of_repeated_and_nameless_files_equal_rows_counted_by_key(spark, monkeypatch):
+    monkeypatch.setattr(registry, "PIECE", 16)
+    texts = [("b/2", "abc Def\nabc"), ("a/1", "xyz\n\nabc abc"), ("b/2", "Def abc"), (None, "abc"), ("c/3", None), ("c/4", ""), ("d/5", "abc Xyz abc\nxyz")]
+    files = spark.createDataFrame(texts, "file string, text string")
+    pattern, kind = "[A-Za-z_][A-Za-z0-9_]{2,}", F.when(F.col("name").rlike("^[A-Z]"), "classes").otherwise("functions")
+    lines = files.select("file", F.posexplode(F.split("text", "\n", -1)).alias("at", "t"))
+    defs = lines.select("file", (F.col("at") + 1).alias("line"), F.posexplode(F.regexp_extract_all("t", F.lit(pattern), F.lit(0))).alias("pass", "name")).withColumn("category", kind)
+    same = lambda a, b: sorted(map(str, a.collect())) == sorted(map(str, b.select(a.columns).collect()))
+    assert same(registry.entries_of(registry.tallies(files, pattern), kind), registry.entries(defs))
+    named, own = files.where("file is not null"), defs.where("file is not null")
+    assert same(registry.locations_of(registry.tallies(named, pattern, 2), kind, 2), registry.locations(registry.per_file(own), 2))
+
+
+def test_tallies_move_a_common_name_once_for_many_files(spark):
+    files = spark.range(500).select(F.format_string("a/%03d", "id").alias("file"), F.lit("abc Def").alias("text")).coalesce(1)
+    assert registry.tallies(files, "[A-Za-z]{3,}").count() == 2
+    assert registry.tallies(files, "[A-Za-z]{3,}", 5).count() == 10
