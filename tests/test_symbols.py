@@ -152,3 +152,15 @@ def test_tallies_move_a_common_name_once_for_many_files(spark):
     files = spark.range(500).select(F.format_string("a/%03d", "id").alias("file"), F.lit("abc Def").alias("text")).coalesce(1)
     assert registry.tallies(files, "[A-Za-z]{3,}").count() == 2
     assert registry.tallies(files, "[A-Za-z]{3,}", 5).count() == 10
+
+
+def test_segments_meet_few_places_of_a_name(spark):
+    """Long names of which none is near: a query's segments aren't tried at all places within k."""
+    rng = random.Random(5)
+    words = ["".join(rng.choice("ab") for _ in range(12)) for _ in range(150)]
+    names = spark.createDataFrame([(w, w) for w in words[:100]], "name string, nkey string")
+    queries = spark.createDataFrame([(w, w, 3) for w in words[50:]], "q string, qkey string, k int")
+    pairs = check.block_candidates(queries, names)
+    found = pairs.where("levenshtein(qkey, nkey) <= k").select("q", "name").distinct().count()
+    every = queries.crossJoin(names).where("levenshtein(qkey, nkey) <= k").select("q", "name").distinct().count()
+    assert found == every and pairs.count() < 0.9 * queries.select("q").distinct().crossJoin(names.select("name").distinct()).count()
